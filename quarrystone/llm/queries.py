@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .near_dedup import near_duplicates
+from .passages import digests as passage_digests
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,7 +20,12 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op10_repeated_passages": op10_repeated_passages,
 }
 ORACLE_SQL: dict[str, str] = {}
