@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing
 from .near_dedup import near_duplicates
 from .passages import digests as passage_digests
 
@@ -20,12 +21,19 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_digests(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op7_weighted_fair_mix": op7_weighted_fair_mix,
     "op10_repeated_passages": op10_repeated_passages,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_weighted_fair_mix": mixing.ORACLE_SQL.format(docs="documents"),
+}
