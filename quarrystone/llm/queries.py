@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing
+from .lang_id import held_out_languages
 from .near_dedup import near_duplicates
 from .passages import digests as passage_digests
+from .quality_lm import quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_out_languages(table(spark, sf_dir, "documents"))
+
+
+def op2_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -30,6 +40,8 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_language_id": op1_language_id,
+    "op2_perplexity_bands": op2_perplexity_bands,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op7_weighted_fair_mix": op7_weighted_fair_mix,
     "op10_repeated_passages": op10_repeated_passages,
