@@ -11,6 +11,7 @@ from .lang_id import held_out_languages
 from .near_dedup import near_duplicates
 from .passages import digests as passage_digests
 from .quality_lm import quality
+from .toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +36,10 @@ def op7_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_digests(table(spark, sf_dir, "documents"))
 
@@ -44,6 +49,7 @@ QUERIES: dict[str, Query] = {
     "op2_perplexity_bands": op2_perplexity_bands,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op7_weighted_fair_mix": op7_weighted_fair_mix,
+    "op9_toxic_segments": op9_toxic_segments,
     "op10_repeated_passages": op10_repeated_passages,
 }
 ORACLE_SQL: dict[str, str] = {
