@@ -11,6 +11,7 @@ from .lang_id import held_out_languages
 from .near_dedup import near_duplicates
 from .passages import digests as passage_digests
 from .quality_lm import quality
+from .site_quality import classify
 from .toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,10 @@ def op2_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op4_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -47,6 +52,7 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_perplexity_bands": op2_perplexity_bands,
+    "op4_site_quality": op4_site_quality,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op7_weighted_fair_mix": op7_weighted_fair_mix,
     "op9_toxic_segments": op9_toxic_segments,
