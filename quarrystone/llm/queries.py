@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing
+from .decontamination import contamination
 from .lang_id import held_out_languages
 from .near_dedup import near_duplicates
 from .passages import digests as passage_digests
@@ -37,6 +38,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op2_perplexity_bands": op2_perplexity_bands,
     "op4_site_quality": op4_site_quality,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_weighted_fair_mix": op7_weighted_fair_mix,
     "op9_toxic_segments": op9_toxic_segments,
     "op10_repeated_passages": op10_repeated_passages,
