@@ -5,8 +5,11 @@
    band of full minima.
 2. Documents of equal sets are one class; its smallest doc_id stands for it.
 3. Band buckets make candidate pairs: everyone with the bucket's leader
-   first, then pairs that the links found so far leave apart. No step makes
-   all pairs of a bucket unless it has SMALL_BUCKET members or fewer.
+   first. Of buckets that the links found leave in several components, those
+   of SMALL_BUCKET classes or fewer give all pairs across components. In a
+   larger one, the classes outside its commonest component are held against
+   all of it on full sets, in blocks of BLOCK classes that emit only links
+   between components.
 4. A candidate goes on if its collision-corrected b-bit estimate is within
    MARGIN standard errors of the threshold, and is a link if the full sets
    say so.
@@ -24,6 +27,7 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -41,9 +45,8 @@ BITS = 2
 BAND_ROWS = 4
 #: Standard errors below the threshold at which an estimate still counts as a candidate.
 MARGIN = 5.0
-#: Buckets of up to so many classes are compared in full, larger ones by leaders and then in blocks.
+#: Buckets of up to so many classes are compared in full, larger ones in blocks.
 SMALL_BUCKET = 24
-LEADER_ROUNDS = 3
 BLOCK = 256
 _CHUNK = 1 << 13
 
@@ -180,22 +183,60 @@ def links(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     return near.join(s, "a").join(t, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For rows of two blocks of one bucket: the pairs across them whose estimates suffice and whose components differ."""
-    mask = _U(0x5555555555555555)
-    least = least_estimate()
-    chance = 1 / (1 << BITS)
-    for batch in batches:
-        for r in batch.to_pylist():
-            (ia, ca, sa), (ib, cb, sb) = (
-                (np.array([m["rep"] for m in r[k]]), np.array([m["root"] for m in r[k]]), np.array([m["bits"] for m in r[k]], np.int64).view(_U)) for k in ("xs", "ys")
-            )
-            x = sa[:, None, :] ^ sb[None, :, :]
-            x = (x | (x >> _U(1))) & mask
-            agree = 1 - np.bitwise_count(x).sum(axis=2, dtype=np.int64) / PERMUTATIONS
-            i, j = np.nonzero(((agree - chance) / (1 - chance) >= least) & (ca[:, None] != cb[None, :]))
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(ia[i]), pa.array(ib[j])], ["a", "b"])
+def _columns(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([*sets, np.zeros(0, _U)]), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+
+
+def _overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, by products of incidence matrices over slices of the shared members."""
+    (vx, ix), (vy, iy) = _columns(xs), _columns(ys)
+    shared = np.intersect1d(vx, vy)
+    out = np.zeros((len(xs), len(ys)))
+    px, py = (np.searchsorted(shared, v) for v in (vx, vy))
+    for p, v in ((px, vx), (py, vy)):
+        p[(p == len(shared)) | (shared[np.minimum(p, max(len(shared) - 1, 0))] != v if len(shared) else True)] = -1
+    for at in range(0, len(shared), _CHUNK):
+        parts = []
+        for p, i, n in ((px, ix, len(xs)), (py, iy, len(ys))):
+            mine = (p >= at) & (p < at + _CHUNK)
+            m = np.zeros((n, min(_CHUNK, len(shared) - at)), np.float32)
+            m[i[mine], p[mine] - at] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _block_links(key: tuple, xs: pd.DataFrame, ys: pd.DataFrame) -> pd.DataFrame:
+    """Links between two blocks of one bucket, as many as join their components: pairs that first collide in this bucket."""
+    ys = ys.rename(columns=lambda c: c.removesuffix("_y"))
+    bx, by = (np.array(d["bands"].tolist(), np.int64).reshape(len(d), -1) for d in (xs, ys))
+    first = np.full((len(xs), len(ys)), -1)
+    for j in range(bx.shape[1] - 1, -1, -1):
+        first[bx[:, j][:, None] == by[:, j][None, :]] = j
+    here = first >= 0
+    here &= np.take_along_axis(bx, np.maximum(first, 0), 1) == key[0]
+    sets = []
+    for d in (xs, ys):
+        raw = [t.encode() for t in d["text"]]
+        sets.append(list(shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))))
+    both = _overlaps(*sets)
+    sizes = np.add.outer(*([len(s) for s in part] for part in sets)) - both
+    rx, ry = xs["root"].to_numpy(), ys["root"].to_numpy()
+    i, j = np.nonzero(here & (rx[:, None] != ry[None, :]) & (100 * both >= THRESHOLD_PERCENT * sizes))
+    above: dict[int, int] = {}
+
+    def top(v: int) -> int:
+        while v in above:
+            v = above[v]
+        return v
+
+    found = []
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        u, v = top(int(rx[x])), top(int(ry[y]))
+        if u != v:
+            above[max(u, v)] = min(u, v)
+            found.append((int(xs["rep"].iloc[x]), int(ys["rep"].iloc[y])))
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
 def _rooted(members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -231,26 +272,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def _finish(signed: DataFrame, classes: DataFrame, members: DataFrame, bits: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
     apart, roots = _rooted(members.select("band", "rep", "n"), found)
-    small, large = apart.where(F.col("n") <= SMALL_BUCKET), apart.where(F.col("n") > SMALL_BUCKET)
-    x, y = (small.select("band", F.col("rep").alias(k), F.col("root").alias(f"root_{k}")) for k in "ab")
+    x, y = (apart.where(F.col("n") <= SMALL_BUCKET).select("band", F.col("rep").alias(k), F.col("root").alias(f"root_{k}")) for k in "ab")
     pairs = x.join(y, "band").where("root_a <> root_b AND a < b").select("a", "b")
-    for step in range(LEADER_ROUNDS + 1):
-        if step:
-            apart, roots = _rooted(members.where(F.col("n") > SMALL_BUCKET).select("band", "rep", "n"), found)
-            large, pairs = apart, None
-        if step < LEADER_ROUNDS:
-            lead = large.groupBy("band").agg(F.min_by(F.struct("rep", "root"), F.xxhash64("rep", F.lit(step))).alias("l"))
-            led = large.join(lead, "band").where("root <> l.root").select(F.col("l.rep").alias("a"), F.col("rep").alias("b"))
-            pairs = led if pairs is None else pairs.unionByName(led)
-        else:
-            pairs = _in_blocks(large, bits)
-        more = written(links(pairs, bits, texts), "links")
-        if not more.isEmpty():
-            found = written(found.unionByName(more).distinct(), "links")
-            roots = None
-        if large.isEmpty():
-            break
-    roots = components(found) if roots is None else roots
+    more = links(pairs, bits, texts).unionByName(_in_blocks(apart.where(F.col("n") > SMALL_BUCKET), classes, texts))
+    more = written(more, "links")
+    if not more.isEmpty():
+        roots = components(found.unionByName(more))
     by_set = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("root", "rep").alias("root"))
     return (
         signed.select("doc_id", "n_shingles", "set_id")
@@ -260,16 +287,19 @@ def _finish(signed: DataFrame, classes: DataFrame, members: DataFrame, bits: Dat
     )
 
 
-def _in_blocks(large: DataFrame, bits: DataFrame) -> DataFrame:
-    """Candidate pairs of what leaders left apart in large buckets: those outside a bucket's
-    commonest component against all its classes, in blocks of about BLOCK, by estimates."""
-    main = large.groupBy("band", "root").count().groupBy("band").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-    full = large.join(main, "band").join(bits, "rep")
-
-    def dealt(df: DataFrame, name: str) -> DataFrame:
-        of = df.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("of"))
-        block = F.pmod(F.xxhash64("rep"), F.col("of")).cast("int")
-        return df.join(of, "band").groupBy("band", block.alias("block")).agg(F.collect_list(F.struct("rep", "root", "bits")).alias(name)).drop("block")
-
-    outside = dealt(full.where("root <> main"), "xs")
-    return outside.join(dealt(full, "ys"), "band").select("xs", "ys").mapInArrow(_blocks, "a long, b long").where("a <> b").distinct()
+def _in_blocks(large: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links of what leaders left apart in large buckets: the classes outside a bucket's
+    commonest component against all its classes, in blocks of about BLOCK."""
+    main = large.groupBy("band", "root").count().groupBy("band").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("of_y"))
+    out = large.join(main, "band").where("root <> main").groupBy("band").agg(F.count("*").alias("of_x"))
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    sized = main.join(out, "band").select("band", "main", blocks("of_x").alias("nx"), blocks("of_y").alias("ny"))
+    own = large.select("band", "rep", "root").join(sized, "band")
+    mine = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    full = classes.select("rep", "bands").join(texts, "rep")
+    xs = own.where("root <> main").withColumn("xb", mine("nx")).withColumn("yb", every("ny")).select("band", "xb", "yb", "rep", "root").join(full, "rep")
+    ys = own.withColumn("yb", mine("ny")).withColumn("xb", every("nx")).select("band", "xb", "yb", "rep", "root").join(full, "rep")
+    keys = ["band", "xb", "yb"]
+    ys = ys.select(*(F.col(c).alias(f"{c}_y") for c in ys.columns))
+    return xs.groupBy(*keys).cogroup(ys.groupBy(*(f"{k}_y" for k in keys))).applyInPandas(_block_links, "a long, b long")
