@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import licences, mixing, perspectives
 from .decontamination import contamination
 from .lang_id import held_out_languages
 from .near_dedup import near_duplicates
@@ -30,6 +30,10 @@ def op2_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op3_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.digest(perspectives.rotate(table(spark, sf_dir, "conversations")))
+
+
 def op4_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +50,10 @@ def op7_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_licence_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_hits(table(spark, sf_dir, "documents"))
+
+
 def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,13 +65,17 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_perplexity_bands": op2_perplexity_bands,
+    "op3_perspective_rotation": op3_perspective_rotation,
     "op4_site_quality": op4_site_quality,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_weighted_fair_mix": op7_weighted_fair_mix,
+    "op8_licence_dice": op8_licence_dice,
     "op9_toxic_segments": op9_toxic_segments,
     "op10_repeated_passages": op10_repeated_passages,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_perspective_rotation": perspectives.ORACLE_SQL,
+    "op8_licence_dice": licences.oracle_sql(),
     "op7_weighted_fair_mix": mixing.ORACLE_SQL.format(docs="documents"),
 }
