@@ -2,9 +2,10 @@
 
 Every document is served up to MAX_EPOCHS times. Its source's documents are
 shuffled by a hash; the virtual finish time of a serving is the source's
-words served up to and including it, divided by the source's target. Servings
-sorted by finish time over all sources are taken until the total budget is
-reached.
+words served up to and including it, divided by the source's target. The
+serving in which a source reaches its target is split there, so that its first
+piece finishes at time 1. Pieces sorted by finish time over all sources are
+taken until the total budget is reached.
 
 Cumulative sums are taken in two levels, so that no source and no time range
 has to pass one task: sums over slices of the order first, then within a
@@ -89,10 +90,16 @@ def shuffled(sized: DataFrame, sources: DataFrame) -> DataFrame:
     return dealt.withColumn("within", within).join(base, ["rank", "slice"]).withColumn("served", F.col("base") + F.col("within")).drop("base", "within", "slice")
 
 
-def _serving(epoch: int) -> Column:
-    """What servings are sorted by."""
-    finish = F.try_divide(F.col("source_size") * epoch + F.col("served"), "target")
-    return F.struct(finish.alias("finish"), F.col("rank").alias("rank"), F.lit(epoch).alias("epoch"), F.col("turn").alias("turn"))
+def _pieces() -> list[tuple[Column, Column]]:
+    """For each epoch, the two pieces of a serving: what they are sorted by, and their words."""
+    out = []
+    for epoch in range(MAX_EPOCHS):
+        end = F.col("source_size") * epoch + F.col("served")
+        finish = F.try_divide(end, "target")
+        first = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - (end - F.col("size"))))
+        for piece, (at, n) in enumerate(((F.least(finish, F.lit(1.0)), first), (finish, F.col("size") - first))):
+            out.append((F.struct(at.alias("finish"), F.col("rank").alias("rank"), F.lit(epoch).alias("epoch"), F.col("turn").alias("turn"), F.lit(piece).alias("piece")), n.cast("long")))
+    return out
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -101,26 +108,27 @@ def mix(docs: DataFrame) -> DataFrame:
     sources = written(targets(weigh_sources(sized.groupBy("source").agg(F.sum("size").alias("source_size")))), "sources")
     budget = (sources.agg(F.sum("source_size")).first()[0] or 0) * SHARE_PERCENT // 100
     ordered = written(shuffled(sized, sources), "ordered")
-    servings = (
+    slice_of = lambda finish: F.least(F.floor(finish * TIME_SLICES), F.lit(MAX_EPOCHS * 64 * TIME_SLICES))
+    pieces = (
         ordered.where("size > 0")
-        .select("size", F.explode(F.array(*map(_serving, range(MAX_EPOCHS)))).alias("s"))
-        .withColumn("slice", F.least(F.floor(F.col("s.finish") * TIME_SLICES), F.lit(MAX_EPOCHS * 64 * TIME_SLICES)))
+        .select(F.explode(F.array(*(F.struct(k.alias("s"), n.alias("n")) for k, n in _pieces()))).alias("p"))
+        .select("p.s", "p.n")
+        .where("n > 0")
+        .withColumn("slice", slice_of(F.col("s.finish")))
     )
-    sums = servings.groupBy("slice").agg(F.sum("size").alias("n"))
     upto = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    full = sums.withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") <= budget).agg(F.max("slice").alias("slice"), F.max("upto").alias("upto")).first()
+    sums = pieces.groupBy("slice").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(upto))
+    full = sums.where(F.col("upto") <= budget).agg(F.max("slice").alias("slice"), F.max("upto").alias("upto")).first()
     after, used = (-1, 0) if full["slice"] is None else full
-    cut = servings.where(F.col("slice") > after).agg(F.min("slice")).first()[0]
-    runs = servings.where(F.col("slice") == F.lit(cut)).withColumn("run", F.sum("size").over(Window.orderBy("s")))
+    cut = pieces.where(F.col("slice") > after).agg(F.min("slice")).first()[0]
+    runs = pieces.where(F.col("slice") == F.lit(cut)).withColumn("run", F.sum("n").over(Window.orderBy("s")))
     last = runs.where(F.col("run") <= budget - used).agg(F.max("s").alias("s")).first()["s"]
     taken = F.lit(0)
-    for epoch in range(MAX_EPOCHS):
-        s = _serving(epoch)
-        goes = F.floor(s["finish"] * TIME_SLICES) <= after
+    for s, n in _pieces():
+        goes = slice_of(s["finish"]) <= after
         if last is not None:
-            upto_last = F.struct(F.lit(last["finish"]).alias("finish"), F.lit(last["rank"]).alias("rank"), F.lit(last["epoch"]).alias("epoch"), F.lit(last["turn"]).alias("turn"))
-            goes = goes | (s <= upto_last)
-        taken = taken + F.when((F.col("size") > 0) & goes, F.col("size")).otherwise(0)
+            goes = goes | (s <= F.struct(*(F.lit(last[f]).alias(f) for f in ("finish", "rank", "epoch", "turn", "piece"))))
+        taken = taken + F.when((F.col("size") > 0) & goes, n).otherwise(0)
     return ordered.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
@@ -155,13 +163,19 @@ WITH sized AS (
 ), ordered AS (
   SELECT *, CAST(sum(size) OVER (PARTITION BY rank ORDER BY turn) AS BIGINT) AS served FROM turned
 ), servings AS (
-  SELECT o.size, o.total, o.rank, o.turn, e.epoch, CAST(o.source_size * e.epoch + o.served AS DOUBLE) / o.target AS finish
+  SELECT o.size, o.total, o.rank, o.turn, e.epoch, CAST(o.source_size * e.epoch + o.served AS DOUBLE) / o.target AS finish,
+    greatest(0, least(o.size, CAST(floor(o.target) AS BIGINT) - (o.source_size * e.epoch + o.served - o.size))) AS head
   FROM ordered o CROSS JOIN (VALUES (0), (1)) e(epoch) WHERE o.size > 0
+), pieces AS (
+  SELECT total, rank, turn, size, epoch, 0 AS piece, least(finish, CAST(1 AS DOUBLE)) AS finish, head AS n FROM servings WHERE head > 0
+  UNION ALL SELECT total, rank, turn, size, epoch, 1, finish, size - head FROM servings WHERE size > head
 ), runs AS (
-  SELECT *, sum(size) OVER (ORDER BY finish, rank, epoch, turn) AS run FROM servings
-), served_times AS (
-  SELECT rank, turn, count(DISTINCT epoch) AS times FROM runs WHERE run <= (total * 150) // 100 GROUP BY rank, turn
+  SELECT *, sum(n) OVER (ORDER BY finish, rank, epoch, turn, piece) AS run FROM pieces
+), taken AS (
+  SELECT DISTINCT rank, turn, size, epoch, piece, n FROM runs WHERE run <= (total * 150) // 100
+), per_doc AS (
+  SELECT rank, turn, sum(n) AS words FROM taken GROUP BY rank, turn
 )
-SELECT o.doc_id, o.size, o.source_size, o.target, CAST(o.size * coalesce(s.times, 0) AS BIGINT) AS taken
-FROM ordered o LEFT JOIN served_times s ON o.rank = s.rank AND o.turn = s.turn
+SELECT o.doc_id, o.size, o.source_size, o.target, CAST(coalesce(s.words, 0) AS BIGINT) AS taken
+FROM ordered o LEFT JOIN per_doc s ON o.rank = s.rank AND o.turn = s.turn
 """
