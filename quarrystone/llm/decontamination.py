@@ -197,7 +197,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, reparameterised, n_items, items: one row for each row of ``docs``."""
-    found = occurrences(docs, benchmark).groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"), (~F.bool_and("literal")).alias("reparameterised"))
+    found = occurrences(docs, benchmark).groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"), (~F.bool_or("literal")).alias("reparameterised"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(found, "doc_id", "left")
     return rows.select(
         "doc_id",
