@@ -80,5 +80,5 @@ def gap(seconds: Column) -> Column:
 
 def human_size(n: Column) -> Column:
     """Bytes as B, KB, MB, GB or TB by 1024, with one decimal above B."""
-    scaled = lambda k, unit: F.concat(F.format_number(n / (1024.0**k), "0.0"), F.lit(unit))
+    scaled = lambda k, unit: F.concat(F.format_string("%.1f", n / F.lit(1024.0**k)), F.lit(unit))
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, scaled(1, " KB")).when(n < 1024**3, scaled(2, " MB")).when(n < 1024**4, scaled(3, " GB")).otherwise(scaled(4, " TB"))
