@@ -17,7 +17,7 @@ Items of one template and slot pattern are one class, shown by the smallest
 item_id. Candidates come from the windows of an item that are rarest among
 items, as many as any occurrence must have one of; then all are counted.
 
-Null and empty texts have no windows. An item with fewer than LEAST_PLAIN
+Texts that share an item_id are items of their own, shown by it. Null and empty texts have no windows. An item with fewer than LEAST_PLAIN
 plain words cannot be matched. Rows that share a doc_id are judged together;
 a null doc_id is never contaminated. Only doc_id, text, item_id are read.
 """
@@ -103,7 +103,7 @@ def _slots(w: words.Words, kinds: np.ndarray, kept: np.ndarray, a: int, b: int)
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(item_id, shape, variant, at, hash, slots, words, n_windows) of benchmark items; shape: digest of template and slot pattern."""
+    """(item_id, text, shape, variant, at, hash, slots, words, n_windows) of benchmark items; text, shape: digests of the words, and of template and slot pattern."""
     for batch in batches:
         rows = []
         for first, _, raw, offs in text_slices(batch.column(1)):
@@ -115,21 +115,25 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 slots = [_slots(w, kinds, kept, a, b) for kinds, _ in variants]
                 patterns = [[list(dict.fromkeys(x)).index(s) for s in x] for x in slots]
                 shape = hashlib.sha256(variants[0][1][a:b].tobytes() + variants[1][1][a:b].tobytes() + repr(patterns).encode()).digest()
+                text = hashlib.sha256(w.hashes[a:b].tobytes()).digest()
                 for variant, (kinds, template) in enumerate(variants):
                     good = np.flatnonzero(_plain_enough(kinds[a:b], k)).tolist()
                     hashes = _windows(template[a:b], k, variant)
-                    rows += [(batch.column(0)[first + d].as_py(), shape, variant, i, int(hashes[i]), _slots(w, kinds, kept, a + i, a + i + k), k, len(good)) for i in good]
+                    rows += [(batch.column(0)[first + d].as_py(), text, shape, variant, i, int(hashes[i]), _slots(w, kinds, kept, a + i, a + i + k), k, len(good)) for i in good]
         if rows:
-            kinds_ = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds_, strict=True)], ["item_id", "shape", "variant", "at", "hash", "slots", "words", "n_windows"])
+            kinds_ = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds_, strict=True)], ["item_id", "text", "shape", "variant", "at", "hash", "slots", "words", "n_windows"])
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """Windows of one item of each class of ``benchmark`` (item_id, text): item_id, variant, at, hash, slots, words, n_windows."""
+    """Windows of one item of each class of ``benchmark`` (item_id, text): shape, item_id, variant, at, hash, slots, words, n_windows.
+
+    A class is its shape, since texts may share an item_id; item_id only shows it.
+    """
     rows = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    found = written(rows.mapInArrow(_item_windows, "item_id long, shape binary, variant long, at long, hash long, slots array<string>, words long, n_windows long"), "items")
-    first = found.groupBy("shape").agg(F.min("item_id").alias("item_id"))
-    return found.join(first, ["shape", "item_id"]).drop("shape").dropDuplicates(["item_id", "variant", "at"])
+    found = written(rows.mapInArrow(_item_windows, "item_id long, text binary, shape binary, variant long, at long, hash long, slots array<string>, words long, n_windows long"), "items")
+    first = found.groupBy("shape").agg(F.min(F.struct("item_id", "text")).alias("first")).select("shape", "first.*")
+    return found.join(first, ["shape", "item_id", "text"]).drop("text").dropDuplicates(["shape", "variant", "at"])
 
 
 def _hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
@@ -177,16 +181,16 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     literal: its slots have the item's own values."""
     items = written(item_windows(benchmark), "windows")
     hits = written(_hits(docs, items), "hits")
-    common = items.groupBy("hash").agg(F.countDistinct("item_id").alias("items"))
-    rank = F.row_number().over(Window.partitionBy("item_id", "variant").orderBy("items", "at"))
+    common = items.groupBy("hash").agg(F.countDistinct("shape").alias("items"))
+    rank = F.row_number().over(Window.partitionBy("shape", "variant").orderBy("items", "at"))
     need = F.greatest(F.ceil(F.col("n_windows") * COVERAGE), F.lit(1))
-    rare = items.join(common, "hash").withColumn("rank", rank).where(F.col("rank") <= F.col("n_windows") - need + 1).select("hash", "item_id").distinct()
-    candidates = hits.select("doc_id", "hash").distinct().join(rare, "hash").select("doc_id", "item_id").distinct()
-    own = items.select("item_id", "variant", "at", "hash", "n_windows", F.col("slots").alias("own"))
-    met = candidates.join(own, "item_id").join(hits, ["doc_id", "hash"])
+    rare = items.join(common, "hash").withColumn("rank", rank).where(F.col("rank") <= F.col("n_windows") - need + 1).select("hash", "shape").distinct()
+    candidates = hits.select("doc_id", "hash").distinct().join(rare, "hash").select("doc_id", "shape").distinct()
+    own = items.select("shape", "item_id", "variant", "at", "hash", "n_windows", F.col("slots").alias("own"))
+    met = candidates.join(own, "shape").join(hits, ["doc_id", "hash"])
     pairs = F.zip_with("own", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     grouped = (
-        met.groupBy("doc_id", "item_id", "variant", (F.col("pos") - F.col("at")).alias("offset"))
+        met.groupBy("doc_id", "shape", "item_id", "variant", (F.col("pos") - F.col("at")).alias("offset"))
         .agg(F.countDistinct("at").alias("n_found"), F.first("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
         .where(F.col("n_found") >= F.greatest(F.ceil(F.col("n_windows") * COVERAGE), F.lit(1)))
         .where(_renaming(F.col("pairs")))
