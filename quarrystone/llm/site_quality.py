@@ -11,7 +11,8 @@ SITE_WEIGHT; below ACCEPT_FROM it is rejected.
 
 Sums are partial before they shuffle, so a site with a third of all documents
 costs what a small one does. The classifier sees at most FIT_ROWS labelled
-documents of each class, those with the smallest hash of doc_id.
+documents of each class, those with the smallest hash of doc_id; each counts
+for all labels of its class, so scores mean the same at every size.
 
 A null or empty text has the features of no words. Null hosts or paths are a
 group of their own. Labels that are null teach nothing; of repeated labels the
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .quality_lm import base_counts
 from .shared import text_slices, written
-from .toxicity import logistic
+from .toxicity import bounded, logistic
 
 FIT_ROWS = 10_000
 SITE_WEIGHT = 0.5
@@ -62,14 +63,16 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """Means and deviations of the features, and weights (intercept last), from ``labels`` (doc_id, quality)."""
     own = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("label"))
-    few = [own.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS) for k in (0, 1)]
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few[0].unionByName(few[1])), "doc_id")
+    few, each = bounded(own, "label", FIT_ROWS)
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id")
     schema = ", ".join(["label long", *(f"{f} double" for f in FEATURES)])
     rows = np.array(joined.select(F.col("label").cast("long"), "text").mapInArrow(_featured, schema).toPandas(), float).reshape(-1, len(FEATURES) + 1)
     if len(set(rows[:, 0])) < 2:
         return None
-    mean, deviation = rows[:, 1:].mean(axis=0), np.maximum(rows[:, 1:].std(axis=0), 1e-6)
-    return mean, deviation, logistic((rows[:, 1:] - mean) / deviation, rows[:, 0], ridge=1.0)
+    counts = np.where(rows[:, 0] == 1, each[1], each[0])
+    mean = np.average(rows[:, 1:], axis=0, weights=counts)
+    deviation = np.maximum(np.sqrt(np.average((rows[:, 1:] - mean) ** 2, axis=0, weights=counts)), 1e-6)
+    return mean, deviation, logistic((rows[:, 1:] - mean) / deviation, rows[:, 0], ridge=1.0, each=each)
 
 
 def _scored(docs: DataFrame, host: Column, path: Column, model: tuple[np.ndarray, np.ndarray, np.ndarray] | None) -> DataFrame:

@@ -14,7 +14,8 @@ document's evidence is its best segment's, and all significant segments',
 calibrated to a probability by a logistic fit.
 
 Learning uses at most FIT_ROWS labelled documents of each class, those with
-the smallest hash of doc_id; the lexicon has at most MAX_LEXICON tokens. Both
+the smallest hash of doc_id. In the lexicon's prior and the calibration each
+counts for all labels of its class, so scores mean the same at every size. The lexicon has at most MAX_LEXICON tokens. Both
 bound what is broadcast. A null or empty text has no tokens and gets the score
 of no evidence. Labels that are null teach nothing; of repeated labels the
 highest counts. Only doc_id and text are read of documents.
@@ -134,15 +135,15 @@ def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), *(pa.array(x.astype(np.int64)) for x in n)], ["token", "toxic", "clean", "toxic_docs"])
 
 
-def fit_lexicon(labelled: DataFrame) -> Lexicon:
-    """The lexicon from (text, toxic)."""
+def fit_lexicon(labelled: DataFrame, each: tuple[float, float] = (1.0, 1.0)) -> Lexicon:
+    """The lexicon from (text, toxic); ``each``: how many documents one of class 0 and 1 stands for."""
     tallies = labelled.select("text", "toxic").mapInArrow(_tallies, "token long, toxic long, clean long, toxic_docs long")
     tallies = written(tallies.groupBy("token").agg(*(F.sum(c).alias(c) for c in ("toxic", "clean", "toxic_docs"))), "tallies")
     n1, n0 = (x or 0 for x in tallies.agg(F.sum("toxic"), F.sum("clean")).first())
     if not n1 or not n0:
         return Lexicon(np.zeros(0, _U), np.zeros(0), -1.0)
     weight = PRIOR_SHARE * n1
-    prior = F.lit(weight / (n1 + n0)) * (F.col("toxic") + F.col("clean"))
+    prior = F.lit(weight / (each[1] * n1 + each[0] * n0)) * (each[1] * F.col("toxic") + each[0] * F.col("clean"))
     y1, y0 = F.col("toxic") + prior, F.col("clean") + prior
     delta = F.log(y1 / (n1 + weight - y1)) - F.log(y0 / (n0 + weight - y0))
     z = delta / F.sqrt(1 / y1 + 1 / y0)
@@ -202,38 +203,46 @@ def _with_chance(found: DataFrame, k: float) -> DataFrame:
     return found.withColumn("chance", F.when(F.col("n_segments") == 0, 0.0).otherwise(-F.log(F.greatest(p, F.lit(1e-12)))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
-    """Weights of a logistic regression with an intercept (last), by Newton's method."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50, each: tuple[float, float] = (1.0, 1.0)) -> np.ndarray:
+    """Weights of a logistic regression with an intercept (last), by Newton's method; ``each``: what a row of class 0 and 1 counts."""
+    c = np.where(y == 1, each[1], each[0])
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     keep = np.diag([ridge] * (len(w) - 1) + [1e-6])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + keep, x.T @ (y - p) - keep @ w)
+        step = np.linalg.solve((x * (c * p * (1 - p))[:, None]).T @ x + keep, x.T @ (c * (y - p)) - keep @ w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def bounded_labels(labels: DataFrame, label: str) -> DataFrame:
-    """(doc_id, label) of at most FIT_ROWS documents of each class that are not held out, by hash of doc_id."""
+def bounded(own: DataFrame, label: str, most: int) -> tuple[DataFrame, tuple[float, float]]:
+    """At most ``most`` rows of each class of ``own`` (doc_id, label), by hash of doc_id, and how many rows one of class 0 and 1 stands for."""
+    counts = {r[0]: r[1] for r in own.groupBy(label).count().collect()}
+    parts = [own.where(F.col(label) == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for k in (0, 1)]
+    return parts[0].unionByName(parts[1]), tuple(max(counts.get(k, 0) / most, 1.0) for k in (0, 1))
+
+
+def bounded_labels(labels: DataFrame, label: str) -> tuple[DataFrame, tuple[float, float]]:
+    """``bounded`` (doc_id, label) of at most FIT_ROWS documents of each class that are not held out."""
     own = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).alias(label))
-    parts = [own.where(F.col(label) == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS) for k in (0, 1)]
-    return parts[0].unionByName(parts[1])
+    return bounded(own, label, FIT_ROWS)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted and the EVIDENCE: one row for each row of ``docs`` (doc_id, text); ``labels`` has doc_id, toxic."""
-    taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(bounded_labels(labels, "toxic")), "doc_id")
+    chosen, each = bounded_labels(labels, "toxic")
+    taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     taught = written(taught, "taught")
-    lexicon = fit_lexicon(taught)
+    lexicon = fit_lexicon(taught, each)
     seen = evidence(taught, lexicon, ("toxic",))
     clean = seen.where("toxic = 0").agg(F.sum("n_segments"), F.sum("n_tokens")).first()
     least = float(lexicon.scores.min()) if len(lexicon.scores) else 1.0
     lexicon.k = max(float((clean[0] or 0) + 0.5) / float((clean[1] or 0) + 1) * np.exp(least), 1e-9)
     rows = np.array(_with_chance(evidence(taught, lexicon, ("toxic",)), lexicon.k).select(*_features(), "toxic").collect(), float).reshape(-1, 4)
-    weights = logistic(rows[:, :-1], rows[:, -1]) if len(set(rows[:, -1])) == 2 else np.array([1.0, 0.0, 0.0, -5.0])
+    weights = logistic(rows[:, :-1], rows[:, -1], each=each) if len(set(rows[:, -1])) == 2 else np.array([1.0, 0.0, 0.0, -5.0])
     found = _with_chance(evidence(docs, lexicon), lexicon.k)
     logit = F.lit(float(weights[-1]))
     for w, f in zip(weights[:-1], _features(), strict=True):

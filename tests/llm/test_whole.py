@@ -1,6 +1,10 @@
 """Cases in which an operator once did less than the whole job."""
 
-from quarrystone.llm import decontamination
+import random
+
+from pyspark.sql import functions as F
+
+from quarrystone.llm import decontamination, site_quality, toxicity
 
 TEXT = "doc_id long, text string"
 
@@ -36,3 +40,16 @@ def test_reparameterised_items_in_ordinary_forms(spark):
     out = judged(spark, docs, [(1, TOM), (2, SUM), (3, TRAIN)])
     assert [out[i]["items"] for i in range(9)] == [[1], [1], [1], [1], [3], [2], [], [], [1]]
     assert [i for i in range(9) if out[i]["reparameterised"]] == [0, 1, 2, 3]
+
+
+def test_bounded_labels_keep_the_class_shares(spark, monkeypatch):
+    rng = random.Random(8)
+    docs = [(i, " ".join(rng.choice("red green blue grey pink") for _ in range(rng.randint(20, 90))), "s", "en") for i in range(800)]
+    labels = [(i, int(i % 6 > 0), int(i % 8 == 0)) for i in range(800)]
+    monkeypatch.setattr(site_quality, "FIT_ROWS", 60)
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 60)
+    docs = spark.createDataFrame(docs, TEXT + ", source string, lang string")
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    good = site_quality.classify(docs, labels).agg(F.avg("score")).first()[0]
+    bad = toxicity.toxicity(docs, labels).agg(F.avg("score")).first()[0]
+    assert abs(good - 5 / 6) < 0.1 and abs(bad - 1 / 8) < 0.1
