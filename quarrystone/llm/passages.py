@@ -1,4 +1,4 @@
-"""Removal of passages that repeat across documents, located with Aho-Corasick automata.
+"""Removal of passages that repeat across documents, located by hashes of elected phrases.
 
 A window is WINDOW consecutive words of one document; every word goes that a
 window covers whose word sequence also starts in a document with a smaller
@@ -11,8 +11,9 @@ doc_id. All windows are judged on the input.
    elected phrases by their smallest and largest doc_id finds every phrase
    that could stand in a repeated window.
 3. Documents with such phrases, and their phrases, meet in shards of about
-   SLICE_BYTES of text. Each shard compiles its phrases into one automaton and
-   streams its texts through it, which locates every occurrence. The windows
+   SLICE_BYTES of text. Hashes locate the occurrences; each shard compiles
+   those phrases into one automaton and streams the same texts through it,
+   which finds them again. The windows
    that elected an occurrence are counted again by smallest doc_id, now whole.
 4. What remains is cut out of the texts.
 
