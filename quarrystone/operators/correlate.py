@@ -62,8 +62,8 @@ def mask_digits(title: Column) -> Column:
     return F.regexp_replace(title, r"\d[\d,]*", "#")
 
 
-def shared_hashes(files: DataFrame, packaged: int = 2_000) -> DataFrame:
-    """(host, path, digest) by digest on several hosts; of those only in packaged places the ``packaged`` most spread."""
+def shared_hashes(files: DataFrame, packaged: int | None = None) -> DataFrame:
+    """(host, path, digest) by digest on several hosts; with ``packaged``, of those only in packaged places so many, the most spread."""
     rows = on_hosts(
         files.withColumn("digest", F.lower("digest")),
         ["digest"],
@@ -71,6 +71,8 @@ def shared_hashes(files: DataFrame, packaged: int = 2_000) -> DataFrame:
         (F.count_distinct("path") == 1).alias("same_path"),
         joined("path").alias("paths"),
     )
+    if packaged is None:
+        return rows
     few = rows.where(~F.col("notable")).orderBy(F.desc("same_path"), F.desc("host_count"), "digest").limit(packaged)
     return rows.where("notable").unionByName(few)
 
@@ -93,14 +95,15 @@ def routes(legs: DataFrame) -> DataFrame:
     at or after, within HOP_GAP, to a third host.
 
     Legs out are stacked with legs in on the host between them and the third
-    host; the earliest is one range frame. No leg meets another in a join.
+    host; the earliest is one running window in reversed time. No leg meets another in a join.
     """
     outs = legs.select(F.col("from_host").alias("mid"), F.col("to_host").alias("c"), "ts", F.struct("ts", F.col("user"), F.col("ok")).alias("out"))
     ends = outs.select("mid", "c").distinct()
     ins = legs.select(F.col("to_host").alias("mid"), F.col("from_host").alias("a"), "ts", F.struct("ts", "user", "ok").alias("in")).join(ends, "mid").where("a <> c")
     both = ins.unionByName(outs, allowMissingColumns=True).withColumn("at", F.unix_seconds("ts"))
-    w = Window.partitionBy("mid", "c").orderBy("at").rangeBetween(0, HOP_GAP)
-    chained = both.withColumn("nxt", F.min("out").over(w)).where("in IS NOT NULL AND nxt IS NOT NULL")
+    w = Window.partitionBy("mid", "c").orderBy(F.desc("at"), F.col("in").isNotNull(), F.desc("out")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    chained = both.withColumn("nxt", F.last("out", ignorenulls=True).over(w)).where("in IS NOT NULL AND nxt IS NOT NULL")
+    chained = chained.where(F.unix_seconds("nxt.ts") - F.col("at") <= HOP_GAP)
     gap = F.unix_seconds("nxt.ts") - F.unix_seconds("in.ts")
     return chained.groupBy(F.concat_ws(" -> ", "a", "mid", "c").alias("path")).agg(
         F.count("*").alias("chains"), F.min("in.ts").alias("first_utc"), F.max("nxt.ts").alias("last_utc"), F.bool_or(F.col("in.ok") & F.col("nxt.ok")).alias("reached"), F.min(gap).alias("tightest")
@@ -126,14 +129,16 @@ def consistency(accounts: DataFrame, name: str, attributes: list[str]) -> DataFr
     return on_hosts(accounts, [name], *same).withColumn("consistent", reduce(lambda a, b: a & b, [F.col(f"same_{a}") for a in attributes]))
 
 
-def web_clients(requests: DataFrame, keys: list[str], per_host: int = 20_000, most: int = 2_000) -> DataFrame:
-    """Requests (host, *keys, status, ts) by keys on several hosts; each host brings its ``per_host`` most frequent."""
+def web_clients(requests: DataFrame, keys: list[str], per_host: int | None = None, most: int | None = None) -> DataFrame:
+    """Requests (host, *keys, status, ts) by keys on several hosts; where they are given, each host brings
+    its ``per_host`` most frequent only, and the ``most`` widest are shown."""
     ok = F.col("status").between(200, 399)
     one = requests.groupBy("host", *keys).agg(F.count("*").alias("n"), F.count_if(ok).alias("answered"), F.min("ts").alias("first"), F.max("ts").alias("last"))
-    w = Window.partitionBy("host").orderBy(F.desc("n"), *keys)
-    top = one.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_host)
-    shared = on_hosts(top, keys, F.sum("n").alias("requests"), F.sum("answered").alias("answered"), F.min("first").alias("first_utc"), F.max("last").alias("last_utc"))
-    return shared.orderBy(F.desc("host_count"), F.desc("requests"), *keys).limit(most)
+    if per_host is not None:
+        w = Window.partitionBy("host").orderBy(F.desc("n"), *keys)
+        one = one.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_host)
+    shared = on_hosts(one, keys, F.sum("n").alias("requests"), F.sum("answered").alias("answered"), F.min("first").alias("first_utc"), F.max("last").alias("last_utc"))
+    return shared if most is None else shared.orderBy(F.desc("host_count"), F.desc("requests"), *keys).limit(most)
 
 
 def one_per_act(rows: DataFrame) -> DataFrame:

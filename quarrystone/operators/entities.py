@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -72,7 +73,7 @@ def indicator_rollup(observations: DataFrame) -> DataFrame:
     )
 
 
-def tree(nodes: DataFrame, node: str, parent: str, max_depth: int = 64) -> DataFrame:
+def tree(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     """(node, parent, depth, path, children) of a forest; ``path`` sorts rows into preorder.
 
     Level by level: each round joins the rows reached last with their
@@ -84,7 +85,7 @@ def tree(nodes: DataFrame, node: str, parent: str, max_depth: int = 64) -> DataF
     roots = own.join(known, F.col("parent") == F.col("known"), "left_anti")
     level = roots.select("node", "parent", F.lit(0).alias("depth"), F.array("node").alias("path"))
     levels = [level]
-    for depth in range(1, max_depth):
+    for depth in itertools.count(1):
         up = levels[-1].select(F.col("node").alias("up"), F.col("path").alias("up_path"))
         nxt = own.join(up, F.col("parent") == F.col("up")).select("node", "parent", F.lit(depth).alias("depth"), F.concat("up_path", F.array("node")).alias("path"))
         nxt = written(nxt, "tree")

@@ -34,11 +34,12 @@ def matching(df: DataFrame, box: str = "", columns: dict[str, str] | None = None
     return df.where(reduce(lambda a, b: a & b, tests)) if tests else df
 
 
-def facet(df: DataFrame, column: str, most: int = 20_000, **filters) -> DataFrame:
-    """(value, n) of a column under the other filters, most frequent first, then by value."""
+def facet(df: DataFrame, column: str, most: int | None = None, **filters) -> DataFrame:
+    """(value, n) of a column under the other filters, most frequent first, then by value; with ``most``, so many."""
     own = matching(df, skip=column, **filters)
     value = F.coalesce(F.col(column).cast("string"), F.lit(""))
-    return own.groupBy(value.alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(most)
+    counts = own.groupBy(value.alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value")
+    return counts if most is None else counts.limit(most)
 
 
 def histogram(df: DataFrame, column: str) -> DataFrame:

@@ -36,7 +36,7 @@ def pair_sessions(events: DataFrame, keys: list[str], order: list[str], opens: C
 def backward_asof(left: DataFrame, right: DataFrame, keys: list[str], time: str, value: str, tolerance_s: int) -> DataFrame:
     """``left`` with the latest non-null ``value`` of ``right`` at or up to ``tolerance_s`` seconds before ``time``, by ``keys``.
 
-    Both sides go through one shuffle on ``keys`` and one range frame; of equal
+    Both sides go through one shuffle on ``keys`` and one running window; of equal
     times the greatest value counts.
     """
     return _asof(left, right, keys, time, value, tolerance_s, backward=True)
@@ -52,10 +52,13 @@ def _asof(left: DataFrame, right: DataFrame, keys: list[str], time: str, value:
     a = left.select(F.lit(True).alias("left_"), *keys, micros.alias("at_"), F.struct(*left.columns).alias("row_"))
     b = right.where(F.col(value).isNotNull()).select(F.lit(False).alias("left_"), *keys, micros.alias("at_"), F.struct(micros.alias("t"), F.col(value).alias("v")).alias("hit_"))
     both = a.unionByName(b, allowMissingColumns=True)
-    span = tolerance_s * 1_000_000
-    w = Window.partitionBy(*keys).orderBy("at_")
-    hit = F.max("hit_").over(w.rangeBetween(-span, 0)) if backward else F.min("hit_").over(w.rangeBetween(0, span))
-    return both.withColumn("met_", hit).where("left_").select("row_.*", F.col("met_.v").alias(f"asof_{value}"), F.timestamp_micros("met_.t").alias(f"asof_{time}"))
+    # In time order (backwards: reversed), hits before the rows that look for them, the best of equal times last:
+    # the last hit so far is the one wanted, whatever the window's length.
+    order = [F.asc("at_"), F.asc("left_"), F.asc("hit_")] if backward else [F.desc("at_"), F.asc("left_"), F.desc("hit_")]
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = both.withColumn("last_", F.last("hit_", ignorenulls=True).over(w)).where("left_")
+    near = F.abs(F.col("at_") - F.col("last_.t")) <= tolerance_s * 1_000_000
+    return last.withColumn("met_", F.when(near, F.col("last_"))).select("row_.*", F.col("met_.v").alias(f"asof_{value}"), F.timestamp_micros("met_.t").alias(f"asof_{time}"))
 
 
 def carry_forward(rows: DataFrame, keys: list[str], order: list[str], marker: Column, name: str) -> DataFrame:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
-import threading
 import uuid
 from dataclasses import dataclass, field
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,25 +65,30 @@ class Case:
         return s if len(s) <= CELL else s[: CELL - 3] + "..."
 
     def _within(self, df: DataFrame, seconds: float) -> list:
-        sc, tag = self.spark.sparkContext, f"case-{uuid.uuid4().hex}"
-        late = threading.Event()
-
-        def stop() -> None:
-            late.set()
-            sc.cancelJobsWithTag(tag)
-
-        timer = threading.Timer(seconds, stop)
-        sc.addJobTag(tag)
-        timer.start()
-        try:
-            return df.collect()
-        except Exception:
-            if late.is_set():
-                raise CaseError(f"stopped after {seconds:g} s; narrow the question") from None
-            raise
-        finally:
-            timer.cancel()
-            sc.removeJobTag(tag)
+        """The rows, if they are there in time. The run has a thread of its own, so the answer is not
+        held up by tasks that take long to notice that they are cancelled. A task in a nested loop over a
+        broadcast side notices only between its outer rows; spark.task.reaper ends such tasks on a cluster."""
+        sc, group = self.spark.sparkContext, f"case-{uuid.uuid4().hex}"
+        out: list = []
+        failed: list[Exception] = []
+
+        def run() -> None:
+            sc.setJobGroup(group, "a question to the case", interruptOnCancel=True)
+            try:
+                out.append(df.collect())
+            except Exception as e:
+                failed.append(e)
+
+        worker = InheritableThread(target=run, session=self.spark)
+        worker.daemon = True
+        worker.start()
+        worker.join(seconds)
+        if worker.is_alive():
+            sc.cancelJobGroup(group)
+            raise CaseError(f"stopped after {seconds:g} s; narrow the question")
+        if failed:
+            raise failed[0]
+        return out[0]
 
     def _named(self, sql: str) -> list[str]:
         return [n for n in self.tables if re.search(rf"(?i)\b{re.escape(n)}\b", sql)]
@@ -115,7 +120,7 @@ class Case:
         df = self._table(table)
         for c, v in where.items():
             df = df.where(F.coalesce(F.col(c).cast("string"), F.lit("")) == v)
-        rows = df.limit(limit).collect()
+        rows = df.limit(max(1, min(MOST_ROWS, int(limit)))).collect()
         return Answer(df.columns, [{c: self._cell(r[c]) for c in df.columns} for r in rows])
 
     def _table(self, name: str) -> DataFrame:
@@ -131,7 +136,10 @@ class Case:
         for title, needs, sql in PLAYBOOKS[name]:
             absent = [t for t in needs if t not in self.tables]
             used = {k: v for k, v in args.items() if f":{k}" in sql}
-            out.append((title, f"{', '.join(absent)} was not collected" if absent else self.query(sql, args=used)))
+            try:
+                out.append((title, f"{', '.join(absent)} was not collected" if absent else self.query(sql, args=used)))
+            except CaseError as e:  # a table without a column that the step needs
+                out.append((title, str(e)))
         return out
 
 

@@ -39,12 +39,12 @@ def failed_source_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT user_id, count(*) AS failures FROM events e
-WHERE event_type = 'error' AND EXISTS (SELECT 1 FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND p.value >= 150)
+WHERE event_type = 'error' AND EXISTS (SELECT 1 FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase')
 GROUP BY user_id
 """)
 def fail_then_success(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
-    good = e.where("event_type = 'purchase' AND value >= 150").select("user_id")
+    good = e.where("event_type = 'purchase'").select("user_id")
     return e.where("event_type = 'error'").join(good, "user_id", "left_semi").groupBy("user_id").agg(F.count("*").alias("failures"))
 
 
@@ -124,16 +124,16 @@ _SEVERITY_SQL = "CASE event_type WHEN 'error' THEN 0 WHEN 'signup' THEN 2 WHEN '
 @query(f"""
 SELECT CAST(isodow(ts) - 1 AS INTEGER) AS weekday, CAST(hour(ts) AS INTEGER) AS hour, count(*) AS n,
   ['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'INFO'][min({_SEVERITY_SQL}) + 1] AS worst
-FROM events WHERE value < 5 GROUP BY 1, 2
+FROM events GROUP BY 1, 2
 """)
 def weekday_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _events(spark, sf_dir).where("value < 5").withColumn("severity", _severity())
+    e = _events(spark, sf_dir).withColumn("severity", _severity())
     return e.groupBy(F.weekday("ts").alias("weekday"), F.hour("ts").alias("hour")).agg(F.count("*").alias("n"), entities.worst(F.col("severity")).alias("worst"))
 
 
-@query(f"SELECT user_id, ['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'INFO'][min({_SEVERITY_SQL}) + 1] AS worst, count(*) AS n FROM events WHERE value > 60 GROUP BY user_id")
+@query(f"SELECT user_id, ['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'INFO'][min({_SEVERITY_SQL}) + 1] AS worst, count(*) AS n FROM events GROUP BY user_id")
 def severity_rank_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _events(spark, sf_dir).where("value > 60").withColumn("severity", _severity())
+    e = _events(spark, sf_dir).withColumn("severity", _severity())
     return e.groupBy("user_id").agg(entities.worst(F.col("severity")).alias("worst"), F.count("*").alias("n"))
 
 
@@ -167,14 +167,14 @@ def marker_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH span AS (SELECT user_id, min(ts) AS a, max(ts) AS b FROM events WHERE value > 75 GROUP BY user_id)
+WITH span AS (SELECT user_id, min(ts) AS a, max(ts) AS b FROM events GROUP BY user_id)
 SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S.%f') AS first, strftime(b, '%Y-%m-%d %H:%M:%S.%f') AS last FROM span
 WHERE a <= TIMESTAMP '2024-01-09 23:59:59' AND b >= TIMESTAMP '2024-01-05 00:00:00'
 """)
 def time_window_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     newest = datetime(2024, 1, 30)
     low, high = grid.parse_when("2024-01-05", newest), grid.parse_when("2024-01-09", newest, end=True)
-    span = _events(spark, sf_dir).where("value > 75").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    span = _events(spark, sf_dir).groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
     return span.where(grid.overlaps(F.col("a"), F.col("b"), F.lit(low), F.lit(high))).select("user_id", F.date_format("a", STAMP).alias("first"), F.date_format("b", STAMP).alias("last"))
 
 
@@ -192,10 +192,10 @@ def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("event_id", _k().alias("k"), (_k() % 7).alias("bucket"))
 
 
-@query("SELECT event_id, trim(regexp_extract(props, '\"k\": *([0-9]+)', 1)) AS value FROM events WHERE event_type = 'click'")
+@query("SELECT event_id, trim(regexp_extract(props, '\"k\": *([0-9]+)', 1)) AS value FROM events")
 def kv_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = F.str_to_map(F.regexp_replace("props", '[{}"]', ""), F.lit(","), F.lit(":"))
-    return _events(spark, sf_dir).where("event_type = 'click'").select("event_id", F.btrim(F.element_at(pairs, "k")).alias("value"))
+    return _events(spark, sf_dir).select("event_id", F.btrim(F.element_at(pairs, "k")).alias("value"))
 
 
 @query("""
@@ -215,13 +215,13 @@ def hex_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH o AS (SELECT CAST(user_id AS VARCHAR) AS value, event_type AS why, 'k' || (CAST(json_extract_string(props, '$.k') AS BIGINT) % 3) AS source, ts FROM events WHERE value > 40)
+WITH o AS (SELECT CAST(user_id AS VARCHAR) AS value, event_type AS why, 'k' || (CAST(json_extract_string(props, '$.k') AS BIGINT) % 3) AS source, ts FROM events)
 SELECT value, string_agg(DISTINCT why, '; ' ORDER BY why) AS why, string_agg(DISTINCT source, '; ' ORDER BY source) AS sources, count(*) AS count,
   strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last
 FROM o GROUP BY value
 """)
 def indicator_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = _events(spark, sf_dir).where("value > 40").select(F.col("user_id").cast("string").alias("value"), F.col("event_type").alias("why"), F.concat(F.lit("k"), (_k() % 3).cast("string")).alias("source"), "ts")
+    seen = _events(spark, sf_dir).select(F.col("user_id").cast("string").alias("value"), F.col("event_type").alias("why"), F.concat(F.lit("k"), (_k() % 3).cast("string")).alias("source"), "ts")
     shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return entities.indicator_rollup(seen).select("value", "why", "sources", "count", shown("first"), shown("last"))
 
@@ -242,7 +242,7 @@ def first_writer_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT n AS node, n // 2 AS parent FROM (SELECT CAST(user_id AS BIGINT) AS n FROM events WHERE user_id > 0 GROUP BY user_id)),
+WITH t AS (SELECT n AS node, CASE WHEN n = 0 THEN -1 ELSE n // 2 END AS parent FROM (SELECT CAST(user_id AS BIGINT) AS n FROM events GROUP BY user_id)),
 r AS (SELECT node, parent FROM t WHERE parent NOT IN (SELECT node FROM t)),
 w AS (WITH RECURSIVE w(node, parent, depth, path) AS (
   SELECT node, parent, 0, CAST(node AS VARCHAR) FROM r
@@ -252,20 +252,19 @@ SELECT w.node, w.parent, CAST(w.depth AS INTEGER) AS depth, w.path, coalesce(c.c
 FROM w LEFT JOIN (SELECT parent, count(*) AS children FROM t GROUP BY parent) c ON c.parent = w.node
 """)
 def tree_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _events(spark, sf_dir).where("user_id > 0").select(F.col("user_id").alias("n")).distinct().select("n", F.floor(F.col("n") / 2).alias("p"))
+    nodes = _events(spark, sf_dir).select(F.col("user_id").alias("n")).distinct().select("n", F.when(F.col("n") == 0, -1).otherwise(F.floor(F.col("n") / 2)).cast("long").alias("p"))
     return entities.tree(nodes, "n", "p").select("node", "parent", "depth", F.array_join("path", "/").alias("path"), "children")
 
 
 @query("""
-SELECT event_id, round(CASE WHEN value * 40000 < 1024 THEN value ELSE value END, 2) AS value,
-  CASE WHEN event_id < 60 THEN CASE WHEN event_id <= 0 THEN '' ELSE event_id || 's' END WHEN event_id < 120 THEN event_id || 's' WHEN event_id < 3600 THEN (event_id // 60) || 'm'
+SELECT event_id, CASE WHEN event_id >= 172800 THEN (event_id // 86400) || ' days' WHEN event_id < 60 THEN CASE WHEN event_id <= 0 THEN '' ELSE event_id || 's' END WHEN event_id < 120 THEN event_id || 's' WHEN event_id < 3600 THEN (event_id // 60) || 'm'
     ELSE (event_id // 3600) || 'h' || CASE WHEN (event_id % 3600) // 60 > 0 THEN ((event_id % 3600) // 60) || 'm' ELSE '' END END AS gap
-FROM events WHERE event_id < 172800
+FROM events
 """)
 def gap_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.times import gap
 
-    return _events(spark, sf_dir).where("event_id < 172800").select("event_id", F.round("value", 2).alias("value"), gap(F.col("event_id")).alias("gap"))
+    return _events(spark, sf_dir).select("event_id", gap(F.col("event_id")).alias("gap"))
 
 
 @query("""

@@ -34,25 +34,25 @@ _BOUGHT = """bought AS (
 
 
 @query(f"""
-WITH {_BOUGHT}, per AS (SELECT part AS value, host, count(*) AS n, min(ts) AS a, max(ts) AS b FROM bought WHERE part % 20 = 0 GROUP BY part, host)
+WITH {_BOUGHT}, per AS (SELECT part AS value, host, count(*) AS n, min(ts) AS a, max(ts) AS b FROM bought GROUP BY part, host)
 SELECT value, count(*) AS host_count, string_agg(host, ', ' ORDER BY host) AS hosts, arg_min(host, struct_pack(t := a, h := host)) AS first_host, strftime(min(a), '%Y-%m-%d') AS first_utc,
   arg_max(host, struct_pack(t := b, h := host)) AS last_host, strftime(max(b), '%Y-%m-%d') AS last_utc, CAST(sum(n) AS BIGINT) AS total_mentions
 FROM per GROUP BY value HAVING count(*) >= 2
 """)
 def shared_value_across_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = _bought(spark, sf_dir).where("part % 20 = 0").select("host", F.col("part").alias("value"), F.lit("bought").alias("why"), F.lit(1).alias("count"), F.col("ts").alias("first"), F.col("ts").alias("last"))
+    seen = _bought(spark, sf_dir).select("host", F.col("part").alias("value"), F.lit("bought").alias("why"), F.lit(1).alias("count"), F.col("ts").alias("first"), F.col("ts").alias("last"))
     day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
     return correlate.shared_indicators(seen).select("value", "host_count", "hosts", "first_host", day("first_utc"), "last_host", day("last_utc"), "total_mentions")
 
 
 @query("""
-WITH g AS (SELECT DISTINCT p_brand AS key, 'size' || (p_size % 4) AS host FROM part WHERE p_size < 12), every AS (SELECT list_sort(list(DISTINCT host)) AS h FROM g)
+WITH g AS (SELECT DISTINCT p_brand AS key, 'size' || (p_size % 4) AS host FROM part), every AS (SELECT list_sort(list(DISTINCT host)) AS h FROM g)
 SELECT key, CAST(count(*) AS INTEGER) AS host_count, string_agg(host, ', ' ORDER BY host) AS hosts,
   array_to_string(list_filter((SELECT h FROM every), lambda x: NOT list_contains(list(host), x)), ', ') AS missing_from
 FROM g GROUP BY key
 """)
 def missing_from(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_size < 12").select(F.col("p_brand").alias("key"), F.concat(F.lit("size"), (F.col("p_size") % 4).cast("string")).alias("host"))
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("key"), F.concat(F.lit("size"), (F.col("p_size") % 4).cast("string")).alias("host"))
     return correlate.missing_from(p.distinct(), "key")
 
 
@@ -105,9 +105,9 @@ def timestomp_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("l_orderkey", F.explode(rules).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"), F.min("l_orderkey").alias("first_order"))
 
 
-@query("SELECT p_partkey, p_name FROM part p WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_quantity > 45)")
+@query("SELECT p_partkey, p_name FROM part p WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey)")
 def anti_join_unparsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    claims = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
     return entities.unclaimed(table(spark, sf_dir, "part").select("p_partkey", "p_name"), claims, "p_partkey")
 
 
@@ -133,7 +133,7 @@ def value_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH legs AS (SELECT 'n' || c_nationkey AS f, 'n' || s_nationkey AS t, o_orderdate AS ts, o_orderstatus = 'F' AS ok FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE l_linenumber = 1 AND c_nationkey <> s_nationkey),
+  WHERE c_nationkey <> s_nationkey),
 outs AS (SELECT f, t, ts, bool_and(ok) AS ok FROM legs GROUP BY f, t, ts),
 chained AS (SELECT a.f AS a, a.t AS mid, o.t AS c, a.ts AS ts, a.ok AS ok, min(struct_pack(t := o.ts, ok := o.ok)) AS nxt
   FROM (SELECT row_number() OVER () AS id, * FROM legs) a JOIN outs o ON o.f = a.t AND o.t <> a.f AND o.ts >= a.ts AND o.ts <= a.ts + INTERVAL 86400 SECOND GROUP BY a.id, a.f, a.t, o.t, a.ts, a.ok)
@@ -144,7 +144,7 @@ def two_hop_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_suppkey")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     host = lambda n: F.concat(F.lit("n"), F.col(n).cast("string"))
     legs = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).where("c_nationkey <> s_nationkey")
     legs = legs.select(host("c_nationkey").alias("from_host"), host("s_nationkey").alias("to_host"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.lit("").alias("user"), (F.col("o_orderstatus") == "F").alias("ok"))

@@ -16,10 +16,10 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
 
 
-def contents(spark: SparkSession, path: str, most: int = 64 << 20) -> DataFrame:
-    """path, content of files of up to ``most`` bytes; the size test prunes before contents are read."""
+def contents(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """path, content of every file; with ``most``, only of files of up to so many bytes, which are pruned before contents are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.where(F.col("length") <= most).select("path", "content")
+    return (files if most is None else files.where(F.col("length") <= most)).select("path", "content")
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -28,7 +28,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     Numbers need whole files, so each file is one row before it is split; use
     ``stream_lines`` where a file is larger than a task should hold.
     """
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     split = F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n")
     rows = whole.select(F.col("_metadata.file_path").alias("path"), F.posexplode(split).alias("i", "line"), F.size(split).alias("n"))
     return rows.where(~((F.col("i") == F.col("n") - 1) & (F.col("line") == ""))).select("path", (F.col("i") + 1).alias("line_no"), "line")
@@ -36,7 +36,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 def stream_lines(spark: SparkSession, path: str) -> DataFrame:
     """path, line of text files of any size, split within files, without numbers."""
-    return spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
+    return spark.read.text(path, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
 
 
 def glob_regex(pattern: str) -> str:
@@ -74,7 +74,7 @@ def aliased(df: DataFrame, names: dict[str, list[str]]) -> DataFrame:
 
 
 # The layout of a login record, and the names of its types.
-RECORD = struct.Struct("<hxxi32s4s32s256shhiii4i20x")
+RECORD = "<hxxi32s4s32s256shhiii4i20x"
 TYPES = {1: "RUN_LVL", 2: "BOOT", 5: "INIT", 6: "LOGIN_PROCESS", 7: "LOGIN", 8: "DEAD"}
 RECORD_COLUMNS = "path string, ord long, type string, pid int, line string, user string, host string, ts timestamp, address string"
 
@@ -83,11 +83,12 @@ def login_records(files: DataFrame) -> DataFrame:
     """utmp, wtmp and btmp files (path, content) as RECORD_COLUMNS; a partial record at the end is left out."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        record = struct.Struct(RECORD)  # made here: it cannot be sent to a worker
         for batch in batches:
             rows = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                whole = len(content) // RECORD.size * RECORD.size
-                for n, r in enumerate(RECORD.iter_unpack(bytes(content[:whole]))):
+                whole = len(content) // record.size * record.size
+                for n, r in enumerate(record.iter_unpack(bytes(content[:whole]))):
                     text = [x.split(b"\0")[0].decode("utf-8", "replace") for x in (r[2], r[4], r[5])]
                     v4 = r[11] & 0xFFFFFFFF
                     address = ".".join(str(v4 >> s & 255) for s in (0, 8, 16, 24)) if v4 and not any(r[12:15]) else ""
