@@ -15,7 +15,9 @@ needs its own order.
 
 A null text has size 0; a document of size 0 is never taken. Null sources are
 one source, sorted last. Repeated rows and null doc_ids are documents of
-their own; rows equal in (source, size, doc_id) are interchangeable.
+their own: rows equal in (source, size, doc_id) are counted first, have one
+place in the shuffle and are served one after the other, so which of them is
+taken makes no difference.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ SHARE_PERCENT = 150
 MAX_EPOCHS = 2
 #: Slices of the finish times up to 1, where the budget is reached, for the global order.
 TIME_SLICES = 1 << 16
-#: Hex digits of the shuffle hash that make a slice of a source.
-HASH_DIGITS = 3
+#: Distinct documents that a slice of a source should have; their hash's first digits make the slice.
+SLICE_ROWS = 100_000
 #: The source table goes to every executor while it has at most so many rows.
 BROADCAST_SOURCES = 100_000
 
@@ -74,20 +76,32 @@ def targets(weighed: DataFrame) -> DataFrame:
 
 def shuffled(sized: DataFrame, sources: DataFrame) -> DataFrame:
     """``sized`` (doc_id, source, size) with its source's columns, ``turn`` (the shuffle hash) and
-    ``served``: the words of its source up to and including it, in the order of turns."""
+    ``served``: the words of its source up to and including it, in the order of turns.
+
+    How many digits make a slice follows the number of documents; the sums do not depend on it.
+    """
+    counted = written(sized.groupBy("source", "doc_id", "size").agg(F.count("*").alias("times")), "counted")
+    most = counted.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+    digits = 1
+    while most > SLICE_ROWS * 16**digits:
+        digits += 1
     if sources.count() <= BROADCAST_SOURCES:
         sources = F.broadcast(sources)
-    d, s = sized.alias("d"), sources.alias("s")
+    d, s = counted.alias("d"), sources.alias("s")
     turn = F.md5(F.concat_ws(":", F.lit("mix"), F.coalesce(F.col("d.doc_id").cast("string"), F.lit("-")), F.col("size").cast("string")).cast("binary"))
     dealt = (
         d.join(s, F.col("d.source").eqNullSafe(F.col("s.source")))
-        .select("d.doc_id", "size", "source_size", "rank", "target", turn.alias("turn"))
-        .withColumn("slice", F.substring("turn", 1, HASH_DIGITS))
+        .select("d.doc_id", "size", "times", "source_size", "rank", "target", turn.alias("turn"))
+        .withColumn("slice", F.substring("turn", 1, digits))
     )
     before = Window.partitionBy("rank").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    base = dealt.groupBy("rank", "slice").agg(F.sum("size").alias("n")).select("rank", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = F.sum("size").over(Window.partitionBy("rank", "slice").orderBy("turn"))
-    return dealt.withColumn("within", within).join(base, ["rank", "slice"]).withColumn("served", F.col("base") + F.col("within")).drop("base", "within", "slice")
+    base = dealt.groupBy("rank", "slice").agg(F.sum(F.col("size") * F.col("times")).alias("n")).select("rank", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = F.sum(F.col("size") * F.col("times")).over(Window.partitionBy("rank", "slice").orderBy("turn", "size", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = dealt.withColumn("within", within).join(base, ["rank", "slice"]).withColumn("end", F.col("base") + F.col("within"))
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy")
+    every = placed.select("doc_id", "size", "source_size", "rank", "target", "turn", "times", "end", each)
+    served = F.col("end") - F.col("size") * (F.col("times") - F.col("copy"))
+    return every.withColumn("served", served).drop("times", "end", "copy")
 
 
 def _pieces() -> list[tuple[Column, Column]]:
@@ -98,7 +112,7 @@ def _pieces() -> list[tuple[Column, Column]]:
         finish = F.try_divide(end, "target")
         first = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - (end - F.col("size"))))
         for piece, (at, n) in enumerate(((F.least(finish, F.lit(1.0)), first), (finish, F.col("size") - first))):
-            out.append((F.struct(at.alias("finish"), F.col("rank").alias("rank"), F.lit(epoch).alias("epoch"), F.col("turn").alias("turn"), F.lit(piece).alias("piece")), n.cast("long")))
+            out.append((F.struct(at.alias("finish"), F.col("rank").alias("rank"), F.lit(epoch).alias("epoch"), F.col("served").alias("served"), F.lit(piece).alias("piece")), n.cast("long")))
     return out
 
 
@@ -127,7 +141,7 @@ def mix(docs: DataFrame) -> DataFrame:
     for s, n in _pieces():
         goes = slice_of(s["finish"]) <= after
         if last is not None:
-            goes = goes | (s <= F.struct(*(F.lit(last[f]).alias(f) for f in ("finish", "rank", "epoch", "turn", "piece"))))
+            goes = goes | (s <= F.struct(*(F.lit(last[f]).alias(f) for f in ("finish", "rank", "epoch", "served", "piece"))))
         taken = taken + F.when((F.col("size") > 0) & goes, n).otherwise(0)
     return ordered.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
@@ -161,21 +175,21 @@ WITH sized AS (
   SELECT d.doc_id, d.size, a.source_size, a.rank, a.target, a.total, md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), '-') || ':' || CAST(d.size AS VARCHAR)) AS turn
   FROM sized d JOIN aimed a ON d.source IS NOT DISTINCT FROM a.source
 ), ordered AS (
-  SELECT *, CAST(sum(size) OVER (PARTITION BY rank ORDER BY turn) AS BIGINT) AS served FROM turned
+  SELECT *, CAST(sum(size) OVER (PARTITION BY rank ORDER BY turn, size, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS BIGINT) AS served FROM turned
 ), servings AS (
-  SELECT o.size, o.total, o.rank, o.turn, e.epoch, CAST(o.source_size * e.epoch + o.served AS DOUBLE) / o.target AS finish,
+  SELECT o.size, o.total, o.rank, o.served, e.epoch, CAST(o.source_size * e.epoch + o.served AS DOUBLE) / o.target AS finish,
     greatest(0, least(o.size, CAST(floor(o.target) AS BIGINT) - (o.source_size * e.epoch + o.served - o.size))) AS head
   FROM ordered o CROSS JOIN (VALUES (0), (1)) e(epoch) WHERE o.size > 0
 ), pieces AS (
-  SELECT total, rank, turn, size, epoch, 0 AS piece, least(finish, CAST(1 AS DOUBLE)) AS finish, head AS n FROM servings WHERE head > 0
-  UNION ALL SELECT total, rank, turn, size, epoch, 1, finish, size - head FROM servings WHERE size > head
+  SELECT total, rank, served, epoch, 0 AS piece, least(finish, CAST(1 AS DOUBLE)) AS finish, head AS n FROM servings WHERE head > 0
+  UNION ALL SELECT total, rank, served, epoch, 1, finish, size - head FROM servings WHERE size > head
 ), runs AS (
-  SELECT *, sum(n) OVER (ORDER BY finish, rank, epoch, turn, piece) AS run FROM pieces
+  SELECT *, sum(n) OVER (ORDER BY finish, rank, epoch, served, piece) AS run FROM pieces
 ), taken AS (
-  SELECT DISTINCT rank, turn, size, epoch, piece, n FROM runs WHERE run <= (total * 150) // 100
+  SELECT rank, served, n FROM runs WHERE run <= (total * 150) // 100
 ), per_doc AS (
-  SELECT rank, turn, sum(n) AS words FROM taken GROUP BY rank, turn
+  SELECT rank, served, sum(n) AS words FROM taken GROUP BY rank, served
 )
 SELECT o.doc_id, o.size, o.source_size, o.target, CAST(coalesce(s.words, 0) AS BIGINT) AS taken
-FROM ordered o LEFT JOIN per_doc s ON o.rank = s.rank AND o.turn = s.turn
+FROM ordered o LEFT JOIN per_doc s ON o.rank = s.rank AND o.served = s.served AND o.size > 0
 """

@@ -21,6 +21,20 @@ def test_mix_matches_duckdb(odd_docs, tmp_path):
     assert 0 <= total * 1.5 - sum(r[4] for r in found) < 10
 
 
+def test_mix_of_repeated_rows_meets_its_targets(spark, tmp_path):
+    rows = [(1, "w " * 10, "a")] * 100 + [(None, "x y", "b")] * 40 + [(i, "u v w", "b") for i in range(300)] + [(i, "u v w", "c") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.write.parquet(path := str(tmp_path / "docs.parquet"))
+    found = rows_of(mixing.mix(docs))
+    want = duckdb.connect().execute(mixing.ORACLE_SQL.format(docs=f"read_parquet('{path}/*.parquet')")).fetchall()
+    assert found == sorted(want, key=repr) and all(taken <= 2 * size for _, size, _, _, taken in found)
+    for size in {r[2] for r in found}:
+        own = [r for r in found if r[2] == size]
+        assert abs(sum(r[4] for r in own) - own[0][3]) <= 10
+    total = sum(r[1] for r in found)
+    assert sum(r[4] for r in found) >= total * 1.5 - 10
+
+
 def test_mix_of_nothing_and_of_empty_texts(spark, no_docs):
     assert mixing.mix(no_docs).collect() == []
     empty = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")
