@@ -6,25 +6,32 @@ to be learned: the assistant's own words with their end marks, as character
 spans of the rendered text. System turns are rendered as such from every
 perspective and belong to no participant.
 
-A long dialogue is rendered in parts of PART_TURNS turn numbers, so a
-conversation of any length is spread over tasks; a part of more than CROWD
-rows (turn numbers that repeat) is dealt out further by a hash of the row.
-The parts of one perspective, in order, are the dialogue.
+A dialogue may be longer than a task should hold, so it is rendered in parts of
+PART_TURNS turn numbers, and a part in pieces of PIECE_ROWS rows, if its turn
+numbers repeat. The rows of one perspective, by (part, piece), put together are
+the dialogue from that perspective, whatever its length: ``start`` is where a
+row's text begins in it, and the spans of the mask count from there.
 
 Turns are ordered by (turn, role, text), null turns first, in part -1. A null
 or blank role is the speaker ``unknown``, who has no perspective. A null text
-is empty. Rows with a null conv_id are one conversation, as null; a
+is empty, a long one is never cut. Columns other than these are not read. Rows with a null conv_id are one conversation, as null; a
 conversation with only system or unknown turns has no perspective and no rows.
 Repeated rows are rendered each time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 PART_TURNS = 64
-CROWD = 1024
+PIECE_ROWS = 1024
+#: Parts are summed in groups of so many, and groups then, so that no dialogue's sums pass one task.
+GROUP_PARTS = 4096
 SYSTEM, UNKNOWN = "system", "unknown"
 # The marks of a turn. In texts and names, OPEN is broken up.
 OPEN, CLOSE, END = "<|turn_start|>", "<|turn_end|>", "<|"
@@ -35,7 +42,7 @@ def _clean(text: Column) -> Column:
 
 
 def spoken(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, speaker, text, part, lane: the turns, with the share of the dialogue each belongs to."""
+    """conv_id, turn, speaker, text, part, piece: the turns, with the share of the dialogue each belongs to."""
     role = F.btrim(F.coalesce(F.col("role").cast("string"), F.lit("")))
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
@@ -43,15 +50,37 @@ def spoken(conversations: DataFrame) -> DataFrame:
         F.when(role == "", UNKNOWN).otherwise(role).alias("speaker"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     ).withColumn("part", F.coalesce(F.floor(F.col("turn") / PART_TURNS), F.lit(-1)).cast("long"))
-    crowded = rows.groupBy("conv_id", "part").agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
-    crowded = crowded.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.ceil(F.col("n") * 2 / CROWD).cast("long").alias("lanes"))
-    joined = rows.join(crowded, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left")
-    lane = F.pmod(F.xxhash64("turn", "speaker", "text"), F.coalesce("lanes", F.lit(1)))
-    return joined.select("conv_id", "turn", "speaker", "text", "part", lane.alias("lane"))
+    crowded = rows.groupBy("conv_id", "part").agg(F.count("*").alias("n")).where(F.col("n") > PIECE_ROWS)
+    crowded = written(crowded.select(F.col("conv_id").alias("c"), F.col("part").alias("p")), "crowded")
+    if crowded.isEmpty():
+        return rows.withColumn("piece", F.lit(0).cast("long"))
+    here = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))
+    plain = rows.join(crowded, here, "left_anti").withColumn("piece", F.lit(0).cast("long"))
+    return plain.unionByName(_numbered(rows.join(crowded, here, "left_semi")))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``piece``, by their place in their part: equal rows are counted first, the others
+    dealt to tasks by ranges of the order, so that a part of any size is numbered by many."""
+    keys = [F.col("conv_id"), F.col("part"), F.col("turn"), F.encode("speaker", "UTF-8"), F.encode("text", "UTF-8")]
+    counted = rows.groupBy("conv_id", "part", "turn", "speaker", "text").agg(F.count("*").alias("times"))
+    dealt = counted.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    dealt = written(dealt.withColumn("task", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "dealt")
+    upto = lambda *by: Window.partitionBy(*by).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("times").over(upto("conv_id", "part", "task")), F.lit(0))
+    shares = dealt.groupBy("conv_id", "part", "task").agg(F.sum("times").alias("n"))
+    order = Window.partitionBy("conv_id", "part").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    shares = shares.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.col("task").alias("k"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
+    same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")) & (F.col("task") == F.col("k"))
+    placed = dealt.withColumn("before", before).join(shares, same)
+    copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("copy")
+    every = placed.select("conv_id", "turn", "speaker", "text", "part", "base", "before", copy)
+    piece = F.floor((F.col("base") + F.col("before") + F.col("copy")) / PIECE_ROWS).cast("long")
+    return every.select("conv_id", "turn", "speaker", "text", "part", piece.alias("piece"))
 
 
 def rotate(conversations: DataFrame) -> DataFrame:
-    """conv_id, perspective, part, lane, n_turns, n_learned, rendered, mask (array of start, end): one row for each part of each perspective."""
+    """conv_id, perspective, part, piece, n_turns, n_learned, start, rendered, mask (array of start, end): one row for each piece of each perspective."""
     turns = spoken(conversations)
     people = turns.where(~F.col("speaker").isin(SYSTEM, UNKNOWN)).select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct()
     views = turns.join(people, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
@@ -61,7 +90,7 @@ def rotate(conversations: DataFrame) -> DataFrame:
     segment = F.struct(
         "turn", "speaker", "text", own.alias("own"), F.concat(F.lit(OPEN), head, F.lit("\n"), body, F.lit("\n")).alias("s"), F.char_length(body).cast("long").alias("learned")
     )
-    keys = ["conv_id", "perspective", "part", "lane"]
+    keys = ["conv_id", "perspective", "part", "piece"]
     dealt = views.select(*keys, segment.alias("segment")).repartition(*keys)
     grouped = dealt.groupBy(*keys).agg(F.sort_array(F.collect_list("segment")).alias("all"))
 
@@ -72,27 +101,48 @@ def rotate(conversations: DataFrame) -> DataFrame:
 
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
     mask = F.aggregate("all", zero, step, lambda acc: acc["spans"])
-    return grouped.select(
+    parts = grouped.select(
         *keys,
         F.size("all").cast("long").alias("n_turns"),
         F.size(F.filter("all", lambda x: x["own"])).cast("long").alias("n_learned"),
         F.array_join(F.transform("all", lambda x: x["s"]), "").alias("rendered"),
         mask.alias("mask"),
     )
+    return _started(written(parts, "parts"))
+
+
+def _started(parts: DataFrame) -> DataFrame:
+    """``parts`` with ``start``: the length of all that comes before in its perspective."""
+    own = ["conv_id", "perspective"]
+    lengths = parts.select(*own, "part", "piece", F.char_length("rendered").cast("long").alias("n"), F.floor(F.col("part") / GROUP_PARTS).alias("g"))
+    upto = lambda by, *order: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = lengths.groupBy(*own, "g", "part").agg(F.sum("n").alias("n"))
+    groups = pieces.groupBy(*own, "g").agg(F.sum("n").alias("n")).withColumn("of_group", F.coalesce(F.sum("n").over(upto(own, "g")), F.lit(0)))
+    of_part = pieces.withColumn("of_part", F.coalesce(F.sum("n").over(upto([*own, "g"], "part")), F.lit(0)))
+    named = lambda df, *cols: df.select(*(F.col(c).alias(f"{c}_") for c in (*own, *cols[:-1])), cols[-1])
+    same = lambda *cols: reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"{c}_")) for c in (*own, *cols)))
+    sums = lengths.withColumn("of_piece", F.coalesce(F.sum("n").over(upto([*own, "g", "part"], "piece")), F.lit(0)))
+    sums = sums.join(named(of_part, "g", "part", "of_part"), same("g", "part")).select(*own, "g", "part", "piece", "of_piece", "of_part")
+    sums = sums.join(named(groups, "g", "of_group"), same("g"))
+    start = sums.select(*(F.col(c).alias(f"{c}_") for c in (*own, "part", "piece")), (F.col("of_group") + F.col("of_part") + F.col("of_piece")).alias("start"))
+    joined = parts.join(start, same("part", "piece"))
+    return joined.select(*own, "part", "piece", "n_turns", "n_learned", "start", "rendered", "mask")
 
 
 def digest(rotated: DataFrame) -> DataFrame:
     """``rotated`` with the mask as text ``start-end,...``."""
     spans = F.transform("mask", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string")))
-    return rotated.select("conv_id", "perspective", "part", "n_turns", "n_learned", "rendered", F.array_join(spans, ",").alias("mask"))
+    return rotated.select("conv_id", "perspective", "part", "piece", "n_turns", "n_learned", "start", "rendered", F.array_join(spans, ",").alias("mask"))
 
 
-#: The digest in DuckDB, for parts without a crowd.
+#: The digest in DuckDB.
 ORACLE_SQL = """
-WITH turns AS (
+WITH named AS (
   SELECT conv_id, CAST(turn AS BIGINT) AS turn, CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE trim(role) END AS speaker,
     coalesce(text, '') AS text, coalesce(CAST(floor(CAST(turn AS DOUBLE) / CAST(64 AS DOUBLE)) AS BIGINT), -1) AS part
   FROM conversations
+), turns AS (
+  SELECT *, (row_number() OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST, encode(speaker), encode(text)) - 1) // 1024 AS piece FROM named
 ), people AS (
   SELECT DISTINCT conv_id, speaker AS perspective FROM turns WHERE speaker NOT IN ('system', 'unknown')
 ), views AS (
@@ -102,10 +152,12 @@ WITH turns AS (
 ), segments AS (
   SELECT *, '<|turn_start|>' || head || chr(10) || body || chr(10) AS s FROM views
 ), placed AS (
-  SELECT *, sum(length(s)) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, encode(speaker), encode(text) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM segments
+  SELECT *, sum(length(s)) OVER (PARTITION BY conv_id, perspective, part, piece ORDER BY turn NULLS FIRST, encode(speaker), encode(text) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM segments
+), parts AS (
+  SELECT conv_id, perspective, part, piece, count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_learned,
+    string_agg(s, '' ORDER BY turn NULLS FIRST, encode(speaker), encode(text)) AS rendered,
+    coalesce(string_agg(CASE WHEN own THEN CAST(CAST(upto - 1 - length(body) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(upto - 1 AS BIGINT) AS VARCHAR) END, ',' ORDER BY turn NULLS FIRST, encode(speaker), encode(text)), '') AS mask
+  FROM placed GROUP BY conv_id, perspective, part, piece
 )
-SELECT conv_id, perspective, part, count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_learned,
-  string_agg(s, '' ORDER BY turn NULLS FIRST, encode(speaker), encode(text)) AS rendered,
-  coalesce(string_agg(CASE WHEN own THEN CAST(CAST(upto - 1 - length(body) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(upto - 1 AS BIGINT) AS VARCHAR) END, ',' ORDER BY turn NULLS FIRST, encode(speaker), encode(text)), '') AS mask
-FROM placed GROUP BY conv_id, perspective, part
+SELECT *, CAST(coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY part, piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM parts
 """

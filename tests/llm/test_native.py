@@ -65,11 +65,24 @@ def test_perspectives(spark):
     assert perspectives.rotate(spark.createDataFrame([], CHAT)).collect() == []
 
 
-def test_a_crowded_part_is_dealt_out_whole(spark):
-    rows = [(1, 5, f"p{i % 2}", f"text {i}", "x") for i in range(3000)]
-    out = perspectives.rotate(spark.createDataFrame(rows, CHAT)).collect()
-    assert len({r["lane"] for r in out}) > 1
-    assert sum(r["n_turns"] for r in out) == 6000 and sum(r["n_learned"] for r in out) == 3000
+def test_dialogues_of_any_length_are_whole_and_in_order(spark, tmp_path):
+    """A part with 3,000 rows of one turn, one with a row that is there 2,500 times, and a dialogue of 300 turns."""
+    rows = [(1, 5, f"p{i % 2}", f"text {i:04d}", "x") for i in range(3000)] + [(2, 0, "ann", "again", "x")] * 2500 + [(None, i, f"p{i % 3}", f"t{i}", "x") for i in range(300)] + [(2, 1, "bob", "é", "x")]
+    chat = spark.createDataFrame(rows, CHAT).repartition(7)
+    chat.write.parquet(path := str(tmp_path / "chat.parquet"))
+    out = perspectives.digest(perspectives.rotate(chat))
+    found = rows_of(out)
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    names = out.columns
+    r = c.execute(perspectives.ORACLE_SQL)
+    order = [[d[0] for d in r.description].index(n) for n in names]
+    assert found == sorted((tuple(x[i] for i in order) for x in r.fetchall()), key=repr)
+    view = sorted((x for x in found if x[0] == 1 and x[1] == "p0"), key=lambda x: (x[2], x[3]))
+    whole = "".join(x[names.index("rendered")] for x in view)
+    assert len(view) == 3 and [line for line in whole.split("\n") if line.startswith("text")] == [f"text {i:04d}<|turn_end|>" for i in [*range(0, 3000, 2), *range(1, 3000, 2)]]
+    spans = [(x[names.index("start")] + int(a), x[names.index("start")] + int(b)) for x in view for a, b in (m.split("-") for m in filter(None, x[names.index("mask")].split(",")))]
+    assert [whole[a:b] for a, b in spans] == [f"text {i:04d}<|turn_end|>" for i in range(0, 3000, 2)]
 
 
 def test_licences(spark, odd_docs, no_docs):
