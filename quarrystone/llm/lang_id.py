@@ -4,7 +4,8 @@ Texts are lower-cased, everything that is not a letter becomes one space, and
 the n-grams of N_GRAMS characters are hashed to BUCKETS. Spark sums the counts
 per (language, bucket) over all training documents; the matrix of log
 probabilities, languages by buckets, is broadcast. Its size is bounded by
-MAX_LANGUAGES * BUCKETS floats; more languages are an error.
+MAX_LANGUAGES * BUCKETS floats; more languages are an error. Languages have
+the same prior: what a corpus has most of says little about one more text.
 
 A null text and one without letters are ``und`` with score 0; so is everything
 if nothing can be learned. Rows with a null lang teach nothing. Only doc_id,
@@ -113,12 +114,14 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages; the broadcast matrix has no room for them")
     rows = counts.toArrow()
-    names, buckets, n = rows["lang"].to_pylist(), rows["bucket"].to_numpy(), rows["n"].to_numpy()
-    languages = [x for x in languages if x in set(names)]
+    names = rows["lang"].combine_chunks().dictionary_encode() if rows.num_rows else pa.array([], pa.string()).dictionary_encode()
+    own, buckets, n = names.indices.to_numpy(), rows["bucket"].to_numpy(), rows["n"].to_numpy()
+    taught_in = names.dictionary.to_pylist()
+    languages = [x for x in languages if x in set(taught_in)]
     table = np.full((BUCKETS, len(languages)), SMOOTHING)
     if languages:
         index = {x: i for i, x in enumerate(languages)}
-        table[buckets, [index[x] for x in names]] += n
+        table[buckets, np.array([index[x] for x in taught_in])[own]] += n
         table = np.log(table / table.sum(axis=0))
     return languages, np.ascontiguousarray(table.T, np.float32)
 

@@ -2,8 +2,8 @@
 
 Tokens are words with ASCII punctuation removed and A-Z folded. Their log-odds
 between toxic and other labelled documents have a Dirichlet prior, the words'
-shares in both together. A lexicon keeps the tokens whose log-odds are far from
-zero; any other token scores the (slightly negative) log-odds of being none of
+shares in both together. A lexicon keeps every token whose log-odds are far from
+zero on either side; any other token scores the (slightly negative) log-odds of being none of
 them. Scores are log likelihood ratios, so a random text's expected score is
 below zero and the scale of the extreme-value law is 1.
 
@@ -15,8 +15,8 @@ calibrated to a probability by a logistic fit.
 
 Learning uses at most FIT_ROWS labelled documents of each class, those with
 the smallest hash of doc_id. In the lexicon's prior and the calibration each
-counts for all labels of its class, so scores mean the same at every size. The lexicon has at most MAX_LEXICON tokens. Both
-bound what is broadcast. A null or empty text has no tokens and gets the score
+counts for all labels of its class, so scores mean the same at every size. The lexicon is
+broadcast as sorted arrays: it has no more entries than those documents have tokens. A null or empty text has no tokens and gets the score
 of no evidence. Labels that are null teach nothing; of repeated labels the
 highest counts. Only doc_id and text are read of documents.
 """
@@ -36,10 +36,9 @@ from . import words
 from .shared import held_out, text_slices, written
 
 FIT_ROWS = 8_000
-MAX_LEXICON = 20_000
 #: The weight of the prior, as a share of the toxic class's tokens.
 PRIOR_SHARE = 0.2
-#: Tokens need so many toxic documents and so many standard errors to be in the lexicon.
+#: Tokens need so many documents (toxic ones, to speak for toxicity) and so many standard errors to be in the lexicon.
 LEAST_DOCUMENTS = 3
 LEAST_Z = 2.5
 LEAST_LOG_ODDS = 1.0
@@ -111,13 +110,13 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, toxic, clean, toxic_docs) of this task's labelled documents: occurrences by class, toxic documents."""
+    """(token, toxic, clean, toxic_docs, clean_docs) of this task's labelled documents: occurrences and documents by class."""
     parts: list[tuple[np.ndarray, ...]] = []
 
     def merged() -> tuple[np.ndarray, ...]:
         h = np.concatenate([p[0] for p in parts])
         u, at = np.unique(h, return_inverse=True)
-        return u, *(np.bincount(at, np.concatenate([p[i] for p in parts]), len(u)) for i in (1, 2, 3))
+        return u, *(np.bincount(at, np.concatenate([p[i] for p in parts]), len(u)) for i in (1, 2, 3, 4))
 
     for batch in batches:
         toxic = np.array(batch.column(1).to_pylist(), np.int64)
@@ -126,19 +125,19 @@ def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner = w.text_of()
             bad = toxic[first:end][owner] == 1
             u, at = np.unique(w.hashes, return_inverse=True)
-            pair = np.unique(np.stack([at[bad], owner[bad]]), axis=1)
-            parts.append((u, np.bincount(at[bad], minlength=len(u)), np.bincount(at[~bad], minlength=len(u)), np.bincount(pair[0], minlength=len(u))))
+            documents = [np.bincount(np.unique(at[m] * np.int64(end - first) + owner[m]) // (end - first), minlength=len(u)) for m in (bad, ~bad)]
+            parts.append((u, np.bincount(at[bad], minlength=len(u)), np.bincount(at[~bad], minlength=len(u)), *documents))
         if len(parts) > 16:
             parts = [merged()]
     if parts:
         u, *n = merged()
-        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), *(pa.array(x.astype(np.int64)) for x in n)], ["token", "toxic", "clean", "toxic_docs"])
+        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), *(pa.array(x.astype(np.int64)) for x in n)], ["token", "toxic", "clean", "toxic_docs", "clean_docs"])
 
 
 def fit_lexicon(labelled: DataFrame, each: tuple[float, float] = (1.0, 1.0)) -> Lexicon:
     """The lexicon from (text, toxic); ``each``: how many documents one of class 0 and 1 stands for."""
-    tallies = labelled.select("text", "toxic").mapInArrow(_tallies, "token long, toxic long, clean long, toxic_docs long")
-    tallies = written(tallies.groupBy("token").agg(*(F.sum(c).alias(c) for c in ("toxic", "clean", "toxic_docs"))), "tallies")
+    tallies = labelled.select("text", "toxic").mapInArrow(_tallies, "token long, toxic long, clean long, toxic_docs long, clean_docs long")
+    tallies = written(tallies.groupBy("token").agg(*(F.sum(c).alias(c) for c in ("toxic", "clean", "toxic_docs", "clean_docs"))), "tallies")
     n1, n0 = (x or 0 for x in tallies.agg(F.sum("toxic"), F.sum("clean")).first())
     if not n1 or not n0:
         return Lexicon(np.zeros(0, _U), np.zeros(0), -1.0)
@@ -147,20 +146,14 @@ def fit_lexicon(labelled: DataFrame, each: tuple[float, float] = (1.0, 1.0)) ->
     y1, y0 = F.col("toxic") + prior, F.col("clean") + prior
     delta = F.log(y1 / (n1 + weight - y1)) - F.log(y0 / (n0 + weight - y0))
     z = delta / F.sqrt(1 / y1 + 1 / y0)
-    chosen = (
-        tallies.where(F.col("toxic_docs") >= LEAST_DOCUMENTS)
-        .withColumn("delta", delta)
-        .withColumn("z", z)
-        .where((F.col("z") >= LEAST_Z) & (F.col("delta") >= LEAST_LOG_ODDS))
-        .orderBy(F.desc("z"), "token")
-        .limit(MAX_LEXICON)
-        .collect()
-    )
-    rate = lambda c, n: (sum(r[c] for r in chosen) + 0.5) / (n + 1)
+    enough = F.when(F.col("delta") > 0, F.col("toxic_docs")).otherwise(F.col("clean_docs")) >= LEAST_DOCUMENTS
+    far = (F.abs("z") >= LEAST_Z) & (F.abs("delta") >= LEAST_LOG_ODDS)
+    chosen = tallies.withColumn("delta", delta).withColumn("z", z).where(enough & far).select("token", "delta", "toxic", "clean").toArrow()
+    hashes = chosen["token"].to_numpy().view(_U)
+    rate = lambda c, n: (float(chosen[c].to_numpy().sum()) + 0.5) / (n + 1)
     other = min(float(np.log1p(-rate("toxic", n1)) - np.log1p(-rate("clean", n0))), -1e-4)
-    hashes = np.array([r["token"] for r in chosen], np.int64).view(_U)
     by = np.argsort(hashes)
-    return Lexicon(hashes[by], np.minimum([r["delta"] for r in chosen], MAX_LOG_ODDS)[by] if chosen else np.zeros(0), other)
+    return Lexicon(hashes[by], np.clip(chosen["delta"].to_numpy(), -MAX_LOG_ODDS, MAX_LOG_ODDS)[by], other)
 
 
 EVIDENCE = "doc_id long, n_tokens long, n_segments long, best double, n_significant long, significant double"
@@ -239,7 +232,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     lexicon = fit_lexicon(taught, each)
     seen = evidence(taught, lexicon, ("toxic",))
     clean = seen.where("toxic = 0").agg(F.sum("n_segments"), F.sum("n_tokens")).first()
-    least = float(lexicon.scores.min()) if len(lexicon.scores) else 1.0
+    above = lexicon.scores[lexicon.scores > 0]
+    least = float(above.min()) if len(above) else 1.0
     lexicon.k = max(float((clean[0] or 0) + 0.5) / float((clean[1] or 0) + 1) * np.exp(least), 1e-9)
     rows = np.array(_with_chance(evidence(taught, lexicon, ("toxic",)), lexicon.k).select(*_features(), "toxic").collect(), float).reshape(-1, 4)
     weights = logistic(rows[:, :-1], rows[:, -1], each=each) if len(set(rows[:, -1])) == 2 else np.array([1.0, 0.0, 0.0, -5.0])
