@@ -21,8 +21,9 @@ Items of one template and slot pattern are one class, shown by the smallest
 item_id; for the words alone, items of the same words. Candidates come from the windows of a class that are rarest among
 classes, as many as any occurrence must have one of; then all are counted.
 
-Texts that share an item_id are items of their own, shown by it. Null and empty texts have no windows. An item with fewer than LEAST_PLAIN
-words cannot be matched, one with fewer plain words only by its own words. Rows that share a doc_id are judged together;
+Texts that share an item_id are items of their own, shown by it. Null and empty texts have no windows. An item with fewer
+plain words than LEAST_PLAIN is matched by its own words only, and one with fewer words than that only where it has a line to itself,
+since its words alone are common. Rows that share a doc_id are judged together;
 a null doc_id is never contaminated. Only doc_id, text, item_id are read.
 """
 
@@ -39,8 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .shared import text_slices, written
-from .toxicity import _punctuation
+from .shared import punctuation, text_slices, written
 
 WINDOW = 8
 LEAST_PLAIN = 4
@@ -92,16 +92,16 @@ def _template(w: words.Words, kinds: np.ndarray, opens: np.ndarray) -> Template:
     return Template(of, np.where(of > 0, words.mix(of.astype(_U)), w.hashes[firsts]), firsts, np.append(firsts[1:], len(kinds)), np.searchsorted(firsts, w.bounds))
 
 
-def canonical(raw: np.ndarray, offs: np.ndarray) -> tuple[words.Words, list[Template], np.ndarray]:
-    """Words, their template for each variant, and the bytes that positions refer to."""
-    keep = ~_punctuation()[raw]
+def canonical(raw: np.ndarray, offs: np.ndarray) -> tuple[words.Words, list[Template], np.ndarray, np.ndarray]:
+    """Words, their template for each variant, the bytes that positions refer to, and which words begin a line."""
+    keep = ~punctuation()[raw]
     kept = raw[keep]
     folded = kept.copy()  # capitals of the Latin-1 letters, which UTF-8 starts with C3
     folded[1:] += np.where((kept[:-1] == 0xC3) & (kept[1:] >= 0x80) & (kept[1:] <= 0x9E) & (kept[1:] != 0x97), 0x20, 0).astype(np.uint8)
     w = words.split(folded, np.concatenate(([0], np.cumsum(keep)))[offs], fold=True)
     n = len(w.hashes)
     if not n:
-        return w, [_template(w, np.zeros(0, np.int8), np.zeros(0, bool))] * VARIANTS, kept
+        return w, [_template(w, np.zeros(0, np.int8), np.zeros(0, bool))] * VARIANTS, kept, np.zeros(0, bool)
     at = np.flatnonzero(keep)
     digits = np.concatenate(([0], np.cumsum((kept >= 48) & (kept <= 57))))
     numbers, units = _sets()
@@ -112,12 +112,16 @@ def canonical(raw: np.ndarray, offs: np.ndarray) -> tuple[words.Words, list[Temp
     opens = np.ones(n, bool)
     opens[1:] = marks[at[w.starts[1:]]] > marks[at[w.ends[:-1] - 1]]
     opens[w.bounds[:-1][np.diff(w.bounds) > 0]] = True
+    breaks = np.concatenate(([0], np.cumsum(raw == 10)))
+    lines = opens.copy()
+    lines[1:] &= breaks[at[w.starts[1:]]] > breaks[at[w.ends[:-1] - 1]]
+    lines[w.bounds[:-1][np.diff(w.bounds) > 0]] = True
     unit = np.zeros(n, bool)
     unit[1:] = number[:-1] & np.isin(w.hashes[1:], units) & ~number[1:]
     unit[w.bounds[:-1][np.diff(w.bounds) > 0]] = False
     typed = np.where(number, NUMBER, np.where(unit, UNIT, 0)).astype(np.int8)
     named = np.where((typed == 0) & upper, NAME, typed).astype(np.int8)
-    return w, [_template(w, k, opens) for k in (np.where(opens, typed, named), typed, named, np.zeros(n, np.int8))], kept
+    return w, [_template(w, k, opens) for k in (np.where(opens, typed, named), typed, named, np.zeros(n, np.int8))], kept, lines
 
 
 def _windows(template: np.ndarray, k: int, variant: int) -> np.ndarray:
@@ -132,6 +136,12 @@ def _usable(kinds: np.ndarray, k: int, variant: int) -> np.ndarray:
     return (plain[k:] - plain[:-k] >= LEAST_PLAIN) | (variant == LITERAL)
 
 
+def _whole_lines(lines: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """Which windows of k words from ``starts`` are a line."""
+    ends = np.append(lines, True)
+    return lines[starts] & ends[starts + k] & (np.concatenate(([0], np.cumsum(lines)))[starts + k] - np.concatenate(([0], np.cumsum(lines)))[starts] == 1)
+
+
 def _slots(w: words.Words, t: Template, kept: np.ndarray, a: int, b: int) -> list[str]:
     return [f"{t.kinds[i]}:{' '.join(kept[w.starts[t.firsts[i]] : w.ends[t.ends[i] - 1]].tobytes().decode('utf-8', 'replace').lower().split())}" for i in range(a, b) if t.kinds[i]]
 
@@ -142,9 +152,9 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         rows = []
         for first, _, raw, offs in text_slices(batch.column(1)):
-            w, variants, kept = canonical(raw, offs)
+            w, variants, kept, _ = canonical(raw, offs)
             for d, (a, b) in enumerate(zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True)):
-                if b - a < LEAST_PLAIN:
+                if b == a:
                     continue
                 ranges = [(int(t.bounds[d]), int(t.bounds[d + 1])) for t in variants]
                 named = hashlib.sha256()
@@ -191,7 +201,7 @@ def _hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
             known = shared.value
             for batch in batches:
                 for first, _, raw, offs in text_slices(batch.column(1)):
-                    w, variants, kept = canonical(raw, offs)
+                    w, variants, kept, lines = canonical(raw, offs)
                     rows = []
                     for variant, k in lengths if len(known) else ():
                         t = variants[variant]
@@ -199,7 +209,10 @@ def _hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
                         starts = words.inner(t.bounds, k)
                         own = hashes[starts]
                         at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                        for i in starts[(known[at] == own) & _usable(t.kinds, k, variant)[starts]].tolist():
+                        good = (known[at] == own) & _usable(t.kinds, k, variant)[starts]
+                        if k < LEAST_PLAIN:
+                            good &= _whole_lines(lines, starts, k)
+                        for i in starts[good].tolist():
                             d = int(np.searchsorted(t.bounds, i, "right")) - 1
                             rows.append((batch.column(0)[first + d].as_py(), int(hashes[i]), i - int(t.bounds[d]), _slots(w, t, kept, i, i + k)))
                     if rows:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -59,6 +60,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
+@functools.cache
+def punctuation() -> np.ndarray:
+    """Which bytes are ASCII punctuation."""
+    out = np.zeros(256, bool)
+    for c in range(0x21, 0x7F):
+        out[c] = not chr(c).isalnum()
+    return out
+
+
 def text_slices(texts: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows with about ``max_bytes`` of text; null: empty."""
     if isinstance(texts, pa.ChunkedArray):

@@ -23,7 +23,6 @@ highest counts. Only doc_id and text are read of documents.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .shared import held_out, text_slices, written
+from .shared import held_out, punctuation, text_slices, written
 
 FIT_ROWS = 8_000
 #: The weight of the prior, as a share of the toxic class's tokens.
@@ -49,17 +48,9 @@ TOXIC_FROM = 0.3
 _U = np.uint64
 
 
-@functools.cache
-def _punctuation() -> np.ndarray:
-    out = np.zeros(256, bool)
-    for c in range(0x21, 0x7F):
-        out[c] = not chr(c).isalnum()
-    return out
-
-
 def tokens(raw: np.ndarray, offs: np.ndarray) -> words.Words:
     """Tokens of texts; byte positions are those of the texts without punctuation."""
-    keep = ~_punctuation()[raw]
+    keep = ~punctuation()[raw]
     return words.split(raw[keep], np.concatenate(([0], np.cumsum(keep)))[offs], fold=True)
 
 

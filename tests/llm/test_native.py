@@ -101,6 +101,7 @@ ITEMS = [
     (2, "A train leaves Rome at 7 and travels 450 km in 5 hours. How fast does the train go, and when does it reach Rome again?"),
     (3, "Which planet of the solar system has the largest number of moons today?"),
     (4, "too short"),
+    (5, "3 + 4 = ?"),
     (None, "Which planet of the solar system has the largest number of moons today?"),
 ]
 
@@ -111,11 +112,11 @@ def test_decontamination(spark, no_docs):
     broken = ITEMS[0][1].replace("reach Paris", "reach Berlin")
     docs = [
         (10, "Some text before. " + ITEMS[0][1] + " And after."), (11, again), (12, broken.replace("120", "9")), (13, "the weather is nice and nothing else happens here today at all"),
-        (14, None), (15, ""), (16, ITEMS[2][1].upper()), (None, ITEMS[2][1]), (17, "too short"),
+        (14, None), (15, ""), (16, ITEMS[2][1].upper()), (None, ITEMS[2][1]), (17, "too short"), (18, "this is too short to tell"), (19, "first\nToo SHORT.\nlast"), (20, "it is\ntoo\nshort"), (21, "What is 3 + 4?"), (22, "a\n\n3 + 4 =\n"),
     ]
     out = {r["doc_id"]: r for r in decontamination.contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
     assert len(out) == len(docs)
-    assert {i for i, r in out.items() if r["contaminated"]} == {10, 11, 16}
+    assert {i for i, r in out.items() if r["contaminated"]} == {10, 11, 16, 17, 19, 22}
     assert out[10]["items"] == [1, 2] and not out[10]["reparameterised"] and out[11]["reparameterised"] and out[16]["items"] == [3]
     assert decontamination.contamination(no_docs, bench).collect() == []
     assert [r["contaminated"] for r in decontamination.contamination(spark.createDataFrame(docs[:1], "doc_id long, text string"), bench.limit(0)).collect()] == [False]
