@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _trie(words: list[str]) -> str:
+def any_of(words: list[str]) -> str:
     """A regular expression for any of the words, common prefixes factored out."""
     root: dict = {}
     for w in words:
@@ -33,7 +33,7 @@ def found_words(text: Column, words: list[str]) -> Column:
 
     The edges are looked at, not taken, so neighbours share theirs.
     """
-    pattern = f"(?<![a-z0-9_])({_trie([w.lower() for w in words])})(?![a-z0-9_])"
+    pattern = f"(?<![a-z0-9_])({any_of([w.lower() for w in words])})(?![a-z0-9_])"
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1)))
 
 
@@ -51,7 +51,7 @@ def indicator_sweep(lines: DataFrame, text: str, terms: list[str], artifact: str
     longer address, name or hash.
     """
     low = [t.lower() for t in terms]
-    pattern = f"(?<![a-z0-9])({_trie(low)})(?![a-z0-9])"
+    pattern = f"(?<![a-z0-9])({any_of(low)})(?![a-z0-9])"
     found = lines.withColumn("term", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1)))))
     near, far = Window.partitionBy("term", artifact).orderBy(*order), Window.partitionBy("term").orderBy(artifact, *order)
     hits = found.withColumn("i_", F.row_number().over(near)).where(F.col("i_") <= per_artifact).withColumn("j_", F.row_number().over(far)).where(F.col("j_") <= per_term).drop("i_", "j_")
