@@ -85,17 +85,42 @@ def test_dialogues_of_any_length_are_whole_and_in_order(spark, tmp_path):
     assert [whole[a:b] for a, b in spans] == [f"text {i:04d}<|turn_end|>" for i in range(0, 3000, 2)]
 
 
-def test_licences(spark, odd_docs, no_docs):
-    mit = next(t for n, p, t in licences.TEMPLATES if (n, p) == ("MIT", "grant"))
-    wrapped = "intro\n\n" + "\n".join(mit[i : i + 60] for i in range(0, 0)) + mit.replace(", ", ",\n") + "\n\nend"
-    rows = [(1, "hello\nReleased under the MIT License.\nbye"), (2, wrapped), (3, "nothing of the kind"), (4, None), (5, ""), (None, "Licensed under CC BY-NC 4.0.")]
-    out = licences.licence_hits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {(r["doc_id"], r["unit"], r["unit_no"], r["licence"], r["part"], r["dice"]) for r in out if r["dice"] == 1} == {
-        (1, "line", 1, "MIT", "reference", 1.0), (2, "paragraph", 1, "MIT", "grant", 1.0), (None, "line", 0, "CC-BY-NC-4.0", "reference", 1.0)
-    }
+def _template(name, part):
+    return next(t for n, p, t in licences.TEMPLATES if (n, p) == (name, part))
+
+
+def _comment(text, mark):
+    words = text.split()
+    return "\n".join(f"{mark} {' '.join(words[i : i + 10])}" for i in range(0, len(words), 10))
+
+
+def test_licences(spark, odd_docs, no_docs, tmp_path):
+    mit, gpl, bsd = _template("MIT", "whole"), _template("GPL-3.0", "header"), _template("BSD-3-Clause", "whole")
+    rows = [
+        (1, "hello\nReleased under the MIT License.\nbye"), (2, "intro\n\n" + mit.replace(", ", ",\n") + "\n\nend"), (3, "nothing of the kind"), (4, None), (5, ""), (None, "Licensed under CC BY-NC 4.0."),
+        (6, "Copyright (c) 2020 Foo Ltd. " + mit), (7, _comment(mit, " *")), (8, "#!/bin/sh\n" + _comment(gpl, "#") + "\nset -e"), (9, "/*\n * Copyright X\n *\n" + _comment(bsd.replace("the copyright holder nor", "Foo Ltd nor"), " *") + "\n */"),
+        (10, "Copyright (c) 2020 Foo Ltd. Released under the MIT License. See LICENSE for details."), (11, "we say that this is released under the mit license and so on " * 3), (12, "software license " * 400), (6, "Copyright (c) 2020 Foo Ltd. " + mit),
+    ]
+    docs = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "doc_id long, text string, w string, grams string").repartition(4)
+    out = licences.licence_hits(docs).collect()
+    found = {(r["doc_id"], r["licence"], r["part"]) for r in out}
+    assert {(1, "MIT", "reference"), (2, "MIT", "whole"), (None, "CC-BY-NC-4.0", "reference"), (6, "MIT", "whole"), (7, "MIT", "whole"), (8, "GPL-3.0", "header"), (9, "BSD-3-Clause", "whole"), (10, "MIT", "reference"), (11, "MIT", "reference")} <= found
+    assert not {i for i, *_ in found} & {3, 4, 5, 12}
+    assert sum(r["doc_id"] == 6 and (r["unit"], r["licence"], r["part"]) == ("window", "MIT", "whole") for r in out) == 2
+    docs.write.parquet(path := str(tmp_path / "docs.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    assert sorted((tuple(r) for r in out), key=repr) == sorted(c.execute(licences.oracle_sql()).fetchall(), key=repr)
     assert licences.licence_hits(odd_docs).collect() == [] and licences.licence_hits(no_docs).collect() == []
 
 
+def test_a_unit_without_anchors_has_too_few_bigrams():
+    for name, part, text in licences.TEMPLATES:
+        grams = licences.bigram_set(text)
+        left = [g for g in grams if g not in licences.anchors()[name, part]]
+        assert 2 * len(left) / (len(left) + len(grams)) < licences.LEAST_DICE
+
+
 ITEMS = [
     (1, "A train leaves Paris at 9 and travels 120 km in 3 hours. How fast does the train go, and when does it reach Paris again?"),
     (2, "A train leaves Rome at 7 and travels 450 km in 5 hours. How fast does the train go, and when does it reach Rome again?"),
