@@ -1,4 +1,4 @@
-"""Removal of passages that repeat across documents, located by hashes of elected phrases.
+"""Removal of passages that repeat across documents, found by sharded Aho-Corasick automata.
 
 A window is WINDOW consecutive words of one document; every word goes that a
 window covers whose word sequence also starts in a document with a smaller
@@ -9,12 +9,16 @@ doc_id. All windows are judged on the input.
 2. Each window elects the phrase of PHRASE words with the smallest hash in it.
    Equal windows elect equal phrases, and few are elected, so counting the
    elected phrases by their smallest and largest doc_id finds every phrase
-   that could stand in a repeated window.
-3. Documents with such phrases, and their phrases, meet in shards of about
-   SLICE_BYTES of text. Hashes locate the occurrences; each shard compiles
-   those phrases into one automaton and streams the same texts through it,
-   which finds them again. The windows
-   that elected an occurrence are counted again by smallest doc_id, now whole.
+   that could stand in a repeated window. Its words are taken from the document
+   with the smallest doc_id.
+3. Documents that elected such a phrase are dealt into shards of about
+   SHARD_BYTES of text, and the words of all phrases of a shard's documents go
+   there with them. Each shard compiles them into automata over words, of at
+   most AUTOMATON_PHRASES each, and streams its documents through; the
+   occurrences are what the automata report. No other document can have one, so
+   together the shards are all documents, each read once, however many phrases
+   there are. The windows that elected an occurrence are counted again by
+   smallest doc_id, now whole, by a 64-bit hash of their words.
 4. What remains is cut out of the texts.
 
 Null and empty texts have no words. Rows with a null doc_id stay as they are
@@ -40,6 +44,10 @@ WINDOW = 50
 #: Words of an elected phrase; a window elects one of WINDOW - PHRASE + 1.
 PHRASE = 16
 
+#: Bytes of text that a shard should have, and phrases of one automaton.
+SHARD_BYTES = 1 << 21
+AUTOMATON_PHRASES = 1 << 15
+
 PROFILE = "doc_id long, n_words long, words_sha binary, phrases array<long>"
 EDIT = "doc_id long, words_sha binary, n_removed long, kept_sha256 string, kept_text string"
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -81,41 +89,54 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(window, doc_id) for each distinct window of a document that elected a located phrase."""
+def _phrase_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(phrase, words) of the wanted phrases of texts (text, wanted)."""
     for batch in batches:
-        ids, wanted = batch.column(0), batch.column(3)
-        for first, end, raw, offs in text_slices(batch.column(2)):
+        wanted = batch.column(1)
+        for first, _, raw, offs in text_slices(batch.column(0)):
             w = words.split(raw, offs)
-            starts, at, phrases = _elected(w)
-            automaton = ahocorasick.Automaton()
-            split = [[x.decode("utf-8", "replace") for x in raw[a:b].tobytes().split()] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-            for d, own in enumerate(split):
-                base = int(w.bounds[d])
-                if len(own) < WINDOW:
-                    continue
+            phrases = words.windows(w.hashes, PHRASE)
+            found: dict[int, bytes] = {}
+            for d, (a, b) in enumerate(zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True)):
                 mine = np.asarray(wanted[first + d].values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
-                here = phrases[base : base + len(own) - PHRASE + 1]
-                for i in np.flatnonzero(np.isin(here, mine)).tolist():
-                    automaton.add_word(f" {' '.join(own[i : i + PHRASE])} ", True)
-            if not len(automaton):
-                continue
-            automaton.make_automaton()
-            found = np.zeros(len(w.hashes) + 1, bool)
-            for d, own in enumerate(split):
-                if len(own) < WINDOW:
-                    continue
-                text = f" {' '.join(own)} "
-                hits = np.fromiter((e for e, _ in automaton.iter(text)), np.int64)
-                if len(hits):
-                    ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)  # position of the space after each word
-                    found[w.bounds[d] + np.searchsorted(ends, hits) - PHRASE + 1] = True
-            keep = found[at]
-            whole = words.windows(w.hashes, WINDOW)[starts[keep]]
-            owner = np.searchsorted(w.bounds, starts[keep], "right") - 1
-            lists = _lists(whole, owner, end - first)
-            docs = ids.slice(first, end - first).take(lists.value_parent_indices())
-            yield pa.RecordBatch.from_arrays([lists.flatten(), docs], ["window", "doc_id"])
+                for i in (a + np.flatnonzero(np.isin(phrases[a : max(a, b - PHRASE + 1)], mine))).tolist():
+                    found.setdefault(int(phrases[i].astype(np.int64)), b" ".join(raw[w.starts[i] : w.ends[i + PHRASE - 1]].tobytes().split()))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["phrase", "words"])
+
+
+def _automata(phrases: list[bytes], symbols: dict[bytes, int]) -> Iterator[ahocorasick.Automaton]:
+    """Automata over words for ``phrases``; ``symbols`` numbers the words, from 1."""
+    for at in range(0, len(phrases), AUTOMATON_PHRASES):
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        for phrase in phrases[at : at + AUTOMATON_PHRASES]:
+            automaton.add_word(tuple(symbols.setdefault(x, len(symbols) + 1) for x in phrase.split()))
+        automaton.make_automaton()
+        yield automaton
+
+
+def _locate(docs: pa.Table, phrases: pa.Table) -> pa.Table:
+    """(window, doc_id) for each distinct window of a shard's documents (doc_id, text) that elected an occurrence of a phrase."""
+    symbols: dict[bytes, int] = {}
+    automata = list(_automata(phrases["words"].to_pylist(), symbols))
+    out = []
+    docs = docs.combine_chunks()
+    for first, end, raw, offs in text_slices(docs["text"]):
+        w = words.split(raw, offs)
+        starts, at, _ = _elected(w)
+        found = np.zeros(len(w.hashes) + 1, bool)
+        for d, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
+            own = tuple(symbols.get(x, 0) for x in raw[a:b].tobytes().split())
+            for automaton in automata:
+                last = np.fromiter((i for i, _ in automaton.iter(own)), np.int64)
+                found[w.bounds[d] + last - PHRASE + 1] = True
+        keep = found[at]
+        whole = words.windows(w.hashes, WINDOW)[starts[keep]]
+        owner = np.searchsorted(w.bounds, starts[keep], "right") - 1
+        lists = _lists(whole, owner, end - first)
+        ids = docs["doc_id"].combine_chunks().slice(first, end - first).take(lists.value_parent_indices())
+        out.append(pa.table({"window": lists.flatten(), "doc_id": ids}))
+    return pa.concat_tables(out) if out else pa.table({"window": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64())})
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +164,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(profile, edits): doc_id, n_words, words_sha of every row; EDIT rows of the (doc_id, words_sha) that lose words."""
+    """(profile, edits): doc_id, n_words, words_sha of every row; EDIT rows of the (doc_id, words_sha) that lose
+    words, with ``mixed``: whether rows of that doc_id have different words."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profile = written(rows.mapInArrow(_profile, PROFILE), "profile")
     long = profile.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= WINDOW))
@@ -155,22 +177,29 @@ def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .select("doc_id", "words_sha", F.col("n_words").alias("n_removed"), F.lit(EMPTY_SHA).alias("kept_sha256"), F.lit("").alias("kept_text"))
         .dropDuplicates(["doc_id", "words_sha"])
     )
+    # Whether the rows of a doc_id have different texts: then rows are told apart by their words.
+    mixed = profile.where("doc_id IS NOT NULL").groupBy("doc_id").agg((F.min("words_sha") != F.max("words_sha")).alias("mixed"))
     elected = long.join(first, "words_sha").where("doc_id = first_id").select("doc_id", "words_sha", F.explode("phrases").alias("phrase"))
-    recurring = elected.groupBy("phrase").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("phrase")
-    phrases = elected.join(recurring, "phrase").groupBy("doc_id", "words_sha").agg(F.collect_set("phrase").alias("phrases"))
+    recurring = elected.groupBy("phrase").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("phrase", "lo")
+    phrases = elected.join(recurring, "phrase").groupBy("doc_id", "words_sha").agg(F.collect_set("phrase").alias("phrases"), F.collect_set(F.when(F.col("doc_id") == F.col("lo"), F.col("phrase"))).alias("firsts"))
+    wanted = phrases.join(mixed, "doc_id")
     shards = written(
         rows.where(F.col("text").isNotNull())
-        .join(phrases, "doc_id")
-        .where(_sha(F.col("text")) == F.col("words_sha"))
+        .join(wanted, "doc_id")
+        .where(~F.col("mixed") | (_sha(F.col("text")) == F.col("words_sha")))
         .groupBy("doc_id", "words_sha")
-        .agg(F.first("text").alias("text"), F.first("phrases").alias("phrases")),
+        .agg(F.first("text").alias("text"), F.first("phrases").alias("phrases"), F.first("firsts").alias("firsts"), F.first(F.octet_length("text")).alias("size")),
         "shards",
     )
-    located = written(shards.mapInArrow(_locate, "window long, doc_id long"), "located")
+    n = max(1, -(-(shards.agg(F.sum("size")).first()[0] or 0) // SHARD_BYTES))
+    shard = F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("shard")
+    said = shards.where(F.size("firsts") > 0).select("text", "firsts").mapInArrow(_phrase_words, "phrase long, words binary").groupBy("phrase").agg(F.min("words").alias("words"))
+    needed = shards.select(shard, F.explode("phrases").alias("phrase")).distinct().join(said, "phrase").select("shard", "words")
+    located = written(shards.select(shard, "doc_id", "text").groupBy("shard").cogroup(needed.groupBy("shard")).applyInArrow(_locate, "window long, doc_id long"), "located")
     owners = located.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("window", "owner")
     gone = located.join(owners, "window").where("doc_id > owner").groupBy("doc_id").agg(F.collect_set("window").alias("gone"))
     partial = shards.select("doc_id", "words_sha", "text").join(gone, "doc_id").mapInArrow(_cut, EDIT).where("n_removed > 0")
-    return profile.select("doc_id", "n_words", "words_sha"), copies.unionByName(partial)
+    return profile.select("doc_id", "n_words", "words_sha"), copies.unionByName(partial).join(mixed, "doc_id")
 
 
 def _sha(text: Column) -> Column:
@@ -197,8 +226,9 @@ def remove_repeated_passages(docs: DataFrame) -> DataFrame:
     becomes empty. The parts that stay are joined by a line end.
     """
     _, edits = repeated_passages(docs)
-    edits = edits.select("doc_id", "words_sha", F.struct("kept_text").alias("edit")).alias("e")
+    edits = edits.select("doc_id", "words_sha", "mixed", F.struct("kept_text").alias("edit")).alias("e")
     own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].cast("long").alias("key")).alias("d")
-    joined = own.join(edits, (F.col("d.key") == F.col("e.doc_id")) & (F.col("e.words_sha") == _sha(F.col("d.row.text"))), "left")
+    same = ~F.col("e.mixed") | (F.col("e.words_sha") == _sha(F.col("d.row.text")))
+    joined = own.join(edits, (F.col("d.key") == F.col("e.doc_id")) & same, "left")
     text = F.when(F.col("edit").isNull(), F.col("row.text")).otherwise(F.col("edit.kept_text"))
     return joined.select(*(text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))

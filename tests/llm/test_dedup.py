@@ -98,3 +98,27 @@ def test_passages_cut_from_the_texts(odd_docs, odd_rows):
     untouched = {i for i, _, gone, _ in brute.passages(odd_rows) if not gone}
     text = dict(odd_rows)
     assert all(r["text"] == text[r["doc_id"]] for r in rows if r["doc_id"] in untouched and r["doc_id"] is not None)
+
+
+def test_occurrences_come_from_the_automata(monkeypatch):
+    """A shard finds nothing without automata, and the same with one automaton or with one for each phrase."""
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    shared = sentence(rng, 80)
+    texts = [sentence(rng, 30) + " " + shared, shared + "\n" + sentence(rng, 200), sentence(rng, 300)]
+    profile = pa.concat_tables([pa.Table.from_batches([b]) for b in passages._profile(iter([pa.record_batch({"doc_id": [1, 2, 3], "text": texts})]))])
+    both = set(profile["phrases"][0].as_py()) & set(profile["phrases"][1].as_py())
+    assert both
+    ((batch),) = passages._phrase_words(iter([pa.record_batch({"text": texts[:1], "wanted": pa.array([list(both)], pa.list_(pa.int64()))})]))
+    phrases = pa.table({"words": batch.column(1)})
+    assert all(f" {p.decode()} " in f" {shared} " for p in phrases["words"].to_pylist())
+    docs = pa.table({"doc_id": [1, 2, 3], "text": texts})
+    one = passages._locate(docs, phrases)
+    owners: dict = {}
+    for r in one.to_pylist():
+        owners.setdefault(r["window"], set()).add(r["doc_id"])
+    assert sum(v == {1, 2} for v in owners.values()) == 31 and all(3 not in v for v in owners.values())
+    monkeypatch.setattr(passages, "AUTOMATON_PHRASES", 1)
+    assert passages._locate(docs, phrases).equals(one)
+    assert passages._locate(docs, phrases.slice(0, 0)).num_rows == 0
