@@ -1,33 +1,42 @@
 """Document quality by n-gram perplexity, with bands for each language.
 
 The base rules count words, symbols, repeated lines and repeated 3-word
-windows. The method is a modified Kneser-Ney model of ORDER symbols, where a
-symbol is one of 32 classes of UTF-8 bytes. Spark counts the n-grams of every
-document by language; each language's model is fitted in one task from at most
-32 ** ORDER counts and stored as arrays sorted by n-gram hash. A document is
-rejected if the logarithm of its perplexity is outside its language's band
-about the median. A mean over n symbols strays by a spread over sqrt(n), so the
-band is BAND robust standard deviations of (log perplexity - median) * sqrt(n),
-divided by sqrt(n), and LEAST_BAND at least.
-
-The MAX_MODELS commonest languages of at least MIN_DOCS documents have a model
-of their own; all others, and null, share one. That bounds what is broadcast,
-whatever the corpus: (MAX_MODELS + 1) * 32 ** ORDER entries.
+windows. The method is a modified Kneser-Ney model of ORDER code points for
+each language (null is one): letters in lower case, digits as 0, white space as
+one space. Spark counts in how many documents of a language each n-gram is;
+contexts, continuation counts, discounts and probabilities are grouped
+aggregations and joins, so the model grows with the corpus and is in no one
+task or machine. Every document that is judged is among those counted, so one
+document is taken off each count: an n-gram that only the document itself has
+is unseen, and junk cannot vouch for itself.
+
+For scoring, the n-grams of most documents, at most HEAD of them, are broadcast
+as a sorted hash array with an index of its first bits. The others' hashes
+leave the scan with their document and meet the model in a join; where the line
+is drawn makes no difference to a score.
+
+A document is rejected if the logarithm of its perplexity is outside its
+language's band about the median. A mean over n symbols strays by a spread over
+sqrt(n), so the band is BAND robust standard deviations of (log perplexity -
+median) * sqrt(n), divided by sqrt(n), and LEAST_BAND at least. A language of
+few documents, N of them, knows its band poorly; it is wider by 1 + SMALL / N.
 
 A null or empty text has no words, fails the base rules and has a null
-perplexity. Rows of repeated or null doc_ids are documents of their own. Only
-doc_id, text and lang are read.
+perplexity, as has a text of fewer than ORDER symbols. Rows of repeated or null
+doc_ids are documents of their own, equal rows too. Only doc_id, text and lang
+are read.
 """
 
 from __future__ import annotations
 
 import functools
-import pickle
+import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,174 +48,208 @@ REPEAT_WINDOW = 3
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = b"#*$%&|<>"
 
-ORDER = 4
-MAX_MODELS = 32
-MIN_DOCS = 100
+ORDER = 5
 BAND = 5.0
 LEAST_BAND = 0.05
-#: Bands come from histograms of log perplexity with bins of this width.
-BIN = 0.001
-OTHER = ""
-
-STATS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_grams long, log_perplexity double"
-_BITS = 5
+SMALL = 20
+#: Bands come from histograms with bins of these widths: of log perplexity, and of its scaled distance from the median.
+BIN, AWAY_BIN = 0.001, 0.01
+#: n-grams whose probabilities are broadcast.
+HEAD = 1 << 21
+#: One row for each language goes to every executor while there are at most so many.
+BROADCAST_LANGUAGES = 100_000
+#: n-grams that a task holds before it sends their counts on.
+_HELD = 1 << 20
+_INDEX_BITS = 22
+
+STATS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_grams long, known double, missing array<long>, row long"
 _U = np.uint64
 
 
+# ---- symbols and n-grams ----
+
+
 @functools.cache
-def _classes() -> np.ndarray:
-    """The class of each byte: white space 0, letters 1-26, digits 27, symbols 28, other ASCII 29, UTF-8 lead 30, continuation 31."""
-    out = np.full(256, 29, np.uint32)
-    for c in b" \t\n\x0b\x0c\r":
-        out[c] = 0
-    for i in range(26):
-        out[ord("a") + i] = out[ord("A") + i] = 1 + i
-    for c in b"0123456789":
-        out[c] = 27
-    for c in SYMBOLS:
-        out[c] = 28
-    out[0x80:0xC0] = 31
-    out[0xC0:] = 30
+def _folds() -> np.ndarray:
+    """Each code point's symbol."""
+    out = np.arange(0x110000, dtype=np.uint32)
+    for c in range(0x323B0):
+        x = chr(c)
+        if x.isspace():
+            out[c] = 32
+        elif x.isdecimal():
+            out[c] = 48
+        elif len(low := x.lower()) == 1:
+            out[c] = ord(low)
     return out
 
 
-def codes(raw: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """The packed n-gram of classes that ends at each byte, from byte order - 1 on."""
-    c = _classes()[raw]
-    n = max(len(c) - order + 1, 0)
-    out = np.zeros(n, np.uint32)
-    for j in range(order):
-        out = (out << np.uint32(_BITS)) | c[j : j + n]
-    return out
+def symbols(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of the texts, and the range of each text's."""
+    codes = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
+    ends = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))[offs]
+    if ends[-1] != len(codes):  # not valid UTF-8: text by text
+        parts = [np.frombuffer(raw[a:b].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for a, b in zip(offs[:-1], offs[1:], strict=True)]
+        codes = np.concatenate([*parts, np.zeros(0, np.uint32)])
+        ends = np.cumsum([0, *map(len, parts)])
+    c = _folds()[codes]
+    keep = np.ones(len(c), bool)
+    keep[1:] = (c[1:] != 32) | (c[:-1] != 32)
+    keep[ends[:-1][ends[:-1] < len(c)]] = True
+    return c[keep], np.concatenate(([0], np.cumsum(keep)))[ends]
+
 
+def seed(lang: str) -> int:
+    return xxhash.xxh3_64_intdigest(lang.encode())
 
-def hashed(code: np.ndarray) -> np.ndarray:
-    """A 32-bit hash of packed n-grams that no two share."""
-    return code.astype(np.uint32) * np.uint32(0x9E3779B1)
+
+def gram_keys(codes: np.ndarray, bounds: np.ndarray, langs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the n-grams within one text each, the text of each, and its hash with the text's language."""
+    starts = words.inner(bounds, ORDER)
+    owner = np.repeat(np.arange(len(langs)), words.window_counts(bounds, ORDER))
+    mul = words.constants(ORDER, 301) | _U(1)
+    h = np.zeros(max(len(codes) - ORDER + 1, 0), _U)
+    for j in range(ORDER):
+        h += codes[j : j + len(h)].astype(_U) * mul[j]
+    seeds = np.array([seed(x) for x in langs], _U)
+    return starts, owner, words.mix(h[starts] + seeds[owner])
 
 
 # ---- counting ----
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[str, np.ndarray] = {}
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        for lang, v in sums.items():
-            at = np.flatnonzero(v)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(v[at])], ["lang", "gram", "n"])
-        sums.clear()
+    """(lang, gram, key, n): in how many of this task's documents (text, lang) each n-gram is."""
+    parts: list[tuple[np.ndarray, ...]] = []
+    names: dict[str, int] = {}
+
+    def merged() -> tuple[np.ndarray, ...]:
+        key, lang, grams, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        u, first, at = np.unique(key, return_index=True, return_inverse=True)
+        return u, lang[first], grams[first], np.bincount(at, n, len(u)).astype(np.int64)
+
+    def flush() -> pa.RecordBatch:
+        key, lang, grams, n = merged()
+        parts.clear()
+        text = grams.astype("<u4").tobytes().decode("utf-32-le", "replace")
+        order = list(names)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([order[i] for i in lang.tolist()], pa.string()), pa.array([text[i : i + ORDER] for i in range(0, len(text), ORDER)], pa.string()), pa.array(key.view(np.int64)), pa.array(n)],
+            ["lang", "gram", "key", "n"],
+        )
 
     for batch in batches:
         langs = batch.column(1).to_pylist()
         for first, end, raw, offs in text_slices(batch.column(0)):
-            grams = codes(raw)
-            starts = words.inner(offs, ORDER)
-            owner = np.repeat(np.arange(end - first), words.window_counts(offs, ORDER))
-            own = np.array(langs[first:end], object)
-            for lang in sorted(set(langs[first:end])):
-                mine = (own == lang)[owner]
-                if lang not in sums:
-                    sums[lang] = np.zeros(1 << (_BITS * ORDER), np.int64)
-                sums[lang] += np.bincount(grams[starts[mine]], minlength=len(sums[lang]))
-            if len(sums) > 8:
-                yield from flush()
-    yield from flush()
+            codes, bounds = symbols(raw, offs)
+            starts, owner, key = gram_keys(codes, bounds, langs[first:end])
+            if not len(starts):
+                continue
+            once = np.unique(words.mix(key + (owner.astype(_U) + _U(1)) * _U(0x9E3779B97F4A7C15)), return_index=True)[1]  # each n-gram once a document
+            u, at, n = np.unique(key[once], return_index=True, return_counts=True)
+            at = once[at]
+            own = np.array([names.setdefault(x, len(names)) for x in langs[first:end]])
+            parts.append((u, own[owner[at]], codes[starts[at][:, None] + np.arange(ORDER)], n))
+        if len(parts) > 16:
+            parts = [merged()]
+            if len(parts[0][0]) > _HELD:
+                yield flush()
+    if parts:
+        yield flush()
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """(lang, gram, key, n): in how many documents of ``docs`` (text, lang) each n-gram is, but for one."""
+    found = docs.where(F.col("text").isNotNull()).select("text", "lang").mapInArrow(_count, "lang string, gram string, key long, n long")
+    return found.groupBy("lang", "gram").agg(F.first("key").alias("key"), (F.sum("n") - 1).alias("n"))
 
 
 # ---- the model ----
 
 
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts of 0, 1, 2, and 3 or more."""
-    n1, n2, n3, n4 = (max(int((counts == k).sum()), 1) for k in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2)
-    d = np.array([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])
-    return np.clip(d, [0, 0.05, 0.1, 0.15], [0, 0.95, 1.9, 2.85])
-
-
-def kneser_ney(grams: np.ndarray, counts: np.ndarray, order: int = ORDER) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order from 1: sorted hashes of seen n-grams, log probability, log weight of the next lower order after them.
-
-    Probabilities are interpolated; lower orders use the number of distinct
-    symbols seen before, and order 0 is uniform. The last array of the
-    highest order is empty, as nothing follows it.
+def _by_language(df: DataFrame, each: DataFrame) -> DataFrame:
+    """``df`` with the columns of ``each`` (one row for each lang), which is broadcast while it is small."""
+    return df.join(F.broadcast(each) if each.count() <= BROADCAST_LANGUAGES else each, "lang", "left")
+
+
+def _level(grams: DataFrame, lower: DataFrame, order: int) -> DataFrame:
+    """(lang, gram, p) of ``grams`` (lang, gram, n) of ``order`` symbols; ``lower`` has p of those of one symbol fewer,
+    or, for single symbols, of the language's empty n-gram."""
+    grams = grams.withColumn("context", F.substring("gram", 1, order - 1)).withColumn("suffix", F.substring("gram", 2, order - 1))
+    at = lambda k: F.greatest(F.count_if(F.col("n") == k), F.lit(1))
+    counts = grams.groupBy("lang").agg(*(at(k).alias(f"n{k}") for k in (1, 2, 3, 4)))
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    d = [(k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"), 0.05 * k, 0.95 * k) for k in (1, 2, 3)]
+    discounts = written(counts.select("lang", *(F.greatest(F.least(x, F.lit(hi)), F.lit(lo)).alias(f"d{k + 1}") for k, (x, lo, hi) in enumerate(d))), "discounts")
+    contexts = grams.groupBy("lang", "context").agg(F.sum("n").alias("total"), *(F.count_if(test).alias(f"c{k}") for k, test in ((1, F.col("n") == 1), (2, F.col("n") == 2), (3, F.col("n") >= 3))))
+    contexts = _by_language(contexts, discounts)
+    mass = F.when(F.col("total") > 0, sum(F.col(f"c{k}") * F.col(f"d{k}") for k in (1, 2, 3)) / F.col("total")).otherwise(1.0)
+    contexts = contexts.select("lang", "context", "total", mass.alias("mass"), "d1", "d2", "d3")
+    joined = grams.join(contexts, ["lang", "context"]).join(lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below")), ["lang", "suffix"])
+    n = F.col("n")
+    left = n - F.when(n == 0, 0.0).when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
+    return joined.withColumn("p", F.when(F.col("total") > 0, left / F.col("total")).otherwise(0.0) + F.col("mass") * F.col("below"))
+
+
+def model(counts: DataFrame) -> DataFrame:
+    """(key, n, log_p) of the n-grams of ``counts`` (lang, gram, key, n), by interpolated Kneser-Ney smoothing.
+
+    n-grams with a count of 0 have the probability of what is unseen. Lower
+    orders count how many symbols were seen before; the lowest is uniform over
+    the symbols of the language and one more.
     """
-    levels = {order: (grams.astype(np.uint32), counts.astype(np.int64))}
-    for k in range(order - 1, 0, -1):
-        low, n = np.unique(levels[k + 1][0] & np.uint32((1 << (_BITS * k)) - 1), return_counts=True)
-        levels[k] = (low, n)
-    lower_g, lower_p = np.zeros(1, np.uint32), np.array([1 / (1 << _BITS)])
-    out: list[list[np.ndarray]] = []
-    for k in range(1, order + 1):
-        g, n = levels[k]
-        by = np.argsort(g, kind="stable")
-        g, n = g[by], n[by]
-        d = _discounts(n)[np.minimum(n, 3)]
-        context, first, index = np.unique(g >> np.uint32(_BITS), return_index=True, return_inverse=True)
-        total = np.add.reduceat(n, first) if len(g) else n
-        weight = (np.add.reduceat(d, first) if len(g) else d) / total
-        suffix = g & np.uint32((1 << (_BITS * (k - 1))) - 1) if k > 1 else np.zeros(len(g), np.uint32)
-        p = (n - d) / total[index] + weight[index] * lower_p[np.searchsorted(lower_g, suffix)]
-        if out:  # weights of contexts belong to the n-grams of the order below
-            out[-1][2] = np.zeros(len(lower_g))
-            at = np.searchsorted(lower_g, context)
-            fits = (at < len(lower_g)) & (lower_g[np.minimum(at, len(lower_g) - 1)] == context)
-            out[-1][2][at[fits]] = np.log(weight[fits])
-        out.append([g, np.log(p), np.zeros(0)])
-        lower_g, lower_p = g, p
-        if k == 1:
-            root = float(np.log(weight[0])) if len(weight) else 0.0
-    table = []
-    for g, p, w in out:
-        h = hashed(g)
-        by = np.argsort(h)
-        table.append((h[by], p[by].astype(np.float32), w[by].astype(np.float32) if len(w) else w.astype(np.float32)))
-    return [(np.zeros(1, np.uint32), np.array([-np.log(1 << _BITS)], np.float32), np.array([root], np.float32)), *table]
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-    return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
-
-
-def log_probabilities(table: list[tuple[np.ndarray, np.ndarray, np.ndarray]], grams: np.ndarray) -> np.ndarray:
-    """log P(last symbol | the symbols before) of packed n-grams of the highest order, backing off where unseen."""
-    out = np.zeros(len(grams))
-    left = np.arange(len(grams))
-    for k in range(len(table) - 1, 0, -1):
-        g = grams[left] & np.uint32((1 << (_BITS * k)) - 1)
-        at, seen = _find(table[k][0], hashed(g))
-        out[left[seen]] += table[k][1][at[seen]]
-        left, g = left[~seen], g[~seen]
-        if not len(left):
-            return out
-        keys, _, weights = table[k - 1]
-        if k > 1:
-            at, seen = _find(keys, hashed(g >> np.uint32(_BITS)))
-            out[left[seen]] += weights[at[seen]]
-        else:
-            out[left] += weights[0]
-    out[left] += table[0][1][0]
-    return out
-
-
-def _fit(key: tuple, counts: pd.DataFrame) -> pd.DataFrame:
-    table = kneser_ney(counts["gram"].to_numpy(), counts["n"].to_numpy())
-    return pd.DataFrame({"lang": [key[0]], "model": [pickle.dumps(table)]})
-
-
-def models(docs: DataFrame) -> dict[str, list]:
-    """A Kneser-Ney table for each model language; ``docs`` has text and lang, as ``model_languages`` leaves it."""
-    counts = docs.where(F.col("text").isNotNull()).select("text", "lang").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return {r["lang"]: pickle.loads(r["model"]) for r in counts.groupBy("lang").applyInPandas(_fit, "lang string, model binary").collect()}
-
-
-def model_languages(docs: DataFrame) -> DataFrame:
-    """doc_id, text, lang of ``docs``, where lang is OTHER for languages without a model of their own."""
-    common = docs.where("lang IS NOT NULL").groupBy(F.col("lang").cast("string").alias("lang")).count().where(F.col("count") >= MIN_DOCS).orderBy(F.desc("count"), "lang").limit(MAX_MODELS).collect()
-    own = F.col("lang").cast("string").isin([r["lang"] for r in common]) if common else F.lit(False)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.when(own, F.col("lang").cast("string")).otherwise(OTHER).alias("lang"))
+    levels = {ORDER: counts}
+    for k in range(ORDER - 1, 0, -1):
+        up = levels[k + 1]
+        levels[k] = written(up.groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count_if(F.col("n") > 0).alias("n")), f"level{k}")
+    lower = levels[1].groupBy("lang").agg((1 / (F.count("*") + 1)).alias("p")).withColumn("gram", F.lit(""))
+    for k in range(1, ORDER):
+        lower = written(_level(levels[k], lower, k).select("lang", "gram", "p"), f"p{k}")
+    return written(_level(counts, lower, ORDER).select("key", "n", F.log("p").cast("float").alias("log_p")), "model")
+
+
+@dataclass
+class Head:
+    """Sorted n-gram hashes with log probabilities, and where each value of their first bits begins."""
+
+    keys: np.ndarray
+    log_p: np.ndarray
+
+    def __post_init__(self) -> None:
+        by = np.argsort(self.keys)
+        self.keys, self.log_p = self.keys[by], self.log_p[by]
+        self.index = np.searchsorted(self.keys >> _U(64 - _INDEX_BITS), np.arange((1 << _INDEX_BITS) + 1, dtype=_U)).astype(np.int32)
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log probabilities of ``wanted``, 0 where absent, and which are absent."""
+        out = np.zeros(len(wanted))
+        bucket = (wanted >> _U(64 - _INDEX_BITS)).astype(np.int64)
+        at, stop = self.index[bucket], self.index[bucket + 1]
+        left = np.flatnonzero(at < stop)
+        absent = np.ones(len(wanted), bool)
+        at, stop = at[left], stop[left]
+        while len(left):
+            hit = self.keys[at] == wanted[left]
+            out[left[hit]] = self.log_p[at[hit]]
+            absent[left[hit]] = False
+            at += 1
+            more = ~hit & (at < stop)
+            left, at, stop = left[more], at[more], stop[more]
+        return out, absent
+
+
+def head(table: DataFrame) -> Head:
+    """The n-grams of most documents, at most HEAD of them: all with counts from a bound on."""
+    level = F.floor(F.log2(F.col("n") + 1) * 8)
+    sizes = table.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()  # at most 512
+    least, room = None, HEAD
+    for r in sizes:
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["level"]
+    chosen = table.where(level >= least if least is not None else F.lit(False)).select("key", "log_p").toArrow()
+    return Head(chosen["key"].to_numpy().view(_U), chosen["log_p"].to_numpy())
 
 
 # ---- scoring ----
@@ -238,33 +281,45 @@ def base_counts(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     return w.lengths(), chars, symbols, np.array(dup), repeated
 
 
-def statistics(docs: DataFrame, tables: dict[str, list]) -> DataFrame:
-    """STATS of each row of ``docs`` (doc_id, text, lang from ``model_languages``)."""
-    model = docs.sparkSession.sparkContext.broadcast(tables)
+def statistics(docs: DataFrame, known: Head) -> DataFrame:
+    """STATS of each row of ``docs`` (doc_id, text, lang): ``known`` is the sum of the log probabilities in the head,
+    ``missing`` has the hashes of the other n-grams, ``row`` a number of the row's own."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = model.value
+        table = shared.value
+        row = int.from_bytes(os.urandom(7)) << 7
         for batch in batches:
             langs = batch.column(2).to_pylist()
             for first, end, raw, offs in text_slices(batch.column(1)):
-                grams = codes(raw)
-                starts = words.inner(offs, ORDER)
-                counts = words.window_counts(offs, ORDER)
-                owner = np.repeat(np.arange(end - first), counts)
-                own = np.array(langs[first:end], object)
-                sums = np.zeros(end - first)
-                for lang in sorted(set(langs[first:end]) & set(known)):
-                    mine = (own == lang)[owner]
-                    sums += np.bincount(owner[mine], log_probabilities(known[lang], grams[starts[mine]]), minlength=end - first)
-                mean = np.where(counts > 0, -sums / np.maximum(counts, 1), np.nan)
+                codes, bounds = symbols(raw, offs)
+                _, owner, key = gram_keys(codes, bounds, langs[first:end])
+                log_p, absent = table.find(key)
+                sums = np.bincount(owner, log_p, minlength=end - first)
+                ends = np.concatenate(([0], np.cumsum(np.bincount(owner[absent], minlength=end - first)))).astype(np.int32)
+                missing = pa.ListArray.from_arrays(ends, key[absent].view(np.int64))
+                counts = words.window_counts(bounds, ORDER)
+                rows = np.arange(row, row + end - first)
+                row += end - first
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first), batch.column(2).slice(first, end - first), *(pa.array(x, pa.int64()) for x in base_counts(raw, offs)), pa.array(counts, pa.int64()), pa.array(mean, from_pandas=True)],
+                    [batch.column(0).slice(first, end - first), batch.column(2).slice(first, end - first), *(pa.array(x, pa.int64()) for x in base_counts(raw, offs)), pa.array(counts, pa.int64()), pa.array(sums), missing, pa.array(rows, pa.int64())],
                     [x.split()[0] for x in STATS.split(", ")],
                 )
 
     return docs.select("doc_id", "text", "lang").mapInArrow(score, STATS)
 
 
+def scored(stats: DataFrame, table: DataFrame) -> DataFrame:
+    """``stats`` with ``log_perplexity``, null without n-grams; what the head lacks is looked up in ``table``."""
+    total = F.col("known")
+    if not stats.where(F.size("missing") > 0).isEmpty():
+        asked = stats.select("row", F.explode("missing").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
+        found = asked.join(table.select("key", "log_p"), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("log_p").cast("double")).alias("rest"))
+        stats = stats.join(found, "row", "left")
+        total = total + F.coalesce("rest", F.lit(0.0))
+    return stats.withColumn("log_perplexity", F.when(F.col("n_grams") > 0, -total / F.col("n_grams"))).drop("missing", "row", "known", "rest")
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
@@ -275,27 +330,31 @@ def bands(stats: DataFrame) -> DataFrame:
     Quantiles come from a histogram, so no task holds a language's documents.
     """
 
-    def median(df: DataFrame, value: str, name: str) -> DataFrame:
-        bins = df.groupBy("lang", F.round(F.col(value) / BIN).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    def median(df: DataFrame, value: str, name: str, width: float) -> DataFrame:
+        bins = df.groupBy("lang", F.round(F.col(value) / width).cast("long").alias("bin")).agg(F.count("*").alias("n"))
         w = Window.partitionBy("lang")
         upto = F.sum("n").over(w.orderBy("bin"))
-        return bins.withColumn("upto", upto).withColumn("all", F.sum("n").over(w)).where("2 * upto >= all").groupBy("lang").agg((F.min("bin") * BIN).alias(name))
+        half = bins.withColumn("upto", upto).withColumn("all", F.sum("n").over(w)).where("2 * upto >= all")
+        return half.groupBy("lang").agg((F.min("bin") * width).alias(name), F.max("all").alias("docs"))
 
     good = stats.where(~base_failed() & F.col("log_perplexity").isNotNull()).select("lang", "log_perplexity", "n_grams")
-    middle = median(good, "log_perplexity", "middle")
-    away = good.join(F.broadcast(middle), "lang").withColumn("away", F.abs(F.col("log_perplexity") - F.col("middle")) * F.sqrt("n_grams"))
-    return middle.join(median(away, "away", "mad"), "lang").select("lang", "middle", (F.col("mad") * 1.4826 * BAND).alias("spread"))
+    middle = written(median(good, "log_perplexity", "middle", BIN), "middle")
+    away = _by_language(good, middle).withColumn("away", F.least(F.abs(F.col("log_perplexity") - F.col("middle")) * F.sqrt("n_grams"), F.lit(1e4)))
+    wider = 1 + SMALL / F.col("docs")
+    return written(middle.join(median(away, "away", "mad", AWAY_BIN).drop("docs"), "lang").select("lang", "middle", wider.alias("wider"), (F.col("mad") * 1.4826 * BAND).alias("spread")), "bands")
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, log_perplexity, kept: one row for each row of ``docs`` (doc_id, text, lang)."""
-    named = model_languages(docs)
-    stats = written(statistics(named, models(named)), "statistics")
-    width = F.greatest(F.col("spread") / F.sqrt(F.greatest("n_grams", F.lit(1))), F.lit(LEAST_BAND))
+    lang = F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit(""))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"))
+    table = model(written(counted(named), "grams"))
+    stats = written(scored(written(statistics(named, head(table)), "statistics"), table), "scored")
+    width = F.greatest(F.col("spread") / F.sqrt(F.greatest("n_grams", F.lit(1))), F.lit(LEAST_BAND)) * F.col("wider")
     low, high = F.col("middle") - width, F.col("middle") + width
     inside = F.coalesce(F.col("log_perplexity").between(low, high), F.lit(True))
     return (
-        stats.join(F.broadcast(bands(stats)), "lang", "left")
+        _by_language(stats, bands(stats))
         .withColumn("base_failed", base_failed())
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_perplexity", low.alias("low"), high.alias("high"), (~F.col("base_failed") & inside).alias("kept"))
     )

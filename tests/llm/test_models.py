@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -65,45 +67,86 @@ def test_language_edge_cases(odd_docs, no_docs, odd_rows):
             assert (r["lang_pred"] == "und") == (not letters[r["doc_id"]])
 
 
-def _kneser_ney(counts, order):
-    """P(symbol | context) by the textbook recursion, for checking."""
-    levels = {order: dict(counts)}
-    for k in range(order - 1, 0, -1):
-        levels[k] = {}
-        for g in levels[k + 1]:
-            levels[k][g[1:]] = levels[k].get(g[1:], 0) + 1
-
-    def discount(k):
-        n = [max(sum(v == j for v in levels[k].values()), 1) for j in (1, 2, 3, 4)]
-        y = n[0] / (n[0] + 2 * n[1])
-        d = [0, 1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
-        return [min(max(x, lo), hi) for x, lo, hi in zip(d, (0, 0.05, 0.1, 0.15), (0, 0.95, 1.9, 2.85), strict=True)]
-
-    def p(gram):
-        k = len(gram)
-        if k == 0:
-            return 1 / 32
-        after = {g: v for g, v in levels[k].items() if g[:-1] == gram[:-1]}
-        if not after:
-            return p(gram[1:])
-        d, total, c = discount(k), sum(after.values()), after.get(gram, 0)
-        return (c - d[min(c, 3)]) / total + sum(d[min(v, 3)] for v in after.values()) / total * p(gram[1:])
-
-    return p
-
-
-def test_kneser_ney_matches_the_textbook():
-    rng = random.Random(4)
-    grams = [tuple(rng.choice((1, 2, 3, 5)) for _ in range(3)) for _ in range(60)]
-    counts = {g: rng.randint(1, 5) for g in grams}
-    pack = lambda g: sum(x << (5 * (len(g) - 1 - i)) for i, x in enumerate(g))
-    table = quality_lm.kneser_ney(np.array([pack(g) for g in counts]), np.array(list(counts.values())), 3)
-    p = _kneser_ney(counts, 3)
-    asked = [(a, b, c) for a in (1, 2, 7) for b in (1, 3, 7) for c in range(6)]
-    found = np.exp(quality_lm.log_probabilities(table, np.array([pack(g) for g in asked], np.uint32)))
-    assert np.allclose(found, [p(g) for g in asked], rtol=1e-4)
-    every = np.exp(quality_lm.log_probabilities(table, np.array([pack((1, 2, c)) for c in range(32)], np.uint32)))
-    assert abs(every.sum() - 1) < 1e-3
+def _fold(text):
+    return re.sub(r"\s+", " ", "".join(c.lower() if len(c.lower()) == 1 else c for c in text or "")).translate({ord(c): "0" for c in "123456789"})
+
+
+def _judged(rows):
+    """doc -> (log perplexity, kept) by the textbook recursion and plain medians, of rows (doc_id, text, lang)."""
+    order = quality_lm.ORDER
+    per = {}
+    grams = {i: [f[j : j + order] for j in range(len(f) - order + 1)] for i, t, _ in rows for f in [_fold(t)]}
+    for i, _, lang in rows:
+        for g in set(grams[i]):
+            per.setdefault(lang, {}).setdefault(g, set()).add(i)
+    out = {}
+    for lang, docs in per.items():
+        levels = {order: {g: len(v) - 1 for g, v in docs.items()}}
+        for k in range(order - 1, 0, -1):
+            levels[k] = {}
+            for g, v in levels[k + 1].items():
+                levels[k][g[1:]] = levels[k].get(g[1:], 0) + (v > 0)
+        discounts, after = {}, {}
+        for k, level in levels.items():
+            n = [max(sum(v == j for v in level.values()), 1) for j in (1, 2, 3, 4)]
+            y = n[0] / (n[0] + 2 * n[1])
+            d = [0, 1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
+            discounts[k] = [min(max(v, 0.05 * j), 0.95 * j) for j, v in enumerate(d)]
+            for g, v in level.items():
+                after.setdefault(g[:-1], []).append(v)
+        known = {"": 1 / (len(levels[1]) + 1)}
+
+        def p(g, known=known, after=after, discounts=discounts, levels=levels):
+            if g not in known:
+                k, low = len(g), p(g[1:])
+                total, d = sum(after[g[:-1]]), discounts[k]
+                c = levels[k][g]
+                known[g] = (c - d[min(c, 3)]) / total + sum(d[min(v, 3)] for v in after[g[:-1]]) / total * low if total else low
+            return known[g]
+
+        own = [(i, -sum(math.log(p(g)) for g in grams[i]) / len(grams[i]), len(grams[i])) for i, _, name in rows if name == lang and grams[i]]
+        fine = [x for x in own if not _base_failed(next(t for i, t, _ in rows if i == x[0]))]
+        median = lambda v: sorted(v)[(len(v) - 1) // 2]
+        middle = median([x for _, x, _ in fine]) if fine else None
+        spread = median([abs(x - middle) * math.sqrt(n) for _, x, n in fine]) * 1.4826 * quality_lm.BAND if fine else None
+        for i, x, n in own:
+            width = max(spread / math.sqrt(n), quality_lm.LEAST_BAND) * (1 + quality_lm.SMALL / len(fine)) if fine else 0
+            out[i] = (x, (x - middle, width) if fine else None)
+    return out
+
+
+def _base_failed(text):
+    n, _, _, _, repeated = brute.base_counts(text)
+    return n < 50 or 100 * repeated > 50 * n
+
+
+def test_perplexities_and_verdicts_match_brute_force(labelled, spark, monkeypatch):
+    """Kneser-Ney by the textbook, bands by plain medians; the same whatever share of the model is broadcast."""
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in labelled[0].limit(120).collect()]
+    docs += [(9000, "A1 b\t\n22 Ünë " * 30 + "end", None), (9001, "zz9 " * 80, None), (9002, "few", "xx"), (9003, None, "xx"), (9004, docs[0][1], docs[0][2])]
+    want = _judged(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3)
+    for most in (1 << 21, 200, 0):
+        monkeypatch.setattr(quality_lm, "HEAD", most)
+        rows = {r["doc_id"]: r for r in quality_lm.quality(df).collect()}
+        assert {i for i, r in rows.items() if r["log_perplexity"] is not None} == set(want)
+        for i, (x, band) in want.items():
+            r = rows[i]
+            assert r["log_perplexity"] == pytest.approx(x, rel=1e-5)
+            if band is None:
+                assert r["kept"] == (not r["base_failed"])
+            elif abs(abs(band[0]) - band[1]) > 0.05:  # the histogram's bins move the edges a little
+                assert r["kept"] == (not r["base_failed"] and abs(band[0]) <= band[1])
+
+
+def test_junk_in_any_script_is_rejected(spark):
+    rng = random.Random(12)
+    letters = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
+    known = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(known) for _ in range(90)), "ru") for i in range(150)]
+    rows += [(1000 + i, " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(90)), "ru") for i in range(10)]
+    kept = {r["doc_id"] for r in quality_lm.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("kept").collect()}
+    assert not {i for i in kept if i >= 1000} and len(kept) >= 147
 
 
 def test_quality_counts_and_edge_cases(odd_docs, no_docs, odd_rows):
