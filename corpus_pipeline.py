@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from quarrystone.llm import decontamination, mixing, near_dedup, passages, site_quality
 from quarrystone.llm.queries import table
-from quarrystone.llm.shared import written
+from quarrystone.llm.shared import removed, scratch, written  # noqa: F401
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` without the doc_ids of ``ids``; rows with a null doc_id stay."""
-    gone = ids.select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    d, gone = docs.alias("d"), ids.select("doc_id").distinct().alias("gone")
+    return d.join(gone, F.col("d.doc_id") == F.col("gone.doc_id"), "left_anti")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,12 +23,19 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the smallest doc_id stays, once."""
-    seen = near_dedup.near_duplicates(docs).where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("key")).agg(F.bool_or("kept").alias("stays"), F.count("*").alias("times"))
-    named = docs.where(F.col("doc_id").isNotNull()).join(seen.where("stays"), F.col("doc_id") == F.col("key"))
-    once = named.where("times = 1").select(*docs.columns)
-    again = named.where("times > 1").select(*docs.columns).dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.where(F.col("doc_id").isNull()))
+    """Of each component of near-duplicates the smallest doc_id stays, once.
+
+    Rows that share a doc_id are one document: of them the one with the smallest
+    text stays, of equal texts the one with the smallest hash of the other columns.
+    """
+    seen = near_dedup.near_duplicates(docs).where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.bool_or("kept").alias("stays"), F.count("*").alias("times"))
+    d, k = docs.alias("d"), seen.where("stays").alias("k")
+    named = d.join(k, F.col("d.doc_id") == F.col("k.doc_id")).select(F.struct("d.*").alias("row"), F.col("k.times").alias("times"))
+    once = named.where("times = 1").select("row")
+    order = F.struct(F.col("row.text"), F.xxhash64(F.to_json("row")))
+    again = named.where("times > 1").groupBy("row.doc_id").agg(F.min_by("row", order).alias("row")).select("row")
+    nameless = docs.where(F.col("doc_id").isNull())
+    return once.unionByName(again).select("row.*").unionByName(nameless)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,13 +62,21 @@ STAGES = [
     ("mixing sources to target weights", mixing_to_weights),
 ]
 
-#: SQL cannot express the classifier or the cut passages; tests/llm holds each stage against brute force.
+#: SQL cannot express the classifier or the cut passages; tests/llm holds near-dedup, passages and sizes against
+#: brute force, and the other two stages against their operators, which have such tests of their own.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of the last stage; each stage's rows are written as Parquet and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """The result of the last stage; each stage's rows are written as Parquet and read again by the next.
+
+    What a stage writes for itself is removed when its rows are written, and these when the next stage's are.
+    """
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.split()[0].lower())
+        with scratch(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir), name.split()[0].lower())
+        if last is not None:
+            removed(spark, last)
+        last = keep.path
     return docs

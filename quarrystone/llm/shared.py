@@ -35,13 +35,44 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Folders of the scopes that are open, outermost first.
+_open: list[str] = []
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there, and no
-    executor's loss takes the rows with it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarrystone/{tag}-{uuid.uuid4().hex}"
+    executor's loss takes the rows with it. Within ``scratch`` it is removed at the end of that."""
+    return _written(df, "/".join([shared_dir(df.sparkSession), "quarrystone", *_open, f"{tag}-{uuid.uuid4().hex}"]))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this subpackage has written."""
+    named = spark._jvm.org.apache.hadoop.fs.Path(path)
+    named.getFileSystem(spark._jsc.hadoopConfiguration()).delete(named, True)
+
+
+class scratch:  # noqa: N801
+    """A scope whose written tables are removed at its end, but for the one given to it: ``with scratch(spark) as keep: df = keep(df, tag)``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.name, self.path = spark, f"scratch-{uuid.uuid4().hex}", ""
+
+    def __call__(self, df: DataFrame, tag: str) -> DataFrame:
+        self.path = "/".join([shared_dir(self.spark), "quarrystone", *_open[:-1], f"{tag}-{uuid.uuid4().hex}"])
+        return _written(df, self.path)
+
+    def __enter__(self) -> scratch:
+        _open.append(self.name)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _open.remove(self.name)
+        removed(self.spark, "/".join([shared_dir(self.spark), "quarrystone", *_open, self.name]))
 
 
 def words_of(text: Column) -> Column:

@@ -38,10 +38,32 @@ def test_pipeline_stage_by_stage(spark):
     assert sorted(P.run(spark, SF).collect()) == sorted(last)
 
 
+def test_rows_that_share_a_doc_id_are_one_document(spark):
+    import corpus_pipeline as P
+
+    rows = [(1, "b first text of all", "x"), (1, "a second text of it", "y"), (1, "a second text of it", "w"), (2, "another one here now", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [sorted(tuple(r) for r in dict(P.STAGES)["MinHash near-dedup"](spark, docs.repartition(n), SF).collect()) for n in (1, 4)]
+    assert kept[0] == kept[1] and [r[:2] for r in kept[0]] == [(1, "a second text of it"), (2, "another one here now")]
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    from pathlib import Path
+
+    from quarrystone.llm import shared
+
+    with shared.scratch(spark) as keep:
+        shared.written(spark.range(3), "t")
+        out = keep(spark.range(5), "kept")
+    folder = Path(shared.shared_dir(spark).removeprefix("file:")) / "quarrystone"
+    assert out.count() == 5 and not list(folder.glob("scratch-*"))
+
+
 def test_pipeline_on_odd_rows(spark, odd_docs, no_docs):
     import corpus_pipeline as P
 
-    for docs in (odd_docs, no_docs, odd_docs.unionByName(odd_docs)):
+    clashing = odd_docs.selectExpr("*", "1 AS key", "2 AS times", "3 AS stays", "4 AS gone_id", "5 AS row", "6 AS edit", "7 AS words_sha", "8 AS mixed")
+    for docs in (odd_docs, no_docs, odd_docs.unionByName(odd_docs), clashing):
         for _, stage in P.STAGES:
             docs = P.written(stage(spark, docs, SF), "t")
         ids = [r["doc_id"] for r in docs.collect() if r["doc_id"] is not None]
