@@ -5,14 +5,15 @@
    band of full minima.
 2. Documents of equal sets are one class; its smallest doc_id stands for it.
 3. Band buckets make candidate pairs: everyone with the bucket's leader
-   first. Of buckets that the links found leave in several components, the
-   classes outside the commonest component are then held against all others,
-   in blocks, by signatures alone.
-4. Either way a candidate goes on if its collision-corrected b-bit estimate is
+   first. Of buckets that the links found leave in several components, those
+   of SMALL_BUCKET classes or fewer give all pairs across components. In a
+   larger one, the classes outside its commonest component are held against
+   all of it, in blocks of BLOCK classes or BLOCK_SHINGLES shingles, of which
+   only links between components come out.
+4. Everywhere a candidate goes on if its collision-corrected b-bit estimate is
    within MARGIN standard errors of the threshold, and is a link if the full
-   sets say so. Texts of the second kind go once to each pair of blocks in
-   which they have a candidate left, the likeliest pairs are confirmed first, and
-   pairs whose components those have joined are done with.
+   sets say so. Blocks try the likeliest pairs first, and are done with pairs
+   whose components a link has joined.
 5. Links become components; the smallest doc_id of each stays.
 
 Null, empty and blank texts have no shingles and are linked with nothing. A
@@ -22,6 +23,7 @@ node. Columns other than doc_id and text are never read.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -45,11 +47,10 @@ BITS = 2
 BAND_ROWS = 4
 #: Standard errors below the threshold at which an estimate still counts as a candidate.
 MARGIN = 5.0
-#: A bucket is compared in blocks of so many classes, or so many shingles.
+#: Buckets of up to so many classes are compared in full, larger ones in blocks.
+SMALL_BUCKET = 24
 BLOCK = 256
 BLOCK_SHINGLES = 1 << 20
-#: Buckets of so many classes are one block, and compared without numpy, which is not worth its while.
-JOINED = 24
 _CHUNK = 1 << 13
 
 SIGNATURE = "doc_id long, n_shingles long, set_id binary, bits array<long>, bands array<long>"
@@ -185,38 +186,30 @@ def links(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     return near.join(s, "a").join(t, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long")
 
 
-PAIR = "band long, xb int, yb int, a long, b long, root_a long, root_b long, near double"
-
-
-def _likely(key: tuple, xs: pd.DataFrame, ys: pd.DataFrame) -> pd.DataFrame:
-    """PAIR rows of two blocks of one bucket: of different components, first together in this bucket, and with an estimate that counts."""
+def _block_links(key: tuple, xs: pd.DataFrame, ys: pd.DataFrame) -> pd.DataFrame:
+    """Links between two blocks of one bucket, as many as join their components: pairs that first collide in this
+    bucket, by their estimates and then their full sets."""
     ys = ys.rename(columns=lambda c: c.removesuffix("_y"))
-    bands, bits, reps, roots = ([np.array(d[c].tolist(), np.int64).reshape(len(d), -1) for d in (xs, ys)] for c in ("bands", "bits", "rep", "root"))
+    (bx, by), (sx, sy) = ([np.array(d[c].tolist(), np.int64).reshape(len(d), -1) for d in (xs, ys)] for c in ("bands", "bits"))
+    rx, ry = xs["root"].to_numpy(), ys["root"].to_numpy()
     first = np.full((len(xs), len(ys)), -1)
-    for j in range(bands[0].shape[1] - 1, -1, -1):
-        first[bands[0][:, j][:, None] == bands[1][:, j][None, :]] = j
-    here = (first >= 0) & (np.take_along_axis(bands[0], np.maximum(first, 0), 1) == key[0]) & (roots[0] != roots[1].T)
+    for j in range(bx.shape[1] - 1, -1, -1):
+        first[bx[:, j][:, None] == by[:, j][None, :]] = j
+    here = (first >= 0) & (np.take_along_axis(bx, np.maximum(first, 0), 1) == key[0]) & (rx[:, None] != ry[None, :])
     differ = np.zeros(here.shape, np.int64)
-    for j in range(bits[0].shape[1]):
-        d = bits[0][:, j].view(_U)[:, None] ^ bits[1][:, j].view(_U)[None, :]
+    for j in range(sx.shape[1]):
+        d = sx[:, j].view(_U)[:, None] ^ sy[:, j].view(_U)[None, :]
         differ += np.bitwise_count((d | d >> _U(1)) & _U(0x5555555555555555))
     chance = 1 / (1 << BITS)
     near = (1 - differ / PERMUTATIONS - chance) / (1 - chance)
     i, j = np.nonzero(here & (near >= least_estimate()))
-    sides = [(reps[0][i, 0], roots[0][i, 0]), (reps[1][j, 0], roots[1][j, 0])]
-    lower = sides[0][0] < sides[1][0]
-    pick = lambda x, y: np.where(lower, x, y)
-    (ra, oa), (rb, ob) = sides
-    return pd.DataFrame({"band": key[0], "xb": key[1], "yb": key[2], "a": pick(ra, rb), "b": pick(rb, ra), "root_a": pick(oa, ob), "root_b": pick(ob, oa), "near": near[i, j]})
-
-
-def _confirm_block(pairs: pa.Table, texts: pa.Table) -> pa.Table:
-    """The pairs of a block that join components, by their full sets, the likeliest first."""
-    sets: dict[int, np.ndarray] = {}
-    ids = texts["rep"].to_pylist()
-    for first, _, raw, offs in text_slices(texts["text"]):
-        for i, own in enumerate(shingle_sets(raw, offs)):
-            sets[ids[first + i]] = own
+    order = np.argsort(-near[i, j], kind="stable")
+
+    @functools.cache
+    def full(side: int, n: int) -> np.ndarray:
+        raw = np.frombuffer((xs, ys)[side]["text"].iloc[n].encode(), np.uint8)
+        return next(shingle_sets(raw, np.array([0, len(raw)])))
+
     above: dict[int, int] = {}
 
     def top(v: int) -> int:
@@ -225,16 +218,16 @@ def _confirm_block(pairs: pa.Table, texts: pa.Table) -> pa.Table:
         return v
 
     found = []
-    for r in sorted(pairs.select(["near", "a", "b", "root_a", "root_b"]).to_pylist(), key=lambda r: (-r["near"], r["a"], r["b"])):
-        u, v = top(r["root_a"]), top(r["root_b"])
+    for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        u, v = top(int(rx[x])), top(int(ry[y]))
         if u == v:
             continue
-        x, y = sets[r["a"]], sets[r["b"]]
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        if 100 * both >= THRESHOLD_PERCENT * (len(x) + len(y) - both):
+        p, q = full(0, x), full(1, y)
+        both = len(np.intersect1d(p, q, assume_unique=True))
+        if 100 * both >= THRESHOLD_PERCENT * (len(p) + len(q) - both):
             above[max(u, v)] = min(u, v)
-            found.append((r["a"], r["b"]))
-    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+            found.append((int(xs["rep"].iloc[x]), int(ys["rep"].iloc[y])))
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
 def _rooted(members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -270,15 +263,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def _finish(signed: DataFrame, classes: DataFrame, members: DataFrame, bits: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
     apart, roots = _rooted(members.select("band", "rep", "n"), found)
-    own = apart.join(classes.select("rep", "bits", "bands", "n_shingles"), "rep")
-    x, y = (own.where(F.col("n") <= JOINED).select("band", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "root", "bits"))) for k in "ab")
-    near = estimate(F.col("bits_a"), F.col("bits_b")).alias("near")
-    met = x.join(y, "band").where("root_a <> root_b AND rep_a < rep_b")
-    met = met.select("band", F.lit(0).alias("xb"), F.lit(0).alias("yb"), F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "root_a", "root_b", near).where(F.col("near") >= least_estimate())
-    pairs = met.unionByName(_in_blocks(own.where(F.col("n") > JOINED)))
-    pairs = pairs.groupBy("a", "b").agg(F.min(F.struct(*(c.split()[0] for c in PAIR.split(", ") if c[:2] not in ("a ", "b ")))).alias("p"))
-    pairs = written(pairs.select("a", "b", "p.*"), "pairs")
-    more = written(_confirmed(pairs, texts), "links")
+    x, y = (apart.where(F.col("n") <= SMALL_BUCKET).select("band", F.col("rep").alias(k), F.col("root").alias(f"root_{k}")) for k in "ab")
+    pairs = x.join(y, "band").where("root_a <> root_b AND a < b").select("a", "b")
+    more = links(pairs, bits, texts).unionByName(_in_blocks(apart.where(F.col("n") > SMALL_BUCKET), classes, texts))
+    more = written(more, "links")
     if not more.isEmpty():
         roots = components(found.unionByName(more))
     by_set = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("root", "rep").alias("root"))
@@ -290,27 +278,21 @@ def _finish(signed: DataFrame, classes: DataFrame, members: DataFrame, bits: Dat
     )
 
 
-def _in_blocks(large: DataFrame) -> DataFrame:
-    """PAIR rows of buckets (band, rep, root, bits, bands, n_shingles): the classes outside a bucket's commonest component
-    against all its classes, in blocks."""
+def _in_blocks(large: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links of what leaders left apart in large buckets: the classes outside a bucket's
+    commonest component against all its classes, in blocks."""
+    large = large.join(classes.select("rep", "n_shingles"), "rep")
     main = large.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     main = main.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("of_y"), F.sum("s").alias("s_y"))
-    out = large.select("band", "root", "n_shingles").join(main, "band").where("root <> main").groupBy("band").agg(F.count("*").alias("of_x"), F.sum("n_shingles").alias("s_x"))
+    out = large.join(main, "band").where("root <> main").groupBy("band").agg(F.count("*").alias("of_x"), F.sum("n_shingles").alias("s_x"))
     blocks = lambda k: F.greatest(F.ceil(F.col(f"of_{k}") / BLOCK), F.ceil(F.col(f"s_{k}") / BLOCK_SHINGLES)).cast("int")
     sized = main.join(out, "band").select("band", "main", blocks("x").alias("nx"), blocks("y").alias("ny"))
-    own = large.select("band", "rep", "root", "bits", "bands").join(sized, "band")
+    own = large.select("band", "rep", "root").join(sized, "band")
     mine = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    kept = ["band", "xb", "yb", "rep", "root", "bits", "bands"]
-    xs = own.where("root <> main").withColumn("xb", mine("nx")).withColumn("yb", every("ny")).select(*kept)
-    ys = own.withColumn("yb", mine("ny")).withColumn("xb", every("nx")).select(*(F.col(c).alias(f"{c}_y") for c in kept))
-    keys = kept[:3]
-    return xs.groupBy(*keys).cogroup(ys.groupBy(*(f"{k}_y" for k in keys))).applyInPandas(_likely, PAIR)
-
-
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The links (a, b) among PAIR rows: each text goes once to each pair of blocks in which it has a candidate."""
+    full = classes.select("rep", "bits", "bands").join(texts, "rep")
+    xs = own.where("root <> main").withColumn("xb", mine("nx")).withColumn("yb", every("ny")).select("band", "xb", "yb", "rep", "root").join(full, "rep")
+    ys = own.withColumn("yb", mine("ny")).withColumn("xb", every("nx")).select("band", "xb", "yb", "rep", "root").join(full, "rep")
     keys = ["band", "xb", "yb"]
-    asked = pairs.select(*keys, F.explode(F.array("a", "b")).alias("rep")).distinct().join(texts, "rep")
-    asked = asked.select(*(F.col(k).alias(f"{k}_t") for k in keys), "rep", "text")  # named apart: both sides come from ``pairs``
-    return pairs.groupBy(*keys).cogroup(asked.groupBy(*(f"{k}_t" for k in keys))).applyInArrow(_confirm_block, "a long, b long")
+    ys = ys.select(*(F.col(c).alias(f"{c}_y") for c in ys.columns))
+    return xs.groupBy(*keys).cogroup(ys.groupBy(*(f"{k}_y" for k in keys))).applyInPandas(_block_links, "a long, b long")
