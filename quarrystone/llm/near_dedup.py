@@ -231,7 +231,7 @@ def _block_links(key: tuple, xs: pd.DataFrame, ys: pd.DataFrame) -> pd.DataFrame
 
 
 def _rooted(members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (band, rep, n) with the root of each, in buckets that several roots share; (node, root) of all linked."""
+    """Members (band, rep, n, n_shingles) with the root of each, in buckets that several roots share; (node, root) of all linked."""
     roots = components(found)
     own = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     apart = own.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
@@ -246,7 +246,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         named.groupBy("set_id").agg(F.min_by(F.struct("doc_id", "n_shingles", "bits", "bands"), "doc_id").alias("m")).select("set_id", F.col("m.doc_id").alias("rep"), "m.n_shingles", "m.bits", "m.bands"),
         "classes",
     )
-    banded = classes.select("rep", F.explode("bands").alias("band")).distinct()
+    banded = classes.select("rep", "n_shingles", F.explode("bands").alias("band")).distinct()
     shared = banded.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
     members = written(banded.join(shared, "band"), "members")
     wanted = members.select("rep").distinct()
@@ -262,7 +262,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _finish(signed: DataFrame, classes: DataFrame, members: DataFrame, bits: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
-    apart, roots = _rooted(members.select("band", "rep", "n"), found)
+    apart, roots = _rooted(members.select("band", "rep", "n", "n_shingles"), found)
     x, y = (apart.where(F.col("n") <= SMALL_BUCKET).select("band", F.col("rep").alias(k), F.col("root").alias(f"root_{k}")) for k in "ab")
     pairs = x.join(y, "band").where("root_a <> root_b AND a < b").select("a", "b")
     more = links(pairs, bits, texts).unionByName(_in_blocks(apart.where(F.col("n") > SMALL_BUCKET), classes, texts))
@@ -281,7 +281,6 @@ def _finish(signed: DataFrame, classes: DataFrame, members: DataFrame, bits: Dat
 def _in_blocks(large: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links of what leaders left apart in large buckets: the classes outside a bucket's
     commonest component against all its classes, in blocks."""
-    large = large.join(classes.select("rep", "n_shingles"), "rep")
     main = large.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     main = main.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("of_y"), F.sum("s").alias("s_y"))
     out = large.join(main, "band").where("root <> main").groupBy("band").agg(F.count("*").alias("of_x"), F.sum("n_shingles").alias("s_x"))
