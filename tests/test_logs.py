@@ -148,3 +148,25 @@ def test_processes_and_sockets(spark):
     assert sorted((r["pid"], r["attributed_by"]) for r in owned.collect()) == [(5, "endpoint"), (9, "inode")]
     found = {(r["severity"], r["title"]) for r in processes.socket_findings(ss).collect()}
     assert ("CRITICAL", "established connection(s) with no owning process") in found and ("MEDIUM", "connection(s) to non-RFC1918 addresses") in found and ("HIGH", "Socket(s) on ports associated with implants") in found
+
+
+def test_wordings_of_the_authorization_log(spark):
+    said = {
+        "pkexec[3]: kim: Executing command [USER=root] [TTY=/dev/pts/1] [CWD=/srv] [COMMAND=/usr/sbin/fdisk -l]": ("pkexec", "kim", "root", "", "/usr/sbin/fdisk -l"),
+        "gpasswd[4]: user lee added by root to group docker": ("group membership change", "root", "lee", "", ""),
+        "usermod[4]: add 'lee' to shadow group 'wheel'": ("group membership change", "", "lee", "", ""),
+        "userdel[5]: delete user 'lee'": ("account deleted", "", "lee", "", ""),
+        "sshd[6]: Disconnected from user kim 192.0.2.7 port 40112": ("connection closed", "kim", "", "192.0.2.7", ""),
+        "sshd[6]: Received disconnect from 192.0.2.7 port 40112:11: bye [preauth]": ("connection closed", "", "", "192.0.2.7", ""),
+        "sshd[7]: error: maximum authentication attempts exceeded for invalid user pi from 198.51.100.4 port 5 ssh2": ("max auth attempts", "pi", "", "198.51.100.4", ""),
+        "sshd[8]: Invalid user  from 198.51.100.5 port 6": ("invalid user", "", "", "198.51.100.5", ""),
+        "sudo:   kim : 3 incorrect password attempts ; TTY=pts/2 ; PWD=/ ; USER=root ; COMMAND=/bin/sh": ("sudo denied", "kim", "", "", ""),
+        "sudo:   kim : TTY=pts/2 ; PWD=/srv ; USER=root ; GROUP=adm ; ENV=A=1 B=2 ; COMMAND=/bin/ls /": ("sudo command", "kim", "root", "", "/bin/ls /"),
+        "sudo:   kim : a password is required": ("sudo denied", "kim", "", "", ""),
+        "passwd[9]: pam_unix(passwd:chauthtok): password changed for kim": ("password changed", "", "kim", "", ""),
+        "systemd-logind[1]: Removed session 4.": ("session removed", "", "", "", ""),
+    }
+    auth = logs.auth_log(lines(spark, [f"2026-05-06T07:08:09Z host1 {x}" for x in said], "/var/log/secure"))
+    assert table(auth, "event", "user", "target_user", "source_ip", "command") == list(said.values())
+    kinds = table(logs.failed_logins(auth), "line_no", "kind", "user", "source_ip", "detail")
+    assert kinds == [(6, "aborted before authenticating", "", "192.0.2.7", ""), (7, "too many attempts", "pi", "198.51.100.4", ""), (8, "unknown account", "", "198.51.100.5", ""), (9, "sudo password failure", "kim", "", "3 incorrect password attempts")]
