@@ -21,7 +21,7 @@ Repeated rows are rendered each time.
 
 from __future__ import annotations
 
-from functools import reduce
+import functools
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,7 +30,7 @@ from .shared import written
 
 PART_TURNS = 64
 PIECE_ROWS = 1024
-#: Parts are summed in groups of so many, and groups then, so that no dialogue's sums pass one task.
+#: Lengths are summed in groups of so many parts, and over groups then, so that no dialogue's sums pass one task.
 GROUP_PARTS = 4096
 SYSTEM, UNKNOWN = "system", "unknown"
 # The marks of a turn. In texts and names, OPEN is broken up.
@@ -84,15 +84,15 @@ def rotate(conversations: DataFrame) -> DataFrame:
     turns = spoken(conversations)
     people = turns.where(~F.col("speaker").isin(SYSTEM, UNKNOWN)).select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct()
     views = turns.join(people, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
-    own = F.col("speaker") == F.col("perspective")
-    head = F.when(own, "assistant").when(F.col("speaker") == SYSTEM, SYSTEM).otherwise(F.concat(F.lit("user name="), _clean(F.col("speaker"))))
+    own, head = F.col("speaker") == F.col("perspective"), _head()
     body = F.concat(_clean(F.col("text")), F.lit(CLOSE))
     segment = F.struct(
         "turn", "speaker", "text", own.alias("own"), F.concat(F.lit(OPEN), head, F.lit("\n"), body, F.lit("\n")).alias("s"), F.char_length(body).cast("long").alias("learned")
     )
     keys = ["conv_id", "perspective", "part", "piece"]
-    dealt = views.select(*keys, segment.alias("segment")).repartition(*keys)
-    grouped = dealt.groupBy(*keys).agg(F.sort_array(F.collect_list("segment")).alias("all"))
+    starts = _starts(turns, people).select(*keys, F.lit(None).alias("segment"), "start")  # one more row of each piece
+    dealt = views.select(*keys, segment.alias("segment"), F.lit(None).cast("long").alias("start")).unionByName(starts).repartition(*keys)
+    grouped = dealt.groupBy(*keys).agg(F.sort_array(F.collect_list("segment")).alias("all"), F.max("start").alias("start"))
 
     def step(acc: Column, x: Column) -> Column:
         end = acc["at"] + F.char_length(x["s"])
@@ -101,32 +101,35 @@ def rotate(conversations: DataFrame) -> DataFrame:
 
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
     mask = F.aggregate("all", zero, step, lambda acc: acc["spans"])
-    parts = grouped.select(
+    return grouped.select(
         *keys,
         F.size("all").cast("long").alias("n_turns"),
         F.size(F.filter("all", lambda x: x["own"])).cast("long").alias("n_learned"),
+        "start",
         F.array_join(F.transform("all", lambda x: x["s"]), "").alias("rendered"),
         mask.alias("mask"),
     )
-    return _started(written(parts, "parts"))
 
 
-def _started(parts: DataFrame) -> DataFrame:
-    """``parts`` with ``start``: the length of all that comes before in its perspective."""
+def _head() -> Column:
+    """How a turn of ``speaker`` is headed from ``perspective``."""
+    return F.when(F.col("speaker") == F.col("perspective"), "assistant").when(F.col("speaker") == SYSTEM, SYSTEM).otherwise(F.concat(F.lit("user name="), _clean(F.col("speaker"))))
+
+
+def _starts(turns: DataFrame, people: DataFrame) -> DataFrame:
+    """conv_id, perspective, part, piece, start: the length of all that comes before in its perspective, from sums by speaker, without texts."""
+    said = turns.groupBy("conv_id", "part", "piece", "speaker").agg(F.count("*").alias("times"), F.sum(F.char_length(_clean(F.col("text")))).alias("chars"))
     own = ["conv_id", "perspective"]
-    lengths = parts.select(*own, "part", "piece", F.char_length("rendered").cast("long").alias("n"), F.floor(F.col("part") / GROUP_PARTS).alias("g"))
+    around = F.char_length(F.concat(F.lit(OPEN), _head(), F.lit("\n"), F.lit(CLOSE), F.lit("\n")))
+    views = said.join(people, F.col("conv_id").eqNullSafe(F.col("c")))
+    lengths = views.groupBy(*own, "part", "piece").agg(F.sum(F.col("chars") + F.col("times") * around).alias("n")).withColumn("g", F.floor(F.col("part") / GROUP_PARTS))
     upto = lambda by, *order: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    pieces = lengths.groupBy(*own, "g", "part").agg(F.sum("n").alias("n"))
-    groups = pieces.groupBy(*own, "g").agg(F.sum("n").alias("n")).withColumn("of_group", F.coalesce(F.sum("n").over(upto(own, "g")), F.lit(0)))
-    of_part = pieces.withColumn("of_part", F.coalesce(F.sum("n").over(upto([*own, "g"], "part")), F.lit(0)))
-    named = lambda df, *cols: df.select(*(F.col(c).alias(f"{c}_") for c in (*own, *cols[:-1])), cols[-1])
-    same = lambda *cols: reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"{c}_")) for c in (*own, *cols)))
-    sums = lengths.withColumn("of_piece", F.coalesce(F.sum("n").over(upto([*own, "g", "part"], "piece")), F.lit(0)))
-    sums = sums.join(named(of_part, "g", "part", "of_part"), same("g", "part")).select(*own, "g", "part", "piece", "of_piece", "of_part")
-    sums = sums.join(named(groups, "g", "of_group"), same("g"))
-    start = sums.select(*(F.col(c).alias(f"{c}_") for c in (*own, "part", "piece")), (F.col("of_group") + F.col("of_part") + F.col("of_piece")).alias("start"))
-    joined = parts.join(start, same("part", "piece"))
-    return joined.select(*own, "part", "piece", "n_turns", "n_learned", "start", "rendered", "mask")
+    before = lambda by, *order: F.coalesce(F.sum("n").over(upto(by, *order)), F.lit(0))
+    groups = lengths.groupBy(*own, "g").agg(F.sum("n").alias("n")).withColumn("of_group", before(own, "g"))
+    groups = groups.select(*(F.col(c).alias(f"{c}_") for c in (*own, "g")), "of_group")
+    within = lengths.withColumn("within", before([*own, "g"], "part", "piece"))
+    joined = within.join(groups, functools.reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"{c}_")) for c in (*own, "g"))))
+    return joined.select(*own, "part", "piece", (F.col("of_group") + F.col("within")).cast("long").alias("start"))
 
 
 def digest(rotated: DataFrame) -> DataFrame:
