@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import event_queries, extract_queries, share_queries, text_queries  # noqa: E402, F401
+from . import event_queries, extract_queries, host_queries, share_queries, text_queries  # noqa: E402, F401
