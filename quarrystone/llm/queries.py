@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, mixing, perspectives
+from . import byte_pairs, collocations, licences, mixing, periodic_runs, perspectives
 from .decontamination import contamination
 from .lang_id import held_out_languages
 from .near_dedup import near_duplicates
@@ -62,6 +62,20 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.periodic_runs(periodic_runs.wound(table(spark, sf_dir, "documents"))))
+
+
+def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_pairs.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_perplexity_bands": op2_perplexity_bands,
@@ -73,9 +87,13 @@ QUERIES: dict[str, Query] = {
     "op8_licence_dice": op8_licence_dice,
     "op9_toxic_segments": op9_toxic_segments,
     "op10_repeated_passages": op10_repeated_passages,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_byte_pairs": op13_byte_pairs,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_perspective_rotation": perspectives.ORACLE_SQL,
     "op8_licence_dice": licences.oracle_sql(),
     "op7_weighted_fair_mix": mixing.ORACLE_SQL.format(docs="documents"),
+    "op11_phrase_collocations": collocations.ORACLE_SQL,
 }

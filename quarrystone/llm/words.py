@@ -73,17 +73,20 @@ class Words:
         return np.repeat(np.arange(len(self.bounds) - 1), self.lengths())
 
 
-def split(raw: np.ndarray, offs: np.ndarray, fold: bool = False) -> Words:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of the texts raw[offs[d]:offs[d+1]]; ``fold``: A-Z count as a-z."""
+def split(raw: np.ndarray, offs: np.ndarray, fold: bool = False, breaks: np.ndarray = _SPACE) -> Words:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of the texts raw[offs[d]:offs[d+1]]; ``fold``: A-Z count as a-z.
+
+    ``breaks``: which bytes lie between words, if others do.
+    """
     hashes, starts, ends = [], [], []
     at, n = 0, len(raw)
     while at < n:
         end = min(n, at + _PIECE)
         if end < n:  # not inside a word
-            while end < n and not _SPACE[raw[end - 1]]:
-                ahead = np.flatnonzero(_SPACE[raw[end : end + _PIECE]])
+            while end < n and not breaks[raw[end - 1]]:
+                ahead = np.flatnonzero(breaks[raw[end : end + _PIECE]])
                 end = end + int(ahead[0]) + 1 if len(ahead) else min(n, end + _PIECE)
-        h, s, e = _split_piece(raw[at:end], offs[(offs > at) & (offs < end)] - at, fold)
+        h, s, e = _split_piece(raw[at:end], offs[(offs > at) & (offs < end)] - at, fold, breaks)
         hashes.append(h)
         starts.append(s + at)
         ends.append(e + at)
@@ -93,9 +96,9 @@ def split(raw: np.ndarray, offs: np.ndarray, fold: bool = False) -> Words:
     return Words(join(hashes, _U), s, join(ends, np.int64), np.searchsorted(s, offs))
 
 
-def _split_piece(raw: np.ndarray, cuts: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _split_piece(raw: np.ndarray, cuts: np.ndarray, fold: bool, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(raw)
-    inside = ~_SPACE[raw]
+    inside = ~breaks[raw]
     first, last = inside.copy(), inside.copy()
     fresh = ~inside[:-1]
     fresh[cuts - 1] = True
