@@ -10,15 +10,15 @@ words; A-Z count as a-z. Everything is per language (null: ``und``).
 2. The phrases that are left in every row are the candidates: all phrases with
    LEAST occurrences, and some others.
 3. Candidates and their words become keys with a space before and behind. Shards
-   of about SHARD_BYTES of them compile into automata, and every text is
-   streamed through every shard; all matches count, overlapping ones too. The
+   of about SHARD_BYTES of them compile into automata, one after the other, and
+   every text is streamed through each; all matches count, overlapping ones too. The
    counts are summed over partitions, and the thresholds apply to the sums.
 
 A sketch has a counter for each COUNTER_BYTES of text, up to MOST_COUNTERS.
 Beyond these, the phrases are dealt by hash into rounds, each with a sketch of
 its own, so that a sketch never fills: the rounds, like the shards, add scans
-and lose nothing. What is broadcast is bounded: a sketch's bits, and PASS_BYTES
-of keys at a time.
+and lose nothing. What is broadcast is bounded: a sketch's bits, and the keys
+of one shard at a time.
 
 Null and empty texts have no words. Every row counts, repeated ones and those
 with a null doc_id too; texts of any length are counted whole. An empty table
@@ -51,8 +51,7 @@ COUNTER_BYTES = 32
 LEAST_COUNTERS, MOST_COUNTERS = 1 << 16, 1 << 26
 #: Counters that travel together.
 BLOCK = 1 << 16
-SHARD_BYTES = 1 << 22
-PASS_BYTES = 1 << 24
+SHARD_BYTES = 6 << 20
 
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _BREAKS = np.zeros(256, bool)
@@ -167,33 +166,39 @@ def _candidates(bits, counters: int, rounds: int, this: int):
     return run
 
 
-def _automaton(keys: list[bytes]) -> ahocorasick.Automaton:
-    """An automaton over bytes for keys guarded by spaces; its values are places in ``keys``."""
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for i, key in enumerate(keys):
-        automaton.add_word(f" {key.decode('latin-1')} ", i)
-    automaton.make_automaton()
-    return automaton
+class _Shard:
+    """Keys as an automaton over bytes, guarded by spaces; its values are places among the keys."""
 
+    def __init__(self, keys: bytes):
+        self.keys = keys.split(b"\n")
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i, key in enumerate(self.keys):
+            self.automaton.add_word(f" {key.decode('latin-1')} ", i)
+        self.automaton.make_automaton()
 
-_unpacked: dict[str, list[ahocorasick.Automaton]] = {}
+    def count(self, stream: str) -> np.ndarray:
+        """Occurrences of each key, overlapping ones too."""
+        return np.bincount(np.fromiter((i for _, i in self.automaton.iter(stream)), np.int64), minlength=len(self.keys))
 
 
-def _automata(sent) -> list[ahocorasick.Automaton]:
-    """The shards of a broadcast as automata, kept by the worker until another broadcast comes."""
-    if sent.value["id"] not in _unpacked:
-        _unpacked.clear()
-        _unpacked[sent.value["id"]] = [_automaton(shard) for shard in sent.value["shards"]]
-    return _unpacked[sent.value["id"]]
+_compiled: dict[str, _Shard] = {}
 
 
-def _count(sent):
-    """(lang, shard, place, n): occurrences of each key in a partition; place -1 of shard 0: all words."""
+def _shard(sent) -> _Shard:
+    """The broadcast keys compiled; a worker keeps them until another broadcast comes."""
+    name, keys = sent.value
+    if name not in _compiled:
+        _compiled.clear()
+        _compiled[name] = _Shard(keys)
+    return _compiled[name]
+
+
+def _count(sent, totals: bool):
+    """(lang, phrase, n): occurrences of each key in a partition; with ``totals``, a null phrase has all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = _automata(sent)
-        sizes = [len(x) for x in sent.value["shards"]]
-        counts: dict[str, list[np.ndarray]] = {}
+        shard = _shard(sent)
+        counts: dict[str, np.ndarray] = {}
         n_words: dict[str, int] = {}
         for batch in batches:
             langs = batch.column(0).to_pylist()
@@ -204,16 +209,14 @@ def _count(sent):
                 for lang, texts in by_lang.items():
                     said = b".".join(texts).translate(_PLAIN).replace(b".", b" . ").split()
                     n_words[lang] = n_words.get(lang, 0) + len(said) - said.count(b".")
-                    stream = f" {b' '.join(said).decode('latin-1')} "
-                    mine = counts.setdefault(lang, [np.zeros(n, np.int64) for n in sizes])
-                    for shard, automaton in enumerate(automata):
-                        hits = np.fromiter((v for _, v in automaton.iter(stream)), np.int64)
-                        mine[shard] += np.bincount(hits, minlength=sizes[shard])
-        for lang, n in n_words.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0]), pa.array([-1]), pa.array([n])], ["lang", "shard", "place", "n"])
-            for shard, mine in enumerate(counts[lang]):
-                at = np.flatnonzero(mine)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(np.full(len(at), shard)), pa.array(at), pa.array(mine[at])], ["lang", "shard", "place", "n"])
+                    mine = shard.count(f" {b' '.join(said).decode('latin-1')} ")
+                    counts[lang] = counts[lang] + mine if lang in counts else mine
+        for lang, mine in counts.items():
+            for at in np.array_split(np.flatnonzero(mine), 1 + len(mine) // 50_000):
+                phrases = pa.array([shard.keys[i] for i in at.tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), phrases, pa.array(mine[at])], ["lang", "phrase", "n"])
+        if totals:
+            yield pa.RecordBatch.from_arrays([pa.array(list(n_words), pa.string()), pa.nulls(len(n_words), pa.binary()), pa.array(list(n_words.values()), pa.int64())], ["lang", "phrase", "n"])
 
     return run
 
@@ -234,24 +237,20 @@ def sketched_candidates(texts: DataFrame, counters: int, rounds: int) -> DataFra
     return written(found, "candidates")
 
 
-def counted(texts: DataFrame, candidates: DataFrame, shard_bytes: int = SHARD_BYTES, pass_bytes: int = PASS_BYTES) -> DataFrame:
+def counted(texts: DataFrame, candidates: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(lang, phrase, f) of all candidates and their words as they occur in texts (lang, text); a null phrase has the number of all words."""
     spark = texts.sparkSession
     keys = candidates.select("phrase").unionByName(candidates.select(F.explode(F.split("phrase", " ")).alias("phrase"))).distinct()
+    keys = written(keys, "keys")
     size = keys.agg(F.sum(F.octet_length("phrase") + 2)).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
-    keys = written(keys.select("phrase", F.pmod(F.xxhash64("phrase"), F.lit(shards)).alias("shard")), "keys")
-    each, out = max(1, pass_bytes // shard_bytes), None
-    for first in range(0, shards, each):
-        own: list[list[bytes]] = [[] for _ in range(first, min(first + each, shards))]
-        for phrase, shard in keys.where(F.col("shard").between(first, first + each - 1)).select(F.col("phrase").cast("binary"), "shard").toLocalIterator():
-            own[shard - first].append(bytes(phrase))
-        places = [(s, i, p) for s, x in enumerate(own) for i, p in enumerate(x)]
-        sent = spark.sparkContext.broadcast({"id": uuid.uuid4().hex, "shards": own})
-        named = spark.createDataFrame(pa.table({"shard": pa.array([p[0] for p in places], pa.int64()), "place": pa.array([p[1] for p in places], pa.int64()), "phrase": pa.array([p[2] for p in places], pa.binary())}))
-        sums = texts.mapInArrow(_count(sent), "lang string, shard long, place long, n long").groupBy("lang", "shard", "place").agg(F.sum("n").alias("f"))
-        mine = sums.join(named, ["shard", "place"], "left").where(F.col("phrase").isNotNull() | F.lit(first == 0)).select("lang", F.col("phrase").cast("string").alias("phrase"), "f")
-        mine = written(mine, "counts")
+    shards, out = max(1, -(-size // shard_bytes)), None
+    for this in range(shards):
+        own = keys.where(F.pmod(F.xxhash64("phrase"), F.lit(shards)) == this)
+        blob = b"\n".join(bytes(x) for (x,) in own.select(F.col("phrase").cast("binary")).toLocalIterator())  # about shard_bytes
+        sent = spark.sparkContext.broadcast((uuid.uuid4().hex, blob))
+        mine = texts.mapInArrow(_count(sent, this == 0), "lang string, phrase binary, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+        mine = written(mine.select("lang", F.col("phrase").cast("string").alias("phrase"), "f"), "counts")
+        sent.unpersist()
         out = mine if out is None else out.unionByName(mine)
     return out
 
@@ -267,7 +266,7 @@ def _score(a: Column, parts: Column) -> Column:
     return F.call_function("div", product, parts.cast("decimal(28,0)")).cast("long")
 
 
-def collocations(docs: DataFrame, counters: int | None = None, rounds: int | None = None, shard_bytes: int = SHARD_BYTES, pass_bytes: int = PASS_BYTES) -> DataFrame:
+def collocations(docs: DataFrame, counters: int | None = None, rounds: int | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first TOP phrases by the score of their weakest cut.
 
     Candidates that a longer one holds in COVERED_PERCENT of their occurrences
@@ -278,7 +277,7 @@ def collocations(docs: DataFrame, counters: int | None = None, rounds: int | Non
         size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << max(0, size // COUNTER_BYTES - 1).bit_length()))
         rounds = -(-max(1, size) // (MOST_COUNTERS * COUNTER_BYTES))
-    counts = counted(texts, sketched_candidates(texts, counters, rounds), shard_bytes, pass_bytes)
+    counts = counted(texts, sketched_candidates(texts, counters, rounds), shard_bytes)
     totals = counts.where("phrase IS NULL").select("lang", F.col("f").alias("n"))
     known = counts.where("phrase IS NOT NULL")
     split = F.split("phrase", " ")

@@ -64,7 +64,7 @@ def frame(spark, said):
     return spark.createDataFrame([(i, x, t, "clash", 7) for i, (x, t) in enumerate(said)], "doc_id long, lang string, text string, phrase string, n long").repartition(5)
 
 
-@pytest.mark.parametrize("how", [{}, {"counters": 1 << 16, "rounds": 3, "shard_bytes": 500, "pass_bytes": 1500}])
+@pytest.mark.parametrize("how", [{}, {"counters": 1 << 16, "rounds": 3, "shard_bytes": 500}])
 def test_collocations_are_those_of_plain_counting(spark, said, how):
     got = collocations.collocations(frame(spark, said), **how)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
