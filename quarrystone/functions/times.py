@@ -5,29 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The shapes of log time stamps, put together from a time of day and the names of months.
-_CLOCK, _NAME, _ZONE = "([0-9]{2}):([0-9]{2}):([0-9]{2})", "([A-Z][a-z]{2})", "([-+][0-9]{2}:?[0-9]{2})"
-ISO = rf"^([0-9]{{4}})-([0-9]{{2}})-([0-9]{{2}})(?:T| +){_CLOCK}(?:[.,][0-9]+)? *({_ZONE}|Z)?$"
-CLF = rf"^([0-9]{{2}})/{_NAME}/([0-9]{{4}}):{_CLOCK} *{_ZONE}?$"
-BANNER = rf"^[A-Z][a-z]{{2}} +{_NAME} +([0-9]+) +{_CLOCK} +(?:[A-Z]+ +)?([0-9]{{4}})$"
-SYSLOG = rf"^{_NAME} +([0-9]+) +{_CLOCK}$"
-MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+from .words import at, parts
 
+#: How the forms of log time stamps read once their zone is written behind them.
+DASHED, SLASHED, NAMED = "yyyy-MM-dd HH:mm:ss xx", "dd/MMM/yyyy:HH:mm:ss xx", "yyyy MMM d HH:mm:ss xx"
+UTC = "+0000"
 
-def _month(name: Column) -> Column:
-    return F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), name), F.lit(0)).cast("int")
 
-
-def _stamp(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column) -> Column:
-    parts = (x.try_cast("int") for x in (year, month, day, hour, minute, second))
-    return F.try_make_timestamp(*parts)
+def _zone(text: Column) -> Column:
+    """The offset at the end of a stamp as ``+hhmm``; blank where it has none."""
+    tail = F.regexp_extract(text, "(Z|[-+][0-9:]{4,5})$", 1)
+    return F.when(tail == "Z", UTC).otherwise(F.replace(tail, F.lit(":"), F.lit("")))
 
 
 def offset_seconds(zone: Column) -> Column:
-    """``+0200``, ``-04:00`` or ``Z`` as seconds east; null and blank: 0."""
-    z = F.replace(F.coalesce(zone, F.lit("")), F.lit(":"), F.lit(""))
-    size = F.coalesce(F.substring(z, 2, 2).try_cast("int"), F.lit(0)) * 3600 + F.coalesce(F.substring(z, 4, 2).try_cast("int"), F.lit(0)) * 60
-    return F.when(z.startswith("-"), -size).otherwise(size)
+    """``+0200``, ``-04:00`` or ``Z`` as seconds east; null, blank and what is no offset: 0."""
+    z = F.coalesce(_zone(zone), F.lit(""))
+    known = F.try_to_timestamp(F.concat(F.lit("1970-01-01 00:00:00 "), F.when(z == "", UTC).otherwise(z)), F.lit(DASHED))
+    return F.coalesce(-F.unix_seconds(known), F.lit(0))
+
+
+def _read(body: Column, form: str, zone: Column | None = None) -> Column:
+    return F.try_to_timestamp(F.concat(body, F.lit(" "), F.lit(UTC) if zone is None else F.when(zone == "", UTC).otherwise(zone)), F.lit(form))
 
 
 def _minus(ts: Column, seconds: Column) -> Column:
@@ -36,23 +35,26 @@ def _minus(ts: Column, seconds: Column) -> Column:
 
 def log_timestamp(text: Column, host_offset_s: Column | int = 0, collected: Column | None = None) -> Column:
     """A log's time stamp as UTC. An offset of its own wins; else the host's is taken off, but never from the
-    web form. A year-less stamp takes the year of ``collected``, or the one before if that would be later than it."""
+    web form. A year-less stamp takes the year of ``collected``, or the one before if that would be later than it.
+
+    Forms: ISO 8601 with or without a fraction, the web servers' day/month/year, ``date``'s and syslog's.
+    """
     s = F.btrim(text)
     host = F.lit(host_offset_s) if isinstance(host_offset_s, int) else host_offset_s
-    get = lambda pattern: [F.regexp_extract(s, pattern, i) for i in range(1, 8)]
-    y, mo, d, h, mi, se, z = get(ISO)
-    iso = _minus(_stamp(y, mo, d, h, mi, se), F.when(z != "", offset_seconds(z)).otherwise(host))
-    d, mo, y, h, mi, se, z = get(CLF)
-    clf = _minus(_stamp(y, _month(mo), d, h, mi, se), offset_seconds(z))
-    mo, d, h, mi, se, y = (F.regexp_extract(s, BANNER, i) for i in range(1, 7))
-    banner = _minus(_stamp(y, _month(mo), d, h, mi, se), host)
-    out = F.when(s.rlike(ISO), iso).when(s.rlike(CLF), clf).when(s.rlike(BANNER), banner)
+    zone = _zone(s)
+    body = F.rtrim(F.when(zone == "", s).otherwise(F.regexp_replace(s, "(Z|[-+][0-9:]{4,5})$", "")))
+    w = parts(s)
+    plain = F.regexp_replace(F.regexp_replace(body, "([0-9])(?:T| +)([0-9])", "$1 $2"), "[.,][0-9]+$", "")
+    iso = _minus(_read(plain, DASHED, zone), F.when(zone == "", host).otherwise(0))
+    web = _read(body, SLASHED, zone)
+    named = F.when(F.size(w) >= 5, _minus(_read(F.concat_ws(" ", at(w, -1), at(w, 2), at(w, 3), at(w, 4)), NAMED), host))
+    out = F.coalesce(iso, web, named)
     if collected is None:
         return out
-    mo, d, h, mi, se = (F.regexp_extract(s, SYSLOG, i) for i in range(1, 6))
-    this = _minus(_stamp(F.year(collected).cast("string"), _month(mo), d, h, mi, se), host)
-    last = _minus(_stamp((F.year(collected) - 1).cast("string"), _month(mo), d, h, mi, se), host)
-    return out.when(s.rlike(SYSLOG), F.when(this.isNull() | (F.to_date(this) > F.to_date(collected)), F.coalesce(last, this)).otherwise(this))
+    of = lambda year: _minus(_read(F.concat_ws(" ", year.cast("string"), at(w, 1), at(w, 2), at(w, 3)), NAMED), host)
+    this, last = of(F.year(collected)), of(F.year(collected) - 1)
+    short = F.when(this.isNull() | (F.to_date(this) > F.to_date(collected)), F.coalesce(last, this)).otherwise(this)
+    return F.coalesce(out, F.when(F.size(w) == 3, short))
 
 
 def epoch(value: Column) -> Column:

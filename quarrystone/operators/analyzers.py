@@ -23,7 +23,9 @@ TMPFS = ("/tmp/", "/var/tmp/", "/dev/shm/", "/run/shm/", "/dev/mqueue/")
 SYSTEM_BIN = ("/bin/", "/sbin/", "/usr/bin/", "/usr/sbin/", "/usr/local/bin/", "/usr/local/sbin/", "/usr/lib/", "/lib/", "/lib64/", "/usr/lib64/")
 SYSTEM_CFG = ("/etc/", "/boot/", "/usr/lib/systemd/", "/lib/systemd/")
 # Packages that are tools of attackers as well.
-DUAL_USE = "nmap netcat netcat-openbsd netcat-traditional ncat socat tcpdump hydra john hashcat masscan proxychains proxychains4 tor sshpass telnet nikto sqlmap metasploit-framework responder aircrack-ng ettercap-text-only chisel ngrok openvpn wireguard cryptsetup upx-ucl".split()
+DUAL_USE = (
+    "nmap", "netcat", "netcat-openbsd", "netcat-traditional", "ncat", "socat", "tcpdump", "hydra", "john", "hashcat", "masscan", "proxychains", "proxychains4", "tor", "sshpass", "telnet", "nikto", "sqlmap", "metasploit-framework", "responder", "aircrack-ng", "ettercap-text-only", "chisel", "ngrok", "openvpn", "wireguard", "cryptsetup", "upx-ucl",
+)
 # What the bits of the kernel's taint value mean, from bit 0.
 TAINT = (
     ("proprietary module loaded", "LOW"), ("module force-loaded", "HIGH"), ("unsafe SMP / kernel running on out-of-spec CPU config", "INFO"), ("module force-unloaded", "HIGH"), ("machine check exception", "LOW"), ("bad page", "LOW"),

@@ -69,3 +69,34 @@ def hash_list_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.array_compact(F.array(F.md5("raw"), F.when(F.col("doc_id") % 2 == 0, F.upper(F.sha2("raw", 256)))))
     lines = d.select("doc_id", F.explode(listed).alias("digest")).select(F.format_string("%s  /srv/%d", "digest", "doc_id").alias("line"))
     return files.file_hashes(lines)
+
+
+# What a daemon says for each kind of failed login, by number: the kind, and the message with the user and the address put in.
+FAILURES = {
+    0: ("bad password", "sshd", "Failed password for %1$s from %2$s port 40122 ssh2"),
+    1: ("bad key", "sshd", "Failed publickey for invalid user %1$s from %2$s port 40122 ssh2: RSA SHA256:x"),
+    2: ("unknown account", "sshd", "Invalid user %1$s from %2$s port 40122"),
+    3: ("aborted before authenticating", "sshd", "Connection closed by authenticating user %1$s %2$s port 40122 [preauth]"),
+    4: ("too many attempts", "sshd", "error: maximum authentication attempts exceeded for %1$s from %2$s port 40122 ssh2 [preauth]"),
+    5: ("account not permitted", "sshd", "User %1$s from %2$s not allowed because not listed in AllowUsers"),
+    6: ("su failure", "su", "FAILED SU (to %1$s) nobody on pts/3 %2$s"),
+    7: ("sudo not permitted", "sudo", "   %1$s : user NOT in sudoers ; TTY=pts/1 ; PWD=/ ; USER=root ; COMMAND=/bin/%2$s"),
+    8: ("", "sshd", "Accepted password for %1$s from %2$s port 40122 ssh2"),
+    9: ("", "CRON", "pam_unix(cron:session): session opened for user %1$s(uid=0) by %2$s(uid=0)"),
+}
+
+
+@query(f"""
+WITH k AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{kind}')" for i, (kind, _, _) in FAILURES.items())}) v(i, kind)),
+e AS (SELECT kind, i, 'u' || (user_id % 97) AS "user", '10.1.' || {K} || '.' || (user_id % 200) AS ip, ts FROM events JOIN k ON event_id % 10 = i WHERE kind <> '')
+SELECT kind, "user", CASE WHEN i IN (6, 7) THEN '' ELSE ip END AS source_ip, count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first FROM e GROUP BY 1, 2, 3
+""")
+def failed_login_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.lit("")
+    ip = F.format_string("10.1.%s.%d", F.col("k"), F.col("user_id") % 200)
+    for i, (_, program, message) in FAILURES.items():
+        text = F.format_string(f"h1 {program}[77]: {message}", F.format_string("u%d", F.col("user_id") % 97), ip)
+        said = F.when(F.col("event_id") % 10 == i, text).otherwise(said)
+    line = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("+00:00 "), said)
+    found = logs.failed_logins(logs.auth_log(_lines(spark, sf_dir, "/var/log/secure", line)))
+    return found.groupBy("kind", "user", "source_ip").agg(F.count("*").alias("n"), _shown("timestamp_utc"))
