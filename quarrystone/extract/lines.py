@@ -52,8 +52,7 @@ def _split(line: Column, w: Column, quotes: Column) -> Column:
     iso_one = _is_day(at(w, 1)) & F.substring(at(w, 1), 11, 1).isin("T", "t") & _is_clock(F.substring(at(w, 1), 12, 8))
     iso_two = _is_day(at(w, 1)) & (F.length(at(w, 1)) == 10) & _is_clock(at(w, 2))
     # Stamps are kept as they are written, blanks included.
-    words = F.when(dated, 3).when(iso_one, 1).when(iso_two, 2)
-    length = F.length(F.when(words == 3, F.regexp_extract(line, r"^\S+\s+\S+\s+\S+", 0)).when(words == 2, F.regexp_extract(line, r"^\S+\s+\S+", 0)).when(words == 1, at(w, 1)))
+    stamp = F.when(dated, F.regexp_extract(line, r"^\S+\s+\S+\s+\S+", 0)).when(iso_one, at(w, 1)).when(iso_two, F.regexp_extract(line, r"^\S+\s+\S+", 0))
 
     front, behind = parts(F.get(quotes, F.lit(0))), parts(F.get(quotes, F.lit(2)))
     status = at(behind, 1)
@@ -67,26 +66,31 @@ def _split(line: Column, w: Column, quotes: Column) -> Column:
     inner = F.btrim(line, F.lit("- "))
     banner = F.btrim(line).startswith("--") & F.btrim(line).endswith("-") & (F.size(parts(inner)) >= 5) & at(parts(inner), 2).isin(*MONTHS) & _is_clock(at(parts(inner), 4))
     started = line.startswith("Log started:") | line.startswith("Log ended:")
-    return (
-        F.when(words.isNotNull(), let(F.struct(F.substring(line, F.lit(1), length).alias("stamp"), F.ltrim(F.substring(line, length + 1, F.lit(1 << 30))).alias("rest")), lambda x: _stamped(x["stamp"], x["rest"])))
+    return let(stamp, lambda x: (
+        F.when(x.isNotNull(), _stamped(x, F.ltrim(F.substring(line, F.length(x) + 1, F.lit(1 << 30)))))
         .when(access, served)
         .when(printed, _row(timestamp_raw=when, process=level, message=message))
         .when(tooled, installer)
         .when(banner, _row(timestamp_raw=inner, message=F.btrim(line)))
         .when(started, _row(timestamp_raw=F.ltrim(after(line, ":")), message=F.substring_index(line, ":", 1)))
         .otherwise(_row(message=F.rtrim(line)))
-    )
+    ))
 
 
 def _stamped(stamp: Column, rest: Column) -> Column:
     """What follows a stamp: ``program[pid]: message`` with or without a host before it, or any text."""
-    r = parts(rest, 2)
-    speaks = lambda x: x.contains(":") & ~F.substring_index(x, ":", 1).rlike("\\s|^$")
-    hosted = ~at(r, 1).contains(":") & speaks(at(r, 2))
-    own = F.when(hosted, at(r, 2)).otherwise(rest)
-    head = F.substring_index(own, ":", 1)
-    said = _row(
-        timestamp_raw=stamp, host=F.when(hosted, at(r, 1)).otherwise(""), process=F.substring_index(head, "[", 1),
-        pid=F.when(head.contains("["), between(head, "[", "]")).otherwise(""), message=F.ltrim(F.substring(own, F.length(head) + 2, F.lit(1 << 30))),
-    )
-    return F.when(hosted | speaks(rest), said).otherwise(_row(timestamp_raw=stamp, message=rest))
+    first = F.substring_index(rest, " ", 1)
+    hosted = ~first.contains(":")
+    own = F.when(hosted, F.ltrim(F.substring(rest, F.length(first) + 1, F.lit(1 << 30)))).otherwise(rest)
+    speaker = lambda x: F.struct(x["own"].alias("own"), x["first"].alias("first"), x["hosted"].alias("hosted"), F.substring_index(x["own"], ":", 1).alias("head"))
+
+    def said(x: Column) -> Column:
+        head = x["head"]
+        row = _row(
+            timestamp_raw=stamp, host=F.when(x["hosted"], x["first"]).otherwise(""), process=F.substring_index(head, "[", 1),
+            pid=F.when(head.contains("["), F.substring_index(F.substring_index(head, "[", -1), "]", 1)).otherwise(""), message=F.ltrim(F.substring(x["own"], F.length(head) + 2, F.lit(1 << 30))),
+        )
+        good = (head != "") & ~head.contains(" ") & (F.length(head) < F.length(x["own"]))
+        return F.when(good, row).otherwise(_row(timestamp_raw=stamp, message=rest))
+
+    return let(F.struct(own.alias("own"), first.alias("first"), hosted.alias("hosted")), lambda x: let(speaker(x), said))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .words import at, parts
+from .words import at, let, parts
 
 #: How the forms of log time stamps read once their zone is written behind them.
 DASHED, SLASHED, NAMED = "yyyy-MM-dd HH:mm:ss xx", "dd/MMM/yyyy:HH:mm:ss xx", "yyyy MMM d HH:mm:ss xx"
@@ -39,22 +39,25 @@ def log_timestamp(text: Column, host_offset_s: Column | int = 0, collected: Colu
 
     Forms: ISO 8601 with or without a fraction, the web servers' day/month/year, ``date``'s and syslog's.
     """
-    s = F.btrim(text)
     host = F.lit(host_offset_s) if isinstance(host_offset_s, int) else host_offset_s
-    zone = _zone(s)
-    body = F.rtrim(F.when(zone == "", s).otherwise(F.regexp_replace(s, "(Z|[-+][0-9:]{4,5})$", "")))
-    w = parts(s)
+    zone = _zone(F.btrim(text))
+    known = F.struct(zone.alias("zone"), F.rtrim(F.when(zone == "", F.btrim(text)).otherwise(F.regexp_replace(F.btrim(text), "(Z|[-+][0-9:]{4,5})$", ""))).alias("body"), parts(text).alias("w"))
+    return let(known, lambda x: _log_timestamp(x["body"], x["zone"], x["w"], host, collected))
+
+
+def _log_timestamp(body: Column, zone: Column, w: Column, host: Column, collected: Column | None) -> Column:
     plain = F.regexp_replace(F.regexp_replace(body, "([0-9])(?:T| +)([0-9])", "$1 $2"), "[.,][0-9]+$", "")
     iso = _minus(_read(plain, DASHED, zone), F.when(zone == "", host).otherwise(0))
     web = _read(body, SLASHED, zone)
-    named = F.when(F.size(w) >= 5, _minus(_read(F.concat_ws(" ", at(w, -1), at(w, 2), at(w, 3), at(w, 4)), NAMED), host))
-    out = F.coalesce(iso, web, named)
+    named = _minus(_read(F.concat_ws(" ", at(w, -1), at(w, 2), at(w, 3), at(w, 4)), NAMED), host)
+    digit = F.substring(body, 1, 1).between("0", "9")
+    out = F.when(digit & body.contains("/"), web).when(digit, iso).when(F.size(w) >= 5, named)
     if collected is None:
         return out
     of = lambda year: _minus(_read(F.concat_ws(" ", year.cast("string"), at(w, 1), at(w, 2), at(w, 3)), NAMED), host)
     this, last = of(F.year(collected)), of(F.year(collected) - 1)
     short = F.when(this.isNull() | (F.to_date(this) > F.to_date(collected)), F.coalesce(last, this)).otherwise(this)
-    return F.coalesce(out, F.when(F.size(w) == 3, short))
+    return out.when(F.size(w) == 3, short)
 
 
 def epoch(value: Column) -> Column:
