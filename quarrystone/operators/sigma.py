@@ -101,72 +101,99 @@ class Compiler:
 
     def condition(self, text: str, selections: dict[str, Column]) -> Column:
         """``a and not (b or 1 of c*)``: or binds weakest, then and, then not."""
-        if "|" in text:
-            raise RuleError("aggregations are not supported")
-        tokens = re.findall(r"\(|\)|[^\s()]+", text)
-        at = 0
-
-        def peek() -> str:
-            return tokens[at].lower() if at < len(tokens) else ""
-
-        def take() -> str:
-            nonlocal at
-            if at >= len(tokens):
-                raise RuleError("the condition ends too early")
-            at += 1
-            return tokens[at - 1]
-
-        def chain(word: str, part: Callable[[], Column]) -> Column:
-            found = [part()]
-            while peek() == word:
-                take()
-                found.append(part())
-            return _fold(found, word == "and")
-
-        def primary() -> Column:
-            t = take()
-            if t.lower() == "not":
-                return ~primary()
-            if t == "(":
-                inner = disjunction()
-                if take() != ")":
-                    raise RuleError("a parenthesis is not closed")
-                return inner
-            if peek() == "of" and (t.isdigit() or t.lower() in ("all", "any")):
-                take()
-                pattern = take()
-                names = [n for n in selections if pattern == "them" or re.fullmatch(_wild(pattern), n)]
-                if not names:
-                    raise RuleError(f"no selection is named {pattern}")
-                need = len(names) if t.lower() == "all" else int(t) if t.isdigit() else 1
-                if need >= len(names):
-                    return _fold([selections[n] for n in names], True) if need == len(names) else F.lit(False)
-                if need == 1:
-                    return _fold([selections[n] for n in names], False)
-                return reduce(lambda a, b: a + b, [selections[n].cast("int") for n in names]) >= need
-            if t not in selections:
-                raise RuleError(f"no selection is named {t}")
-            return selections[t]
-
-        def disjunction() -> Column:
-            return chain("or", lambda: chain("and", primary))
-
-        out = disjunction()
-        if at < len(tokens):
-            raise RuleError(f"unexpected {tokens[at]}")
-        return out
+        return evaluated(parsed(text, list(selections)), selections)
+
+
+#: A condition: ("sel", name), ("not", tree), ("and" or "or", trees), ("of", how many, names).
+Tree = tuple
+
+
+def parsed(text: str, selections: list[str]) -> Tree:
+    """A condition over named selections as a tree."""
+    if "|" in text:
+        raise RuleError("aggregations are not supported")
+    tokens = re.findall(r"\(|\)|[^\s()]+", text)
+    at = 0
+
+    def peek() -> str:
+        return tokens[at].lower() if at < len(tokens) else ""
+
+    def take() -> str:
+        nonlocal at
+        if at >= len(tokens):
+            raise RuleError("the condition ends too early")
+        at += 1
+        return tokens[at - 1]
+
+    def chain(word: str, part: Callable[[], Tree]) -> Tree:
+        found = [part()]
+        while peek() == word:
+            take()
+            found.append(part())
+        return found[0] if len(found) == 1 else (word, found)
+
+    def primary() -> Tree:
+        t = take()
+        if t.lower() == "not":
+            return ("not", primary())
+        if t == "(":
+            inner = disjunction()
+            if take() != ")":
+                raise RuleError("a parenthesis is not closed")
+            return inner
+        if peek() == "of" and (t.isdigit() or t.lower() in ("all", "any")):
+            take()
+            pattern = take()
+            names = [n for n in selections if pattern == "them" or re.fullmatch(_wild(pattern), n)]
+            if not names:
+                raise RuleError(f"no selection is named {pattern}")
+            return ("of", len(names) if t.lower() == "all" else int(t) if t.isdigit() else 1, names)
+        if t not in selections:
+            raise RuleError(f"no selection is named {t}")
+        return ("sel", t)
+
+    def disjunction() -> Tree:
+        return chain("or", lambda: chain("and", primary))
+
+    out = disjunction()
+    if at < len(tokens):
+        raise RuleError(f"unexpected {tokens[at]}")
+    return out
 
 
-def compile_rule(rule: dict, columns: list[str], synonyms: dict[str, list[str]] | None = None) -> Column:
-    """A rule (as its YAML reads) as one boolean Column over a table's columns."""
+def evaluated(tree: Tree, selections: dict[str, Column]) -> Column:
+    """A condition's tree as a Column."""
+    kind, *rest = tree
+    if kind == "sel":
+        return selections[rest[0]]
+    if kind == "not":
+        return ~evaluated(rest[0], selections)
+    if kind in ("and", "or"):
+        return _fold([evaluated(t, selections) for t in rest[0]], kind == "and")
+    need, names = rest
+    if need > len(names):
+        return F.lit(False)
+    if need in (1, len(names)):
+        return _fold([selections[n] for n in names], need == len(names))
+    return reduce(lambda a, b: a + b, [selections[n].cast("int") for n in names]) >= need
+
+
+def _parts(rule: dict) -> tuple[dict[str, object], list[str]]:
+    """A rule's selections and its conditions."""
     detection = dict(rule.get("detection") or {})
     conditions = detection.pop("condition", None)
     if conditions is None:
         raise RuleError("no condition")
     detection.pop("timeframe", None)
+    return detection, conditions if isinstance(conditions, list) else [conditions]
+
+
+def compile_rule(rule: dict, columns: list[str], synonyms: dict[str, list[str]] | None = None) -> Column:
+    """A rule (as its YAML reads) as one boolean Column over a table's columns."""
+    detection, conditions = _parts(rule)
     c = Compiler(columns, synonyms)
     selections = {name: c.selection(body) for name, body in detection.items()}
-    return _fold([c.condition(x, selections) for x in (conditions if isinstance(conditions, list) else [conditions])], False)
+    return _fold([c.condition(x, selections) for x in conditions], False)
 
 
 def technique_tags(rule: dict) -> list[str]:
@@ -186,6 +213,10 @@ def matches(df: DataFrame, rules: list[dict], order: list[str], synonyms: dict[s
         held = F.array_compact(F.array(*(F.when(test, F.struct(F.lit(r["title"]).alias("rule"), F.lit(LEVELS.get(r.get("level", ""), "LOW")).alias("severity"))) for r, test in good[at : at + RULES_PER_PASS])))
         parts.append(df.withColumn("hit_", F.explode(held)))
     hits = reduce(DataFrame.unionByName, parts).select(F.col("hit_.rule").alias("rule"), F.col("hit_.severity").alias("severity"), *df.columns)
-    w = Window.partitionBy("rule").orderBy(*order)
-    sample = hits.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= most)
-    return sample.join(hits.groupBy("rule").agg(F.count("*").alias("count")), "rule"), errors
+    return sampled(hits, order, most), errors
+
+
+def sampled(hits: DataFrame, order: list[str], most: int = MOST_HITS) -> DataFrame:
+    """``hits`` with rank and count: at most ``most`` rows of each rule, and how many it has; one scan for both."""
+    rank = F.row_number().over(Window.partitionBy("rule").orderBy(*order)).cast("long")
+    return hits.withColumn("rank", rank).withColumn("count", F.count("*").over(Window.partitionBy("rule"))).where(F.col("rank") <= most)
