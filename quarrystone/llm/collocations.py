@@ -49,9 +49,11 @@ SCALE = 2_000_000
 SKETCH_ROWS = 2
 COUNTER_BYTES = 32
 LEAST_COUNTERS, MOST_COUNTERS = 1 << 16, 1 << 26
-#: Counters that travel together.
-BLOCK = 1 << 16
+#: Counters that travel together, and counts of keys.
+BLOCK, COUNT_BLOCK = 1 << 16, 1 << 12
 SHARD_BYTES = 6 << 20
+#: Parts of the phrases by hash, and phrases that a worker keeps to leave repeated ones out.
+PHRASE_PARTS, KEPT_PHRASES = 64, 1 << 19
 
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _BREAKS = np.zeros(256, bool)
@@ -62,6 +64,18 @@ _IS_END[list(_ENDS)] = True
 _PLAIN = bytes.maketrans(bytes(range(ord("A"), ord("Z") + 1)) + _ENDS + b"\t", bytes(range(ord("a"), ord("z") + 1)) + b"." * len(_ENDS) + b" ")
 
 
+def _packed(values: np.ndarray | bytes) -> bytes:
+    """An array or text of bytes, compressed: what travels is mostly zeros or alike."""
+    return _CODEC.compress(values if isinstance(values, bytes) else values.tobytes(), asbytes=True)
+
+
+def _unpacked(raw: bytes, size: int) -> bytes:
+    return _CODEC.decompress(raw, decompressed_size=size, asbytes=True)
+
+
+_CODEC = pa.Codec("zstd", compression_level=1)
+
+
 def _lang_seed(lang: str) -> np.uint64:
     raw = np.frombuffer(lang.encode(), np.uint8)
     w = words.split(np.append(np.uint8(33), raw), np.array([0, len(raw) + 1]))
@@ -104,7 +118,7 @@ def _counter(hashes: np.ndarray, row: int, counters: int) -> np.ndarray:
 
 
 def _sketch(counters: int, rounds: int, this: int):
-    """(row, block, at, counts): the counters above 0 of a partition's sketch, by block."""
+    """(row, block, counts): the counters of a partition's sketch, by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = [np.zeros(counters, np.uint16) for _ in range(SKETCH_ROWS)]
@@ -119,12 +133,9 @@ def _sketch(counters: int, rounds: int, this: int):
                     mine[at] = np.minimum(mine[at], LEAST)
         for row, mine in enumerate(counts):
             for block in range(0, counters, BLOCK):
-                part = mine[block : block + BLOCK]
-                at = np.flatnonzero(part)
-                if len(at):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([row], pa.int32()), pa.array([block // BLOCK], pa.int32()), pa.array([at.astype(np.uint16).tobytes()]), pa.array([part[at].astype(np.uint8).tobytes()])], ["row", "block", "at", "counts"]
-                    )
+                part = mine[block : block + BLOCK].astype(np.uint8)
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([block // BLOCK], pa.int32()), pa.array([_packed(part)])], ["row", "block", "counts"])
 
     return run
 
@@ -133,20 +144,28 @@ def _heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, block, bits): which counters of a block reach LEAST in all partitions together. A block's rows are in one task; it holds sums, not rows."""
     sums: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
-        for row, block, at, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for row, block, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             mine = sums.setdefault((row, block), np.zeros(BLOCK, np.uint8))
-            at = np.frombuffer(at, np.uint16)
-            mine[at] = np.minimum(mine[at].astype(np.uint16) + np.frombuffer(counts, np.uint8), LEAST)
+            np.minimum(mine + np.frombuffer(_unpacked(counts, BLOCK), np.uint8), LEAST, out=mine)
     for (row, block), mine in sums.items():
         yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([block], pa.int32()), pa.array([np.packbits(mine >= LEAST, bitorder="little").tobytes()])], ["row", "block", "bits"])
 
 
 def _candidates(bits, counters: int, rounds: int, this: int):
-    """Distinct (lang, phrase) of a partition whose counters reach LEAST in every row."""
+    """(part, lang, size, phrases): distinct phrases of a partition whose counters reach LEAST in every row, by part of their hashes, as lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [np.frombuffer(x, np.uint8) for x in bits.value]
         said: set[int] = set()
+        lines: dict[tuple[int, str], list[bytes]] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for (part, lang), mine in lines.items():
+                text = b"\n".join(mine)
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([lang]), pa.array([len(text)], pa.int64()), pa.array([_packed(text)])], ["part", "lang", "size", "phrases"])
+            lines.clear()
+
+        held = 0
         for batch in batches:
             langs = batch.column(0).to_pylist()
             for first, end, raw, offs in text_slices(batch.column(1)):
@@ -157,28 +176,48 @@ def _candidates(bits, counters: int, rounds: int, this: int):
                     keep &= (heavy[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
                 kept = np.flatnonzero(keep)
                 h, which = np.unique(p.hashes[kept], return_index=True)
-                fresh = [(x, i) for x, i in zip(h.tolist(), kept[which].tolist(), strict=True) if x not in said]
-                said.update(x for x, _ in fresh)
-                if fresh:
-                    at = [i for _, i in fresh]
-                    yield pa.RecordBatch.from_arrays([pa.array([langs[first + d] for d in p.doc[p.first[at]].tolist()], pa.string()), pa.array([p.text(i) for i in at], pa.binary())], ["lang", "phrase"])
+                for x, i in zip(h.tolist(), kept[which].tolist(), strict=True):
+                    if x not in said:
+                        said.add(x)
+                        lines.setdefault((x % PHRASE_PARTS, langs[first + int(p.doc[p.first[i]])]), []).append(p.text(i))
+                        held += 1
+                if held >= KEPT_PHRASES:
+                    yield from out()
+                    said.clear()
+                    held = 0
+        yield from out()
 
     return run
 
 
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase) of rows (part, lang, size, phrases), without most of the repeated ones."""
+    said: dict[str, set[bytes]] = {}
+    for batch in batches:
+        for lang, size, raw in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            mine = said.setdefault(lang, set())
+            fresh = set(_unpacked(raw, size).split(b"\n")) - mine
+            if fresh:
+                mine |= fresh
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(fresh), pa.string()), pa.array(list(fresh), pa.binary())], ["lang", "phrase"])
+        if sum(map(len, said.values())) > KEPT_PHRASES:
+            said.clear()
+
+
 class _Shard:
-    """Keys as an automaton over bytes, guarded by spaces; its values are places among the keys."""
+    """Keys (one a line) as an automaton over bytes, guarded by spaces; its values are places among the keys."""
 
     def __init__(self, keys: bytes):
-        self.keys = keys.split(b"\n")
+        self.n = 0
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for i, key in enumerate(self.keys):
-            self.automaton.add_word(f" {key.decode('latin-1')} ", i)
+        for key in keys.decode("latin-1").split("\n"):
+            self.automaton.add_word(f" {key} ", self.n)
+            self.n += 1
         self.automaton.make_automaton()
 
     def count(self, stream: str) -> np.ndarray:
         """Occurrences of each key, overlapping ones too."""
-        return np.bincount(np.fromiter((i for _, i in self.automaton.iter(stream)), np.int64), minlength=len(self.keys))
+        return np.bincount(np.fromiter((i for _, i in self.automaton.iter(stream)), np.int64), minlength=self.n)
 
 
 _compiled: dict[str, _Shard] = {}
@@ -193,8 +232,8 @@ def _shard(sent) -> _Shard:
     return _compiled[name]
 
 
-def _count(sent, totals: bool):
-    """(lang, phrase, n): occurrences of each key in a partition; with ``totals``, a null phrase has all words."""
+def _count(sent):
+    """(lang, block, counts): occurrences of each key in a partition, by block of places; block -1: all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = _shard(sent)
@@ -209,14 +248,39 @@ def _count(sent, totals: bool):
                 for lang, texts in by_lang.items():
                     said = b".".join(texts).translate(_PLAIN).replace(b".", b" . ").split()
                     n_words[lang] = n_words.get(lang, 0) + len(said) - said.count(b".")
-                    mine = shard.count(f" {b' '.join(said).decode('latin-1')} ")
+                    stream = f" {b' '.join(said).decode('latin-1')} "
+                    del said
+                    mine = shard.count(stream)
                     counts[lang] = counts[lang] + mine if lang in counts else mine
         for lang, mine in counts.items():
-            for at in np.array_split(np.flatnonzero(mine), 1 + len(mine) // 50_000):
-                phrases = pa.array([shard.keys[i] for i in at.tolist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), phrases, pa.array(mine[at])], ["lang", "phrase", "n"])
-        if totals:
-            yield pa.RecordBatch.from_arrays([pa.array(list(n_words), pa.string()), pa.nulls(len(n_words), pa.binary()), pa.array(list(n_words.values()), pa.int64())], ["lang", "phrase", "n"])
+            parts = [(-1, np.array([n_words[lang]]))] + [(at // COUNT_BLOCK, mine[at : at + COUNT_BLOCK]) for at in range(0, len(mine), COUNT_BLOCK)]
+            kept = [(block, part) for block, part in parts if part.any()]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(kept), pa.string()), pa.array([x for x, _ in kept], pa.int32()), pa.array([_packed(part) for _, part in kept], pa.binary()), pa.array([len(part) for _, part in kept], pa.int64())], ["lang", "block", "counts", "size"])
+
+    return run
+
+
+def _sums(sent, totals: bool):
+    """(lang, phrase, f) of rows of ``_count``, of which a lang and block are in one task; with ``totals``, a null phrase has all words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _compiled.clear()  # this shard has been counted
+        sums: dict[tuple[str, int], np.ndarray] = {}
+        for batch in batches:
+            for lang, block, raw, size in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                part = np.frombuffer(_unpacked(raw, 8 * size), np.int64)
+                sums[lang, block] = sums[lang, block] + part if (lang, block) in sums else part
+        keys = sent.value[1]
+        ends = np.append(np.flatnonzero(np.frombuffer(keys, np.uint8) == 0x0A), len(keys))
+        starts = np.append(0, ends[:-1] + 1)
+        for (lang, block), mine in sums.items():
+            if block < 0:
+                phrases, n = pa.nulls(int(totals), pa.binary()), mine[: int(totals)]
+            else:
+                at = np.flatnonzero(mine)
+                places, n = at + block * COUNT_BLOCK, mine[at]
+                phrases = pa.array([keys[a:b] for a, b in zip(starts[places].tolist(), ends[places].tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), phrases, pa.array(n, pa.int64())], ["lang", "phrase", "f"])
 
     return run
 
@@ -226,13 +290,14 @@ def sketched_candidates(texts: DataFrame, counters: int, rounds: int) -> DataFra
     spark = texts.sparkSession
     found = None
     for this in range(rounds):
-        blocks = texts.mapInArrow(_sketch(counters, rounds, this), "row int, block int, at binary, counts binary").repartition("row", "block")
+        blocks = texts.mapInArrow(_sketch(counters, rounds, this), "row int, block int, counts binary").repartition("row", "block")
         bits = [bytearray(counters // 8) for _ in range(SKETCH_ROWS)]  # a sketch's bits: SKETCH_ROWS * MOST_COUNTERS / 8 bytes at most
         for row, block, part in blocks.mapInArrow(_heavy, "row int, block int, bits binary").collect():
             at = block * (BLOCK // 8)
             bits[row][at : at + BLOCK // 8] = part
         sent = spark.sparkContext.broadcast([bytes(b) for b in bits])
-        mine = texts.mapInArrow(_candidates(sent, counters, rounds, this), "lang string, phrase binary").select("lang", F.col("phrase").cast("string").alias("phrase")).distinct()
+        lines = texts.mapInArrow(_candidates(sent, counters, rounds, this), "part int, lang string, size long, phrases binary").repartition("part")
+        mine = lines.mapInArrow(_distinct, "lang string, phrase binary").select("lang", F.col("phrase").cast("string").alias("phrase")).distinct()
         found = mine if found is None else found.unionByName(mine)
     return written(found, "candidates")
 
@@ -248,7 +313,8 @@ def counted(texts: DataFrame, candidates: DataFrame, shard_bytes: int = SHARD_BY
         own = keys.where(F.pmod(F.xxhash64("phrase"), F.lit(shards)) == this)
         blob = b"\n".join(bytes(x) for (x,) in own.select(F.col("phrase").cast("binary")).toLocalIterator())  # about shard_bytes
         sent = spark.sparkContext.broadcast((uuid.uuid4().hex, blob))
-        mine = texts.mapInArrow(_count(sent, this == 0), "lang string, phrase binary, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+        blocks = texts.mapInArrow(_count(sent), "lang string, block int, counts binary, size long").repartition("lang", "block")
+        mine = blocks.mapInArrow(_sums(sent, this == 0), "lang string, phrase binary, f long")
         mine = written(mine.select("lang", F.col("phrase").cast("string").alias("phrase"), "f"), "counts")
         sent.unpersist()
         out = mine if out is None else out.unionByName(mine)
