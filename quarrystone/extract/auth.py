@@ -119,10 +119,11 @@ def _in_quotes(message: Column, i: int) -> Column:
 def auth_log(lines: DataFrame, collected: Column | None = None, host_offset_s: Column | int = 0) -> DataFrame:
     """AUTH_LOG: lines with a header, the event they tell of, and its fields; k=v pairs fill what the event leaves open."""
     # Each step is a generator of one row: its expressions run once, whatever later steps ask of them.
-    head = lines.select("path", "line_no", F.inline(F.array(split_line(F.col("line"))))).where("timestamp_raw <> '' AND host <> '' AND process <> '' AND process <> 'http'")
+    offset = F.lit(host_offset_s) if isinstance(host_offset_s, int) else host_offset_s
+    head = lines.select("path", "line_no", offset.alias("offset_"), F.inline(F.array(split_line(F.col("line"))))).where("timestamp_raw <> '' AND host <> '' AND process <> '' AND process <> 'http'")
     message = F.col("message")
     step = F.struct(F.lower("process").alias("program"), _event(F.lower("process"), message).alias("event"), F.split("message", " ").alias("words"))
-    told = head.select("timestamp_raw", "host", "process", "pid", "message", F.col("path").alias("source"), "line_no", F.inline(F.array(step)))
+    told = head.select("offset_", "timestamp_raw", "host", "process", "pid", "message", F.col("path").alias("source"), "line_no", F.inline(F.array(step)))
     event, words = F.col("event"), F.col("words")
     sudo, exec_ = F.when(event == "sudo command", _listed(message)), F.when(event == "pkexec", _bracketed(message))
     told = told.withColumn("listed", F.coalesce(sudo, exec_, F.create_map().cast("map<string,string>")))
@@ -166,7 +167,7 @@ def auth_log(lines: DataFrame, collected: Column | None = None, host_offset_s: C
     kind = F.coalesce(F.try_element_at(classes, event), F.lit(""))
     failing = F.arrays_overlap(F.split(F.lower(message), "[^a-z]+"), F.array(*map(F.lit, FAILURE_WORDS))) | F.lower(message).contains("not in sudoers")
     return told.select(
-        log_timestamp(F.col("timestamp_raw"), host_offset_s, collected).alias("timestamp_utc"),
+        log_timestamp(F.col("timestamp_raw"), F.col("offset_"), collected).alias("timestamp_utc"),
         "timestamp_raw", "host", "process", "pid", "event",
         F.when((kind == "") & F.split("program", r"[^a-z0-9-]")[0].isin(*PRIVILEGED), "priv").otherwise(kind).alias("event_class"),
         or_pair(user, "user", "acct", "ruser", "logname").alias("user"),

@@ -145,3 +145,19 @@ def one_per_act(rows: DataFrame) -> DataFrame:
     """Timeline rows (ts, from_host, to_host, event, detail, basis) as one per act, with all that it rests on."""
     subject = F.split(F.col("detail"), " over ")[0]
     return rows.groupBy("ts", "from_host", "to_host", "event", subject.alias("detail")).agg(F.array_join(F.sort_array(F.collect_set("basis")), "; ").alias("basis"))
+
+
+def commands_naming_hosts(commands: DataFrame, identities: DataFrame, keys: list[str], host: str = "host", command: str = "command") -> DataFrame:
+    """CROSS_COMMANDS: commands (keys, host, command) that name another host, once for each: keys, host, named_host, token, command.
+
+    A command's distinct tokens (words between blanks, quotes and the like, cut at
+    ``@``, ``/`` and ports) meet the hosts' names and addresses (host, value) in a
+    hash join. The shortest token that names a host is shown.
+    """
+    cut = lambda text: F.split(F.lower(text), r"[^a-z0-9._:-]+")
+    words = F.array_union(cut(F.col(command)), cut(F.regexp_replace(F.col(command), r":[0-9]+(?![0-9.])", " ")))  # with ports and without
+    tokens = F.filter(F.array_distinct(F.transform(words, lambda t: F.rtrim(F.btrim(t, F.lit(".-")), F.lit(":")))), lambda t: F.length(t) > 1)
+    said = commands.select(*keys, F.col(host).alias("host"), F.col(command).alias("command"), F.explode(tokens).alias("token"))
+    known = identities.select(F.lower("value").alias("token"), F.col("host").alias("named_host")).where("token <> ''").distinct()
+    met = said.join(known, "token").where(~F.col("host").eqNullSafe(F.col("named_host")))
+    return met.groupBy(*keys, "host", "named_host").agg(F.min(F.struct(F.length("token").alias("n"), "token")).getField("token").alias("token"), F.first("command").alias("command"))

