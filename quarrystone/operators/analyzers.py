@@ -101,7 +101,7 @@ def package_rules() -> list[Rule]:
     """Rules on PACKAGES rows of a listing with states."""
     stated = F.col("status").rlike(r"^[a-z][a-zA-Z]$")
     return [
-        Rule("MEDIUM", "Software", "Dual-use / offensive tooling installed", stated & F.split("name", ":")[0].isin(DUAL_USE)),
+        Rule("MEDIUM", "Software", "Dual-use / offensive tooling installed", stated & F.split("name", ":")[0].isin(*DUAL_USE)),
         Rule("LOW", "Software", "Package(s) not in a fully installed state", stated & ~F.col("status").isin("ii", "rc")),
     ]
 

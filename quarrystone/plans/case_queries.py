@@ -192,7 +192,7 @@ def clocks_by_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH c AS (SELECT event_id, user_id % 40 AS host, (user_id * 7 + event_id) % 55 AS named, event_id % 3 AS kind FROM events)
-SELECT host, named AS named_host, CASE kind WHEN 0 THEN 'h' || named || '.lan' WHEN 1 THEN '10.9.0.' || named ELSE 'h' || named END AS token, count(*) AS n FROM c WHERE named < 40 AND named <> host GROUP BY ALL
+SELECT host, named AS named_host, CASE kind WHEN 0 THEN 'h' || named || '.lan' WHEN 1 THEN '10.9.0.' || named ELSE 'h' || named END AS token, count(*) AS n FROM c WHERE named IN (SELECT host FROM c) AND named <> host GROUP BY ALL
 """)
 def commands_to_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = (F.col("user_id") * 7 + F.col("event_id")) % 55
