@@ -13,9 +13,10 @@ overlap with all templates together.
 A unit that reaches LEAST_DICE has |B| LEAST_DICE / (2 - LEAST_DICE) bigrams of
 the template. Each template has anchors: its most telling bigrams, one more than
 such a unit can lack. A text without any anchor has no hit, which one look at the
-text settles; and windows begin only where an anchor stands at its place in the
-template. Of each text and template the best window is shown (of equal ones the
-first), with the number of words before it as unit_no.
+text settles. A window may begin at any word; those are compared that hold as
+many words of bigrams of the template as a hit needs, which the places of these
+bigrams in the text show. Of each text and template the best window is shown (of
+equal ones the first), with the number of words before it as unit_no.
 
 Everything is a projection of the document's own row: there is no shuffle, texts
 with an anchor are written once, and a text of any length or a source of any size
@@ -101,8 +102,6 @@ TEMPLATES += tuple((n, p, " ".join(_PARTS[k] for k in parts)) for n, p, parts in
 
 # Words too common to tell.
 COMMON = "a an above all and any are as at available be been but by can code copy data either event file following for form free from if in including is it its may must name no not notice of on or org other permission person permit program see shall source terms that the their this to under use used version whether which with without work you".split()
-#: Windows begin where so many anchors of a template point.
-WINDOW_ANCHORS = 8
 #: Between paragraphs: a line with nothing, or with nothing but the marks of a comment.
 BLANK = r"\n[ \t\r]*(?:#+|//+|\*+/?|/\*+|;+|--+|%+)?[ \t\r]*\n"
 
@@ -130,14 +129,6 @@ def anchors() -> dict[tuple[str, str], tuple[str, ...]]:
     return out
 
 
-def pointers(name: str, part: str, text: str) -> dict[str, list[int]]:
-    """The anchors that windows of a template begin with, and their places in it."""
-    own = template_words(text)
-    pairs = [f"{a} {b}" for a, b in zip(own, own[1:], strict=False)]
-    places = {a: [i for i, x in enumerate(pairs) if x == a] for a in anchors()[name, part]}
-    return dict(sorted(places.items(), key=lambda x: len(x[1]))[:WINDOW_ANCHORS])
-
-
 def folded(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
@@ -185,21 +176,30 @@ def _unit_hits(docs: DataFrame) -> DataFrame:
 
 
 def _best_window(name: str, part: str, text: str) -> str:
-    """SQL for the greatest (dice, -start, bigrams) of the windows that ``places`` begin, over ``grams``; null without any."""
+    """SQL for the greatest (dice, -start, bigrams) of a text's windows, over ``grams`` and ``places``; null without any.
+
+    With the template's bigrams at the places at[0] < at[1] < ..., at[k] is the first
+    one in a window that begins after at[k - 1]; the window holds ``lo`` of them if
+    it reaches to at[k + lo - 1]. Each start is tried once.
+    """
     size, grams = len(template_words(text)), bigram_set(text)
     lo, hi = bounds(len(grams))
-    shifts = " ".join(f"WHEN '{a}' THEN array({', '.join(map(str, at))})" for a, at in pointers(name, part, text).items())
-    starts = f"array_distinct(flatten(transform(places, p -> transform(CASE p.x {shifts} ELSE CAST(array() AS array<int>) END, d -> greatest(p.i - d, 0)))))"
-    cut = f"transform({starts}, at -> named_struct('at', at, 'g', array_distinct(slice(grams, at + 1, {size - 1}))))"
-    dice = f"2.0D * size(array_intersect(c.g, split('{'|'.join(grams)}', '[|]'))) / (size(c.g) + {len(grams)})"
-    return f"array_max(transform(filter({cut}, c -> size(c.g) BETWEEN {lo} AND {hi}), c -> named_struct('dice', {dice}, 'back', -c.at, 'n', size(c.g))))"
+    own = f"'{"', '".join(grams)}'"
+    at = f"transform(filter(places, p -> p.x IN ({own})), p -> p.i)"
+    begins = f"sequence(greatest(at[k + {lo - 1}] - {size - 2}, IF(k = 0, 0, at[k - 1] + 1)), at[k])"
+    reached = f"filter(sequence(0, size(at) - {lo}), k -> at[k + {lo - 1}] - at[k] <= {size - 2})"
+    starts = f"IF(size(at) < {lo}, CAST(array() AS array<int>), flatten(transform({reached}, k -> {begins})))"
+    dice = f"2.0D * size(array_intersect(g, split('{'|'.join(grams)}', '[|]'))) / (size(g) + {len(grams)})"
+    judged = f"IF(size(g) BETWEEN {lo} AND {hi}, named_struct('dice', {dice}, 'back', -s, 'n', size(g)), NULL)"
+    tried = f"transform({starts}, s -> transform(array(array_distinct(slice(grams, s + 1, {size - 1}))), g -> {judged})[0])"
+    return f"transform(array({at}), at -> array_max({tried}))[0]"
 
 
 def _window_hits(docs: DataFrame) -> DataFrame:
     """The best window of each text and template, if it is a hit."""
-    every = sorted({a for name, part, text in TEMPLATES for a in pointers(name, part, text)})
+    every = sorted({g for _, _, text in TEMPLATES for g in bigram_set(text)})
     words = docs.select("doc_id", _grams(F.split(folded(F.col("text")), " ")).alias("grams"))
-    places = F.filter(F.transform("grams", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: F.array_contains(_literal(every), p["x"]))
+    places = F.filter(F.transform("grams", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: p["x"].isin(every))
     placed = words.select("doc_id", "grams", places.alias("places")).where(F.size("places") > 0)
     best = F.expr(f"array({', '.join(f"named_struct('licence', '{n}', 'part', '{p}', 'b', {_best_window(n, p, t)})" for n, p, t in TEMPLATES)})")
     hit = placed.select("doc_id", F.explode(F.filter(best, lambda h: h["b"]["dice"] >= LEAST_DICE)).alias("h"))
@@ -213,12 +213,12 @@ def licence_hits(docs: DataFrame) -> DataFrame:
 
 
 def oracle_sql() -> str:
-    """The same rows in DuckDB: lines and paragraphs without pruning, windows where anchors point."""
+    """The same rows in DuckDB: lines and paragraphs without pruning, windows at every
+    word of the texts that have enough of a template's bigrams anywhere."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     rows = ", ".join(f"({quote(n)}, {quote(p)}, {len(template_words(t))}, [{', '.join(map(quote, bigram_set(t)))}])" for n, p, t in TEMPLATES)
-    points = ", ".join(f"({quote(n)}, {quote(p)}, {quote(w)}, {i})" for n, p, t in TEMPLATES for w, at in pointers(n, p, t).items() for i in at)
     return f"""
-WITH templates(licence, part, m, b) AS (VALUES {rows}), anchors(licence, part, g, o) AS (VALUES {points}),
+WITH templates(licence, part, m, b) AS (VALUES {rows}),
 docs AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents WHERE text IS NOT NULL),
 units AS (
   SELECT doc_id, 'line' AS unit, unnest(range(len(x))) AS unit_no, unnest(x) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM docs)
@@ -232,14 +232,18 @@ units AS (
   SELECT rid, doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM docs
 ), spots AS (
   SELECT rid, unnest(range(len(w) - 1)) AS i, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS x FROM whole WHERE len(w) > 1
+), owned AS (
+  SELECT licence, part, ceil(len(b) * {LEAST_DICE} / (2 - {LEAST_DICE}) - 1e-9) AS least, unnest(b) AS g FROM templates
+), able AS (
+  SELECT s.rid, o.licence, o.part FROM (SELECT DISTINCT rid, x FROM spots) s JOIN owned o ON s.x = o.g GROUP BY s.rid, o.licence, o.part HAVING count(*) >= any_value(o.least)
 ), starts AS (
-  SELECT DISTINCT s.rid, a.licence, a.part, greatest(s.i - a.o, 0) AS place FROM spots s JOIN anchors a ON s.x = a.g
+  SELECT a.rid, a.licence, a.part, s.i AS place FROM able a JOIN spots s ON a.rid = s.rid
 ), cut AS (
   SELECT t.rid, t.doc_id, s.licence, s.part, s.place, m.b, list_distinct(list_transform(range(s.place + 1, least(s.place + m.m, len(t.w))), lambda i: t.w[i] || ' ' || t.w[i + 1])) AS a
   FROM starts s JOIN whole t ON s.rid = t.rid JOIN templates m ON s.licence = m.licence AND s.part = m.part
 ), scored AS (
   SELECT NULL AS rid, doc_id, unit, unit_no, licence, part, len(a) AS n_bigrams, CAST(2 AS DOUBLE) * CAST(len(list_intersect(a, b)) AS DOUBLE) / CAST(len(a) + len(b) AS DOUBLE) AS dice
-  FROM grams CROSS JOIN templates WHERE len(a) < 600
+  FROM grams CROSS JOIN templates
   UNION ALL
   SELECT rid, doc_id, 'window', place, licence, part, len(a), CAST(2 AS DOUBLE) * CAST(len(list_intersect(a, b)) AS DOUBLE) / CAST(len(a) + len(b) AS DOUBLE) FROM cut
 ), ranked AS (

@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 
@@ -162,3 +164,34 @@ def test_word_counts_agree(spark):
     texts = ["a b  c", "", None, " \t", "x\x0by\x1cz w", "\n\na"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(word_count(F.col("t")), words_of(F.col("t"))).collect()
     assert [(n, list(w)) for n, w in rows] == [(len(brute.words(t)), brute.words(t)) for t in texts]
+
+
+def test_changed_copies_in_prose_are_found_wherever_they_were_changed(spark):
+    """Each template with words put in and changed at random, and with its most telling words changed, against all windows."""
+    rng, rows = random.Random(4), []
+    for n, (name, part, text) in enumerate(licences.TEMPLATES):
+        own = licences.template_words(text)
+        for turn in range(3):
+            w = list(own)
+            for i in rng.sample(range(len(w)), len(w) // 14):
+                w[i] = "zz" + w[i]
+            if turn == 1:
+                w.insert(rng.randrange(len(w)), "inserted")
+            if turn == 2 and len(own) > 40:  # the words of rare bigrams go first
+                rare = sorted(range(len(own)), key=lambda i: (own[i] in licences.COMMON, -len(own[i])))[: len(own) // 14]
+                w = [f"q{x}" if i in rare else x for i, x in enumerate(own)]
+            rows.append((3 * n + turn, " ".join([*["lorem"] * rng.randrange(9), *w, "ipsum", "dolor"])))
+
+    def best(words, text):
+        size, grams, out = len(licences.template_words(text)), set(licences.bigram_set(text)), None
+        lo, hi = licences.bounds(len(grams))
+        for s in range(len(words)):
+            cut = words[s : s + size]
+            a = {f"{x} {y}" for x, y in zip(cut, cut[1:], strict=False)}
+            if lo <= len(a) <= hi and (d := 2.0 * len(a & grams) / (len(a) + len(grams))) >= licences.LEAST_DICE and (out is None or d > out[0]):
+                out = (d, s)
+        return out
+
+    want = {(i, n, p): b for i, t in rows for n, p, x in licences.TEMPLATES if (b := best(t.split(), x))}
+    found = {(r["doc_id"], r["licence"], r["part"]): (r["dice"], r["unit_no"]) for r in licences.licence_hits(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["unit"] == "window"}
+    assert found == want and len(want) > len(licences.TEMPLATES)
