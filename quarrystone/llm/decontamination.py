@@ -22,8 +22,8 @@ item_id; for the words alone, items of the same words. Candidates come from the
 classes, as many as any occurrence must have one of; then all are counted.
 
 Texts that share an item_id are items of their own, shown by it. Null and empty texts have no windows. An item with fewer
-plain words than LEAST_PLAIN is matched by its own words only, and one with fewer words than that only where it has a line to itself,
-since its words alone are common. Rows that share a doc_id are judged together;
+plain words than LEAST_PLAIN is matched by its own words only, and one with fewer words than that makes a document contaminated
+only where it has a line to itself, since its words alone are common; in running text it is reported beside. Rows that share a doc_id are judged together;
 a null doc_id is never contaminated. Only doc_id, text, item_id are read.
 """
 
@@ -58,7 +58,7 @@ UNITS = "mm cm m km inch inches foot feet ft yard yards mile miles meter meters
 #: Written with a hyphen, which is punctuation: twentyfive.
 NUMBER_WORDS += [tens + ones for tens in NUMBER_WORDS[20:28] for ones in NUMBER_WORDS[1:10]]
 
-HIT = "doc_id long, hash long, pos long, slots array<string>"
+HIT = "doc_id long, hash long, pos long, slots array<string>, running boolean"
 _U = np.uint64
 
 
@@ -210,14 +210,13 @@ def _hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
                         own = hashes[starts]
                         at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                         good = (known[at] == own) & _usable(t.kinds, k, variant)[starts]
-                        if k < LEAST_PLAIN:
-                            good &= _whole_lines(lines, starts, k)
-                        for i in starts[good].tolist():
+                        running = ~_whole_lines(lines, starts, k) if k < LEAST_PLAIN else np.zeros(len(starts), bool)
+                        for i, r in zip(starts[good].tolist(), running[good].tolist(), strict=True):
                             d = int(np.searchsorted(t.bounds, i, "right")) - 1
-                            rows.append((batch.column(0)[first + d].as_py(), int(hashes[i]), i - int(t.bounds[d]), _slots(w, t, kept, i, i + k)))
+                            rows.append((batch.column(0)[first + d].as_py(), int(hashes[i]), i - int(t.bounds[d]), _slots(w, t, kept, i, i + k), r))
                     if rows:
-                        kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()))
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds_, strict=True)], ["doc_id", "hash", "pos", "slots"])
+                        kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.bool_())
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds_, strict=True)], ["doc_id", "hash", "pos", "slots", "running"])
 
         part = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, HIT)
         out = part if out is None else out.unionByName(part)
@@ -231,8 +230,8 @@ def _renaming(pairs: Column, whole: Column) -> Column:
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, offset, n_found, n_windows, literal) of every occurrence of an item class in a document;
-    literal: its slots have the item's own values."""
+    """(doc_id, item_id, offset, n_found, n_windows, literal, running) of every occurrence of an item class in a document;
+    literal: its slots have the item's own values; running: it has fewer than LEAST_PLAIN words and is not a line."""
     items = written(item_windows(benchmark), "windows")
     hits = written(_hits(docs, items), "hits")
     common = items.groupBy("hash").agg(F.countDistinct("shape").alias("items"))
@@ -244,26 +243,34 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     met = candidates.join(own, "shape").join(hits, ["doc_id", "hash"])
     pairs = F.zip_with("own", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     keys = ["doc_id", "shape", "item_id", "variant", "n_windows"]
-    single = met.groupBy(*keys, (F.col("pos") - F.col("at")).alias("offset")).agg(F.collect_set("at").alias("found"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
+    single = met.groupBy(*keys, (F.col("pos") - F.col("at")).alias("offset")).agg(F.collect_set("at").alias("found"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"), F.bool_and("running").alias("running"))
     ordered = Window.partitionBy(*keys).orderBy("offset")
     far = F.coalesce(F.col("offset") - F.lag("offset").over(ordered) > SHIFT, F.lit(True)).cast("int")
     runs = single.withColumn("far", far).withColumn("run", F.sum("far").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = runs.groupBy(*keys, "run").agg(F.min("offset").alias("offset"), F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"), F.count("*").alias("n"))
+    joined = runs.groupBy(*keys, "run").agg(F.min("offset").alias("offset"), F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"), F.bool_and("running").alias("running"), F.count("*").alias("n"))
     both = single.unionByName(joined.where("n > 1").drop("run", "n")).withColumn("n_found", F.size("found").cast("long"))
     whole = (F.col("variant") != NAMELESS) | (F.col("n_found") == F.col("n_windows"))
     kept = both.where(F.col("n_found") >= need).where(_renaming(F.col("pairs"), whole))
     literal = F.forall("pairs", lambda p: p["a"] == p["b"])
-    return kept.select("doc_id", "item_id", "offset", "n_found", "n_windows", literal.alias("literal"))
+    return kept.select("doc_id", "item_id", "offset", "n_found", "n_windows", literal.alias("literal"), "running")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, contaminated, reparameterised, n_items, items: one row for each row of ``docs``."""
-    found = occurrences(docs, benchmark).groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"), (~F.bool_or("literal")).alias("reparameterised"))
+    """doc_id, contaminated, reparameterised, n_items, items, short_items: one row for each row of ``docs``.
+
+    ``short_items`` are the items of fewer than LEAST_PLAIN words that occur in running text only. They are common
+    words more often than leaks, so they do not make a document contaminated; a caller who thinks otherwise has them here.
+    """
+    ids = lambda which: F.sort_array(F.collect_set(F.when(which, F.col("item_id"))))
+    running = F.col("running")
+    own = occurrences(docs, benchmark).groupBy("doc_id", "item_id").agg(F.bool_and("running").alias("running"), F.bool_or(F.col("literal") & ~running).alias("literal"))
+    found = own.groupBy("doc_id").agg(ids(~running).alias("items"), ids(running).alias("short_items"), (~F.bool_or("literal")).alias("reparameterised"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(found, "doc_id", "left")
     return rows.select(
         "doc_id",
-        F.col("items").isNotNull().alias("contaminated"),
-        F.coalesce("reparameterised", F.lit(False)).alias("reparameterised"),
+        F.coalesce(F.size("items") > 0, F.lit(False)).alias("contaminated"),
+        F.coalesce((F.size("items") > 0) & F.col("reparameterised"), F.lit(False)).alias("reparameterised"),
         F.coalesce(F.size("items"), F.lit(0)).alias("n_items"),
         F.coalesce("items", F.array().cast("array<long>")).alias("items"),
+        F.coalesce("short_items", F.array().cast("array<long>")).alias("short_items"),
     )

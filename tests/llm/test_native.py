@@ -144,6 +144,7 @@ def test_decontamination(spark, no_docs):
     out = {r["doc_id"]: r for r in decontamination.contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
     assert len(out) == len(docs)
     assert {i for i, r in out.items() if r["contaminated"]} == {10, 11, 16, 17, 19, 22}
+    assert {i: r["short_items"] for i, r in out.items() if r["short_items"]} == {18: [4], 20: [4], 21: [5]}
     assert out[10]["items"] == [1, 2] and not out[10]["reparameterised"] and out[11]["reparameterised"] and out[16]["items"] == [3]
     assert decontamination.contamination(no_docs, bench).collect() == []
     assert [r["contaminated"] for r in decontamination.contamination(spark.createDataFrame(docs[:1], "doc_id long, text string"), bench.limit(0)).collect()] == [False]
