@@ -94,25 +94,30 @@ def routes(legs: DataFrame) -> DataFrame:
     """Two-hop routes from legs (from_host, to_host, ts, user, ok): each leg into a host with the first leg out of it
     at or after, within HOP_GAP, to a third host.
 
-    Legs out are stacked with legs in on the host between them and the third
-    host; the earliest is one running window in reversed time. No leg meets another in a join.
+    Equal legs are one row with their number. Time is cut into steps of HOP_GAP, and a leg out stands in its own
+    step and the one before, so a leg in has all that may follow it in its own: it is stacked with the legs out of
+    those third hosts only that have one there, and the earliest is one running window in reversed time.
+    A host's key is a step long, however busy the host. Null hosts and times have no routes.
     """
-    outs = legs.select(F.col("from_host").alias("mid"), F.col("to_host").alias("c"), "ts", F.struct("ts", F.col("user"), F.col("ok")).alias("out"))
-    ends = outs.select("mid", "c").distinct()
-    ins = legs.select(F.col("to_host").alias("mid"), F.col("from_host").alias("a"), "ts", F.struct("ts", "user", "ok").alias("in")).join(ends, "mid").where("a <> c")
+    step = F.floor(F.unix_seconds("ts") / HOP_GAP)
+    out = F.min(F.struct("ts", "user", "ok")).alias("out")
+    outs = legs.groupBy(F.col("from_host").alias("mid"), F.col("to_host").alias("c"), "ts").agg(out).withColumn("step", F.explode(F.array(step, step - 1)))
+    ends = outs.select("mid", "step", "c").distinct()
+    ins = legs.groupBy(F.col("to_host").alias("mid"), F.col("from_host").alias("a"), "ts", "ok").agg(F.count("*").alias("n")).withColumn("step", step)
+    ins = ins.select("mid", "step", "a", "ts", F.struct("ts", "ok", "n").alias("in")).join(ends, ["mid", "step"]).where("a <> c")
     both = ins.unionByName(outs, allowMissingColumns=True).withColumn("at", F.unix_seconds("ts"))
-    w = Window.partitionBy("mid", "c").orderBy(F.desc("at"), F.col("in").isNotNull(), F.desc("out")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("mid", "c", "step").orderBy(F.desc("at"), F.col("in").isNotNull(), F.desc("out")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     chained = both.withColumn("nxt", F.last("out", ignorenulls=True).over(w)).where("in IS NOT NULL AND nxt IS NOT NULL")
-    chained = chained.where(F.unix_seconds("nxt.ts") - F.col("at") <= HOP_GAP)
-    gap = F.unix_seconds("nxt.ts") - F.unix_seconds("in.ts")
-    return chained.groupBy(F.concat_ws(" -> ", "a", "mid", "c").alias("path")).agg(
-        F.count("*").alias("chains"), F.min("in.ts").alias("first_utc"), F.max("nxt.ts").alias("last_utc"), F.bool_or(F.col("in.ok") & F.col("nxt.ok")).alias("reached"), F.min(gap).alias("tightest")
+    gap = F.unix_seconds("nxt.ts") - F.col("at")
+    found = chained.where(gap <= HOP_GAP).groupBy("a", "mid", "c").agg(
+        F.sum("in.n").alias("chains"), F.min("in.ts").alias("first_utc"), F.max("nxt.ts").alias("last_utc"), F.bool_or(F.col("in.ok") & F.col("nxt.ok")).alias("reached"), F.min(gap).alias("tightest")
     )
+    return found.select(F.concat_ws(" -> ", "a", "mid", "c").alias("path"), "chains", "first_utc", "last_utc", "reached", "tightest")
 
 
 def sign_ins(sessions: DataFrame, identities: DataFrame) -> DataFrame:
     """Sign-ins (host, user, source, ts, result) whose source is another host: ``identities`` has (host, token)."""
-    names = F.broadcast(identities.groupBy(F.lower("token").alias("token")).agg(F.min("host").alias("from_host")))
+    names = identities.groupBy(F.lower("token").alias("token")).agg(F.min("host").alias("from_host"))
     return sessions.join(names, F.lower("source") == F.col("token")).where("from_host <> host").select("ts", "from_host", F.col("host").alias("to_host"), "user", "result", ~F.lower("result").contains("fail"))
 
 

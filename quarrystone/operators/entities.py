@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -76,26 +75,31 @@ def indicator_rollup(observations: DataFrame) -> DataFrame:
 def tree(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     """(node, parent, depth, path, children) of a forest; ``path`` sorts rows into preorder.
 
-    Level by level: each round joins the rows reached last with their
-    children, so its cost follows the level. A node whose parent is absent is
-    a root; nodes in a loop are never reached and come with depth null.
+    Each node points at an ancestor and has the path up to it; a round joins it
+    with that ancestor's own pointer and path, so depth d takes log2(d) rounds.
+    A node whose parent is absent is a root. Nodes in a loop or below one meet
+    their own path again and come with depth null. Of rows of one node any one stays.
     """
     own = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent")).dropDuplicates(["node"])
-    known = own.select(F.col("node").alias("known"))
-    roots = own.join(known, F.col("parent") == F.col("known"), "left_anti")
-    level = roots.select("node", "parent", F.lit(0).alias("depth"), F.array("node").alias("path"))
-    levels = [level]
-    for depth in itertools.count(1):
-        up = levels[-1].select(F.col("node").alias("up"), F.col("path").alias("up_path"))
-        nxt = own.join(up, F.col("parent") == F.col("up")).select("node", "parent", F.lit(depth).alias("depth"), F.concat("up_path", F.array("node")).alias("path"))
-        nxt = written(nxt, "tree")
-        if nxt.isEmpty():
+    known = own.select(F.col("node").alias("up"))
+    state = own.join(known, F.col("parent") == F.col("up"), "left").select("node", "parent", "up", F.array("node").alias("path"), F.lit(False).alias("lost"))
+    while True:
+        state = written(_looped(state), "tree")
+        if state.where("up IS NOT NULL").isEmpty():
             break
-        levels.append(nxt)
-    reached = reduce(DataFrame.unionByName, levels)
-    lost = own.join(reached.select("node"), "node", "left_anti").select("node", "parent", F.lit(None).cast("int").alias("depth"), F.array("node").alias("path"))
+        s, t = state.alias("s"), state.select("node", "up", "path", "lost").alias("t")
+        further = F.when(F.col("s.up").isNull(), F.col("s.path")).otherwise(F.concat("t.path", "s.path"))
+        lost = F.col("s.lost") | F.coalesce("t.lost", F.lit(False))
+        state = s.join(t, F.col("s.up") == F.col("t.node"), "left").select("s.node", "s.parent", "t.up", further.alias("path"), lost.alias("lost"))
     counts = own.groupBy(F.col("parent").alias("p")).agg(F.count("*").alias("children"))
-    return reached.unionByName(lost).join(counts, F.col("node") == F.col("p"), "left").select("node", "parent", "depth", "path", F.coalesce("children", F.lit(0)).alias("children"))
+    depth = F.when(~F.col("lost"), F.size("path") - 1).cast("int")
+    return state.join(counts, F.col("node") == F.col("p"), "left").select("node", "parent", depth.alias("depth"), "path", F.coalesce("children", F.lit(0)).alias("children"))
+
+
+def _looped(state: DataFrame) -> DataFrame:
+    """Nodes that are lost, or whose path has the ancestor it leads to, point nowhere."""
+    lost = F.col("lost") | F.coalesce(F.array_contains("path", F.col("up")), F.lit(False))
+    return state.withColumn("lost", lost).withColumn("up", F.when(~F.col("lost"), F.col("up"))).withColumn("path", F.when(F.col("lost"), F.array("node")).otherwise(F.col("path")))
 
 
 def severity_rank(severity: Column) -> Column:

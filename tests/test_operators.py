@@ -87,6 +87,35 @@ def test_tree_with_orphans_and_a_loop(spark):
     assert {r["node"] for r in rows if r["depth"] is None} == {8, 9} and {r["node"]: r["children"] for r in rows}[1] == 2
 
 
+def test_tree_of_long_chains_and_of_loops_with_tails(spark):
+    chain = [(i, i - 1 if i else None) for i in range(70)]
+    loop = [(100, 102), (101, 100), (102, 101), (103, 102), (104, 103), (105, 105), (106, 105)]
+    got = {r["node"]: r for r in entities.tree(spark.createDataFrame(chain + loop + [(200, 999)], "n long, p long"), "n", "p").collect()}
+    assert all(got[i]["depth"] == i and got[i]["path"] == list(range(i + 1)) for i in range(70))
+    assert all(got[i]["depth"] is None and got[i]["path"] == [i] for i, _ in loop) and got[200]["depth"] == 0
+    assert entities.tree(spark.createDataFrame([], "n long, p long"), "n", "p").collect() == []
+
+
+def test_routes_over_the_edges_of_steps(spark):
+    import random
+
+    from quarrystone.operators import correlate
+
+    rng, day = random.Random(3), correlate.HOP_GAP
+    legs = [(rng.choice("ABCD"), rng.choice("ABCD"), rng.randrange(4 * day) // 900 * 900, rng.choice(["u", None]), rng.random() < 0.5) for _ in range(150)]
+    legs += [("A", "B", day - 1, "u", True), ("B", "C", 2 * day - 1, "u", True), ("B", "D", 2 * day, "u", True)] + legs[:20]
+    want = {}
+    for a, mid, t, _, ok in legs:
+        for c in {x[1] for x in legs if x[0] == mid and x[1] != a}:
+            later = sorted(((x[2], x[3] is not None, x[3] or "", x[4]) for x in legs if (x[0], x[1]) == (mid, c) and x[2] >= t))
+            if later and later[0][0] - t <= day:
+                n, reached, gap = want.get(f"{a} -> {mid} -> {c}", (0, False, 1 << 40))
+                want[f"{a} -> {mid} -> {c}"] = (n + 1, reached or (ok and later[0][3]), min(gap, later[0][0] - t))
+    df = spark.createDataFrame(legs, "from_host string, to_host string, s long, user string, ok boolean").selectExpr("from_host", "to_host", "timestamp_seconds(s) AS ts", "user", "ok")
+    got = {r["path"]: (r["chains"], r["reached"], r["tightest"]) for r in correlate.routes(df).collect()}
+    assert got == want
+
+
 def test_indicators_are_counted_once_each(spark):
     rows = [("1.2.3.4", "ssh", "a", at(3600 * 9)), ("1.2.3.4", "web", "b", at(3600 * 11)), ("1.2.3.4", "ssh", "c", None), ("1.2.3.4", "bad", "a", at(3600 * 10)), (" ", "x", "y", None), ("z", "w", "v", None)]
     got = {r["value"]: r for r in entities.indicator_rollup(spark.createDataFrame(rows, "value string, why string, source string, ts timestamp")).collect()}
