@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def row_text(df: DataFrame, columns: list[str] | None = None) -> Column:
     """A row as one lower-case text; nulls leave nothing."""
@@ -88,14 +90,15 @@ def search_all(tables: dict[str, tuple[DataFrame, str]], term: str, sample: int
     """(table, matches, key, row) of a term in any column of any table: exact counts, and up to ``sample`` rows each.
 
     ``tables``: name to (table, column that orders it). Each table is scanned
-    once; only matching rows are turned to JSON.
+    once; only matching rows are turned to JSON, and written for both uses.
     """
     parts = []
     for name, (df, key) in tables.items():
         hit = df.where(text_filter(row_text(df), term))
         parts.append(hit.select(F.lit(name).alias("table"), F.col(key).cast("string").alias("key"), F.to_json(F.struct(*df.columns)).alias("row")))
     hits = reduce(DataFrame.unionByName, parts)
-    w = Window.partitionBy("table").orderBy("key")
+    hits = written(hits, "hits")
+    w = Window.partitionBy("table").orderBy("key", "row")
     first = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= sample).drop("rank")
     counts = hits.groupBy("table").agg(F.count("*").alias("matches"))
     return first.join(counts, "table").select("table", "matches", "key", "row")

@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 # Modifiers that are compiled; severity of levels; columns that say where a row is from.
 MODIFIERS = {"contains", "startswith", "endswith", "re", "all", "cased", "cidr"}
 LEVELS = {"critical": "CRITICAL", "high": "HIGH", "medium": "MEDIUM", "low": "LOW", "informational": "INFO"}
@@ -217,6 +219,13 @@ def matches(df: DataFrame, rules: list[dict], order: list[str], synonyms: dict[s
 
 
 def sampled(hits: DataFrame, order: list[str], most: int = MOST_HITS) -> DataFrame:
-    """``hits`` with rank and count: at most ``most`` rows of each rule, and how many it has; one scan for both."""
-    rank = F.row_number().over(Window.partitionBy("rule").orderBy(*order)).cast("long")
-    return hits.withColumn("rank", rank).withColumn("count", F.count("*").over(Window.partitionBy("rule"))).where(F.col("rank") <= most)
+    """``hits`` with rank and count: at most ``most`` rows of each rule, and how many it has.
+
+    Hits are written once for both; ranks are cut within each partition before
+    they are shuffled, so a rule that a third of all rows meet is no long task.
+    """
+    hits = written(hits, "hits")
+    rank = F.row_number().over(Window.partitionBy("rule").orderBy(*order))
+    top = hits.withColumn("rank", rank).where(F.col("rank") <= most).withColumn("rank", F.col("rank").cast("long"))
+    counts = hits.groupBy(F.col("rule").alias("of_rule_")).agg(F.count("*").alias("count"))
+    return top.join(counts, F.col("rule").eqNullSafe(F.col("of_rule_"))).drop("of_rule_")

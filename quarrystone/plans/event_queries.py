@@ -69,7 +69,7 @@ FROM nxt WHERE d = 1
 """)
 def open_close_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir).select("user_id", "ts", "event_id", "event_type")
-    paired = sessions.pair_sessions(e, ["user_id"], ["ts", "event_id"], F.col("event_type") == "signup", F.col("event_type") == "purchase")
+    paired = sessions.pair_sessions(e, ["user_id"], ["ts", "event_id"], F.col("event_type") == "signup", F.col("event_type") == "purchase", sessions.time_step("ts"))
     micros = F.unix_micros("closed.ts") - F.unix_micros("opened.ts")
     return paired.select("opened.user_id", F.col("opened.event_id").alias("opened_id"), F.col("closed.event_id").alias("closed_id"), micros.alias("micros"), "state")
 

@@ -6,7 +6,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -23,15 +23,19 @@ def contents(spark: SparkSession, path: str, most: int | None = None) -> DataFra
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line_no, line of text files; .gz, .bz2 and .zst are expanded by the reader.
+    """path, line_no, line of text files of any size; .gz, .bz2 and .zst are expanded by the reader.
 
-    Numbers need whole files, so each file is one row before it is split; use
-    ``stream_lines`` where a file is larger than a task should hold.
+    Large files are read in blocks by several tasks. A line's number is its
+    place in its block, behind the lines of the blocks before it: rows are
+    windowed by block, and only the counts of blocks by file.
     """
-    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    split = F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n")
-    rows = whole.select(F.col("_metadata.file_path").alias("path"), F.posexplode(split).alias("i", "line"), F.size(split).alias("n"))
-    return rows.where(~((F.col("i") == F.col("n") - 1) & (F.col("line") == ""))).select("path", (F.col("i") + 1).alias("line_no"), "line")
+    place = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")]
+    read = spark.read.text(path, recursiveFileLookup=True).select(*place, F.col("value").alias("line"))
+    here = read.withColumn("i", F.monotonically_increasing_id())
+    here = here.withColumn("i", F.row_number().over(Window.partitionBy("path", "block").orderBy("i")))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = read.groupBy("path", "block").agg(F.count("*").alias("n")).select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skipped"))
+    return here.join(sizes, ["path", "block"]).select("path", (F.col("i") + F.col("skipped")).alias("line_no"), "line")
 
 
 def stream_lines(spark: SparkSession, path: str) -> DataFrame:

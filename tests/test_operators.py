@@ -1,3 +1,4 @@
+import gzip
 import random
 import struct
 from datetime import datetime, timedelta
@@ -230,3 +231,64 @@ def test_streams(spark, tmp_path):
         q.stop()
     assert [(r["key"], r["opened"], r["closed"]) for r in spark.table("paired").where("state = 'closed'").collect()] == [("a", at(10), at(20))]
     assert [(r["key"], r["failures"]) for r in spark.table("counts").collect()] == [("a", 2)]
+
+
+def test_sessions_by_steps_are_those_of_whole_keys(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), n, rng.choice("ooccx")) for n in range(400)]
+    df = spark.createDataFrame(rows, "k string, n int, step string").repartition(3)
+    whole = sessions.pair_sessions(df, ["k"], ["n"], F.col("step") == "o", F.col("step") == "c").collect()
+    for size in (1, 7, 1000):
+        cut = sessions.pair_sessions(df, ["k"], ["n"], F.col("step") == "o", F.col("step") == "c", F.floor(F.col("n") / size)).collect()
+        assert sorted(map(repr, cut)) == sorted(map(repr, whole)) and len(whole) > 100
+    assert sessions.pair_sessions(df.limit(0), ["k"], ["n"], F.col("step") == "o", F.col("step") == "c", F.col("n")).count() == 0
+
+
+def test_asof_over_the_edges_of_steps(spark):
+    rng = random.Random(5)
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    left = [(i, rng.choice([None, "a"]), rng.choice([None, *range(0, 40_000, 600)])) for i in range(150)]
+    right = [(rng.choice([None, "a"]), rng.randrange(0, 40_000, 600), rng.choice([None, 1, 2, 3])) for _ in range(60)]
+    ldf = spark.createDataFrame([(i, k, None if s is None else at(s)) for i, k, s in left], "id int, k string, ts timestamp").repartition(3)
+    rdf = spark.createDataFrame([(k, at(s), v) for k, s, v in right], "k string, ts timestamp, v int")
+    for tolerance in (0, 600, 3600, 9000):
+        back = {r["id"]: r["asof_v"] for r in sessions.backward_asof(ldf, rdf, ["k"], "ts", "v", tolerance).collect()}
+        ahead = {r["id"]: r["asof_v"] for r in sessions.forward_asof(ldf, rdf, ["k"], "ts", "v", tolerance).collect()}
+        for i, k, s in left:
+            near = lambda low, high: [(t, v) for rk, t, v in right if rk == k and v is not None and s is not None and low <= t <= high]  # noqa: B023, E731
+            assert back[i] == max(near(s - tolerance, s) if s is not None else [], default=(0, None))[1]
+            assert ahead[i] == min(near(s, s + tolerance) if s is not None else [], default=(0, None))[1]
+
+
+def test_boots_of_busy_hosts(spark):
+    rng = random.Random(6)
+    at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([None, *range(200)])) for i in range(200)]
+    boots = [(k, rng.randrange(200)) for k in ("a", None) for _ in range(8)]
+    got = sessions.boot_segments(
+        spark.createDataFrame([(i, k, None if h is None else at(h)) for i, k, h in rows], "id int, k string, ts timestamp").repartition(3), spark.createDataFrame([(k, at(h)) for k, h in boots], "k string, ts timestamp"), ["k"], "ts"
+    ).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        own = [at(h) for k, h in boots if k == r["k"]]
+        boot = max((b for b in own if r["ts"] is not None and b <= r["ts"]), default=None)
+        assert (r["boot"], r["newest"]) == (boot, boot is not None and boot == max(own))
+
+
+def test_lines_of_files_read_in_blocks(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    text = [f"line {i} " + "x" * (i % 90) for i in range(5000)]
+    (tmp_path / "in" / "long.log").write_bytes("\r\n".join(text[:2500]).encode() + b"\n" + "\n".join(text[2500:]).encode())
+    (tmp_path / "in" / "empty.log").write_bytes(b"")
+    (tmp_path / "in" / "short.log.gz").write_bytes(gzip.compress(b"a\n\nb\n"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        df = files.lines(spark, f"{tmp_path}/in")
+        got = {}
+        for r in df.collect():
+            got.setdefault(r["path"].rsplit("/", 1)[-1], []).append((r["line_no"], r["line"]))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(got["long.log"]) == list(enumerate(text, 1))
+    assert sorted(got["short.log.gz"]) == [(1, "a"), (2, ""), (3, "b")] and set(got) == {"long.log", "short.log.gz"}
