@@ -37,7 +37,7 @@ def proc_status(lines: DataFrame) -> DataFrame:
 
 def proc_environ(files: DataFrame) -> DataFrame:
     """/proc/<pid>/environ (path, content) as (pid, variable, value)."""
-    pairs = F.explode(F.split(F.decode("content", "UTF-8"), "\x00"))
+    pairs = F.explode(F.split(F.make_valid_utf8(F.col("content").cast("string")), "\x00"))
     rows = files.where(F.col("path").rlike(r"/proc/\d+/environ$")).select(F.regexp_extract("path", PROC_PATH, 1).cast("int").alias("pid"), pairs.alias("p"))
     return rows.where(F.col("p").contains("=")).select("pid", F.split("p", "=", 2)[0].alias("variable"), F.split("p", "=", 2)[1].alias("value"))
 

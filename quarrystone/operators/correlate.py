@@ -12,6 +12,14 @@ HOP_GAP = 86_400
 # Places whose files are worth a second look.
 NOTABLE_DIRS = ("/tmp/", "/var/tmp/", "/dev/shm/", "/home/", "/root/", "/srv/", "/opt/", "/var/www/", "/usr/local/")
 
+# Sudo rules that systems are shipped with, and accounts of theirs that look like a person's.
+STOCK_RULES = (
+    "root ALL=(ALL) ALL", "root ALL=(ALL:ALL) ALL", "%admin ALL=(ALL) ALL", "%admin ALL=(ALL:ALL) ALL", "%sudo ALL=(ALL) ALL", "%sudo ALL=(ALL:ALL) ALL",
+    "%wheel ALL=(ALL) ALL", "%wheel ALL=(ALL:ALL) ALL", "%wheel ALL=(ALL) NOPASSWD: ALL",
+)
+STOCK_ACCOUNTS = ("root", "nobody", "sync", "shutdown", "halt", "operator")
+SYSTEM_UID_MAX = 999
+
 
 def notable(path: Column) -> Column:
     return reduce(lambda a, b: a | b, [path.startswith(d) for d in NOTABLE_DIRS])
@@ -166,3 +174,64 @@ def commands_naming_hosts(commands: DataFrame, identities: DataFrame, keys: list
     known = identities.select(F.lower("value").alias("token"), F.col("host").alias("named_host")).where("token <> ''").distinct()
     met = said.join(known, "token").where(~F.col("host").eqNullSafe(F.col("named_host")))
     return met.groupBy(*keys, "host", "named_host").agg(F.min(F.struct(F.length("token").alias("n"), "token")).getField("token").alias("token"), F.first("command").alias("command"))
+
+
+def _placed() -> Column:
+    """``host: where`` of each host, in order."""
+    places = F.sort_array(F.collect_set(F.struct(F.col("host").alias("h"), F.coalesce("where", F.lit("")).alias("w"))))
+    return F.array_join(F.transform(places, lambda x: F.concat_ws(": ", x["h"], x["w"])), " | ").alias("where")
+
+
+def shared_grants(rules: DataFrame, members: DataFrame, accounts: DataFrame) -> DataFrame:
+    """CROSS_PRIVILEGE: sudo rules (host, rule, where, nopasswd) and members of groups (host, group, member, where) that several hosts have.
+
+    ``notable``: somebody decided it. A rule is notable if it is passwordless on any
+    host or none that systems ship with; a member if some host knows the account
+    (host, username, uid) as a person's or as uid 0. Each host is summed up first,
+    by the least of its places, so a rule repeated in a file is one row.
+    """
+    text = F.btrim(F.regexp_replace("rule", r"\s+", " "))
+    ruled = rules.select("host", F.lit("sudoers").alias("kind"), text.alias("grant"), F.lit(None).cast("string").alias("member"), "where", F.coalesce("nopasswd", F.lit(False)).alias("free"))
+    named = members.select("host", F.lit("group").alias("kind"), F.concat_ws(": ", "group", "member").alias("grant"), F.col("member").cast("string").alias("member"), "where", F.lit(False).alias("free"))
+    per = ruled.unionByName(named).where("host IS NOT NULL AND grant <> ''").groupBy("kind", "grant", "member", "host").agg(F.min("where").alias("where"), F.bool_or("free").alias("free"))
+    shared = on_hosts(per, ["kind", "grant", "member"], F.bool_or("free").alias("nopasswd"), _placed())
+    uid = F.col("uid").try_cast("long")
+    people = accounts.where((uid == 0) | (uid > SYSTEM_UID_MAX)).where(~F.col("username").isin(*STOCK_ACCOUNTS)).select(F.col("username").alias("member")).distinct().withColumn("person", F.lit(True))
+    judged = shared.join(people, "member", "left")
+    chosen = F.when(F.col("kind") == "sudoers", F.col("nopasswd") | ~F.col("grant").isin(*STOCK_RULES)).otherwise(F.coalesce("person", F.lit(False)))
+    return judged.select("kind", "grant", "host_count", "hosts", chosen.alias("notable"), "nopasswd", "where")
+
+
+def shared_autostarts(entries: DataFrame) -> DataFrame:
+    """CROSS_PERSISTENCE: autostart entries (host, kind, value, where) that several hosts have.
+
+    ``notable``: a preload, a command from a place that packages do not install
+    to, or one that feeds what it fetches or decodes to an interpreter.
+    """
+    shared = on_hosts(entries.where("host IS NOT NULL AND value <> ''").groupBy("kind", "value", "host").agg(F.min("where").alias("where")), ["kind", "value"], _placed())
+    return shared.select("kind", "value", "host_count", "hosts", ((F.col("kind") == "ld.so.preload") | _of_somebody(F.col("value"))).alias("notable"), "where")
+
+
+def _of_somebody(command: Column) -> Column:
+    words = F.filter(F.split(F.lower(command), r"[^a-z0-9_.-]+"), lambda w: w != "")
+    feeds = F.transform(F.split(F.lower(command), r"[;&]+"), lambda part: F.transform(F.split(part, r"\|"), lambda stage: F.filter(F.split(stage, r"[^a-z0-9_.-]+"), lambda w: w != "")))
+    fetches = lambda stage: F.arrays_overlap(stage, F.array(*map(F.lit, ("curl", "wget", "fetch"))))
+    runner = lambda stage: F.coalesce(F.when(F.get(stage, F.lit(0)) == "sudo", F.get(stage, F.lit(1))).otherwise(F.get(stage, F.lit(0))), F.lit("")).isin("sh", "bash", "dash", "ksh", "zsh")
+    piped = F.exists(feeds, lambda stages: F.exists(F.sequence(F.lit(1), F.greatest(F.size(stages) - 1, F.lit(1))), lambda i: F.coalesce(fetches(F.get(stages, i - 1)) & runner(F.get(stages, i)), F.lit(False))))
+    pair = lambda first, then: F.exists(F.arrays_zip(words.alias("a"), F.slice(words, 2, 1 << 20).alias("b")), lambda x: first(x["a"]) & (x["b"] == then))
+    inline = pair(lambda a: F.translate(a, "0123456789", "") == "python", "-c") | pair(lambda a: a == "base64", "-d")
+    from_place = reduce(lambda a, b: a | b, [command.contains(d) for d in NOTABLE_DIRS])
+    return from_place | F.coalesce(piped | inline, F.lit(False))
+
+
+def shared_findings_of(rows: DataFrame, urgent: Column, titles: tuple[str, str]) -> DataFrame:
+    """severity, category, title, count of shared grants or autostarts: those that somebody decided (HIGH if any is ``urgent``), and the rest."""
+    found = rows.groupBy("notable").agg(F.count("*").alias("count"), F.bool_or(F.coalesce(urgent, F.lit(False))).alias("urgent"))
+    severity = F.when(F.col("notable") & F.col("urgent"), "HIGH").when(F.col("notable"), "MEDIUM").otherwise("INFO")
+    title = F.replace(F.when(F.col("notable"), titles[0]).otherwise(titles[1]), F.lit("%d"), F.col("count").cast("string"))
+    return found.select(severity.alias("severity"), F.lit("Correlation").alias("category"), title.alias("title"), "count")
+
+
+# Titles of findings on what hosts share.
+GRANT_TITLES = ("%d privilege grant(s) somebody added are identical across these hosts", "%d further privilege grant(s) are identical across these hosts")
+AUTOSTART_TITLES = ("%d autostart entry(ies) somebody added appear on more than one host", "%d further autostart entry(ies) appear on more than one host")

@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import case_queries, event_queries, extract_queries, host_queries, share_queries, text_queries, tool_queries  # noqa: E402, F401
+from . import case_queries, event_queries, extract_queries, finding_queries, host_queries, share_queries, text_queries, tool_queries  # noqa: E402, F401
