@@ -10,12 +10,13 @@ from .words import at, let, parts
 #: How the forms of log time stamps read once their zone is written behind them.
 DASHED, SLASHED, NAMED = "yyyy-MM-dd HH:mm:ss xx", "dd/MMM/yyyy:HH:mm:ss xx", "yyyy MMM d HH:mm:ss xx"
 UTC = "+0000"
+#: Stamps that read as they are: DASHED without a zone.
+WHOLE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}\z"
 
 
 def _zone(text: Column) -> Column:
     """The offset at the end of a stamp as ``+hhmm``; blank where it has none."""
-    tail = F.regexp_extract(text, "(Z|[-+][0-9:]{4,5})$", 1)
-    return F.when(tail == "Z", UTC).otherwise(F.replace(tail, F.lit(":"), F.lit("")))
+    return let(F.regexp_extract(text, "(Z|[-+][0-9:]{4,5})$", 1), lambda tail: F.when(tail == "Z", UTC).otherwise(F.replace(tail, F.lit(":"), F.lit(""))))
 
 
 def offset_seconds(zone: Column) -> Column:
@@ -38,26 +39,29 @@ def log_timestamp(text: Column, host_offset_s: Column | int = 0, collected: Colu
     web form. A year-less stamp takes the year of ``collected``, or the one before if that would be later than it.
 
     Forms: ISO 8601 with or without a fraction, the web servers' day/month/year, ``date``'s and syslog's.
+    The text is computed once, and each form takes the steps that it needs only.
     """
     host = F.lit(host_offset_s) if isinstance(host_offset_s, int) else host_offset_s
-    zone = _zone(F.btrim(text))
-    known = F.struct(zone.alias("zone"), F.rtrim(F.when(zone == "", F.btrim(text)).otherwise(F.regexp_replace(F.btrim(text), "(Z|[-+][0-9:]{4,5})$", ""))).alias("body"), parts(text).alias("w"))
-    return let(known, lambda x: _log_timestamp(x["body"], x["zone"], x["w"], host, collected))
+    body = lambda t, zone: F.rtrim(F.when(zone == "", t).otherwise(F.regexp_replace(t, "(Z|[-+][0-9:]{4,5})$", "")))
+    known = lambda t: let(_zone(t), lambda zone: let(body(t, zone), lambda b: _log_timestamp(t, b, zone, host, collected)))
+    return let(F.btrim(text), lambda t: F.when(t.rlike(WHOLE), _minus(_read(t, DASHED), host)).otherwise(known(t)))
 
 
-def _log_timestamp(body: Column, zone: Column, w: Column, host: Column, collected: Column | None) -> Column:
+def _log_timestamp(text: Column, body: Column, zone: Column, host: Column, collected: Column | None) -> Column:
     plain = F.regexp_replace(F.regexp_replace(body, "([0-9])(?:T| +)([0-9])", "$1 $2"), "[.,][0-9]+$", "")
     iso = _minus(_read(plain, DASHED, zone), F.when(zone == "", host).otherwise(0))
-    web = _read(body, SLASHED, zone)
-    named = _minus(_read(F.concat_ws(" ", at(w, -1), at(w, 2), at(w, 3), at(w, 4)), NAMED), host)
     digit = F.substring(body, 1, 1).between("0", "9")
-    out = F.when(digit & body.contains("/"), web).when(digit, iso).when(F.size(w) >= 5, named)
+    return F.when(digit & body.contains("/"), _read(body, SLASHED, zone)).when(digit, iso).otherwise(let(parts(text), lambda w: _named(w, host, collected)))
+
+
+def _named(w: Column, host: Column, collected: Column | None) -> Column:
+    named = _minus(_read(F.concat_ws(" ", at(w, -1), at(w, 2), at(w, 3), at(w, 4)), NAMED), host)
+    out = F.when(F.size(w) >= 5, named)
     if collected is None:
         return out
     of = lambda year: _minus(_read(F.concat_ws(" ", year.cast("string"), at(w, 1), at(w, 2), at(w, 3)), NAMED), host)
-    this, last = of(F.year(collected)), of(F.year(collected) - 1)
-    short = F.when(this.isNull() | (F.to_date(this) > F.to_date(collected)), F.coalesce(last, this)).otherwise(this)
-    return out.when(F.size(w) == 3, short)
+    short = lambda this: F.when(this.isNull() | (F.to_date(this) > F.to_date(collected)), F.coalesce(of(F.year(collected) - 1), this)).otherwise(this)
+    return out.when(F.size(w) == 3, let(of(F.year(collected)), short))
 
 
 def epoch(value: Column) -> Column:

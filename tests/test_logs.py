@@ -94,6 +94,18 @@ def test_package_history(spark):
     assert got == [("install", "lib:amd64", "1, 2", "apt install nmap"), ("install", "nmap:amd64", "7.9, automatic", "apt install nmap"), ("remove", "x:all", "3", "")]
 
 
+def test_package_lines_are_matched_once(spark):
+    text = ["2026-03-24 15:48:35 status", " 2026-03-24  15:48:35\tremove  a:all  1.0 ", "2026-03-24 99:48:35 install b 1 2", "x 2026-03-24 15:48:15:", "2026-03-24 2026-03-25 10:00:00: y  z"]
+    df = logs.package_lines(lines(spark, text))
+    got = [(str(r["timestamp_utc"]), r["timestamp"], r["action"], r["package"], r["version"], r["detail"]) for r in df.orderBy("line_no").collect()]
+    assert got == [
+        ("2026-03-24 15:48:35", "2026-03-24 15:48:35", "status", "", "", ""), ("2026-03-24 15:48:35", "2026-03-24  15:48:35", "remove", "a:all", "1.0", "a:all  1.0"),
+        ("None", "2026-03-24 99:48:35", "install", "b", "2", "b 1 2"), ("2026-03-24 15:48:15", "2026-03-24 15:48:15", "", "", "", ""), ("2026-03-25 10:00:00", "2026-03-25 10:00:00", "y", "", "", "y  z"),
+    ]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(logs.PACKAGE_TOOL) <= 3 and plan.count(logs.PACKAGE_LINE) <= 4
+
+
 BODY = [
     "0|/usr/sbin/sshd|1|-rwxr-xr-x|0|0|10|1700000101|1700000101|1600000000|0",
     "0|/usr/lib/libc.so.7|2|-rwxr-xr-x|0|0|10|1500000001|1500000001|1600000000|1700000000",
