@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 #: Longest time between two hops of one route, in seconds.
 HOP_GAP = 86_400
 # Places whose files are worth a second look.
@@ -102,16 +104,19 @@ def routes(legs: DataFrame) -> DataFrame:
     """Two-hop routes from legs (from_host, to_host, ts, user, ok): each leg into a host with the first leg out of it
     at or after, within HOP_GAP, to a third host.
 
-    Equal legs are one row with their number. Time is cut into steps of HOP_GAP, and a leg out stands in its own
+    Equal legs are one row with their number, counted by hash and written once for all that reads them, so the rest
+    grows with the different legs only. Time is cut into steps of HOP_GAP, and a leg out stands in its own
     step and the one before, so a leg in has all that may follow it in its own: it is stacked with the legs out of
     those third hosts only that have one there, and the earliest is one running window in reversed time.
     A host's key is a step long, however busy the host. Null hosts and times have no routes.
     """
+    each = legs.where("from_host IS NOT NULL AND to_host IS NOT NULL AND ts IS NOT NULL").groupBy("from_host", "to_host", "ts", "user", "ok").agg(F.count("*").alias("n"))
+    each = written(each, "legs")
     step = F.floor(F.unix_seconds("ts") / HOP_GAP)
     out = F.min(F.struct("ts", "user", "ok")).alias("out")
-    outs = legs.groupBy(F.col("from_host").alias("mid"), F.col("to_host").alias("c"), "ts").agg(out).withColumn("step", F.explode(F.array(step, step - 1)))
+    outs = each.groupBy(F.col("from_host").alias("mid"), F.col("to_host").alias("c"), "ts").agg(out).withColumn("step", F.explode(F.array(step, step - 1)))
     ends = outs.select("mid", "step", "c").distinct()
-    ins = legs.groupBy(F.col("to_host").alias("mid"), F.col("from_host").alias("a"), "ts", "ok").agg(F.count("*").alias("n")).withColumn("step", step)
+    ins = each.groupBy(F.col("to_host").alias("mid"), F.col("from_host").alias("a"), "ts", "ok").agg(F.sum("n").alias("n")).withColumn("step", step)
     ins = ins.select("mid", "step", "a", "ts", F.struct("ts", "ok", "n").alias("in")).join(ends, ["mid", "step"]).where("a <> c")
     both = ins.unionByName(outs, allowMissingColumns=True).withColumn("at", F.unix_seconds("ts"))
     w = Window.partitionBy("mid", "c", "step").orderBy(F.desc("at"), F.col("in").isNotNull(), F.desc("out")).rowsBetween(Window.unboundedPreceding, Window.currentRow)

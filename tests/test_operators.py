@@ -117,6 +117,19 @@ def test_routes_over_the_edges_of_steps(spark):
     assert got == want
 
 
+def test_routes_read_their_legs_once(spark):
+    from quarrystone.operators import correlate
+
+    legs = spark.range(3000).selectExpr(
+        "CASE id % 4 WHEN 0 THEN 'A' WHEN 3 THEN NULL ELSE 'B' END AS from_host", "if(id % 4 = 0, 'B', 'C') AS to_host",
+        "timestamp_seconds(if(id % 4 = 0, 100, if(id % 8 = 2, NULL, 160))) AS ts", "concat('u', id % 30) AS user", "id % 3 = 0 AS ok",
+    )
+    df = correlate.routes(legs)
+    (r,) = df.collect()
+    assert (r["path"], r["chains"], r["reached"], r["tightest"]) == ("A -> B -> C", 750, True, 60)  # of equal times the least user leads, u0, whose legs are all ok
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Range (") <= 1
+
+
 def test_indicators_are_counted_once_each(spark):
     rows = [("1.2.3.4", "ssh", "a", at(3600 * 9)), ("1.2.3.4", "web", "b", at(3600 * 11)), ("1.2.3.4", "ssh", "c", None), ("1.2.3.4", "bad", "a", at(3600 * 10)), (" ", "x", "y", None), ("z", "w", "v", None)]
     got = {r["value"]: r for r in entities.indicator_rollup(spark.createDataFrame(rows, "value string, why string, source string, ts timestamp")).collect()}
